@@ -128,3 +128,250 @@ _ALL = sliced([])
 ORACLE["cohort_counts_all"] = cohort("SELECT * FROM size_all", *_ALL)
 ORACLE["cohort_activity_all"] = cohort("SELECT * FROM act_all", *_ALL)
 ORACLE["cohort_retention_all"] = cohort("SELECT * FROM ret_all", *_ALL)
+
+
+# ------------------------------------------------------- B: cleaning steps --
+_MISS_COLS = {  # column -> SQL "missing" test, by the column's type
+    "order_id": "order_id IS NULL", "source": "(source IS NULL OR length(source) = 0)",
+    "date_purchased": "(date_purchased IS NULL OR length(date_purchased) = 0)",
+    "shipping_type": "(shipping_type IS NULL OR length(shipping_type) = 0)",
+    "payment_method": "(payment_method IS NULL OR length(payment_method) = 0)",
+    "promo_value": "promo_value IS NULL",
+    "restaurant_total": "(restaurant_total IS NULL OR isnan(restaurant_total))",
+    "customer": "customer IS NULL", "shops_id": "shops_id IS NULL",
+    "state": "(state IS NULL OR length(state) = 0)", "postal_code": "postal_code IS NULL",
+}
+ORACLE["missing_columns"] = with_(RAW, final="SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(count_if({t}) AS BIGINT) AS n_missing FROM raw"
+    for c, t in _MISS_COLS.items()) + ") WHERE n_missing > 0")
+ORACLE["missing_rows_date"] = with_(RAW, final=f"SELECT * FROM raw WHERE {_MISS_COLS['date_purchased']}")
+ORACLE["missing_rows_customer"] = with_(RAW, final=(
+    f"SELECT * FROM raw WHERE NOT {_MISS_COLS['date_purchased']} AND customer IS NULL"))
+ORACLE["missing_rows_state"] = with_(RAW, CLEAN, final=(
+    f"SELECT * FROM clean_s1 WHERE {_MISS_COLS['state']}"))
+ORACLE["drop_missing"] = with_(RAW, CLEAN, final="SELECT * FROM clean_s1")
+ORACLE["impute_state"] = with_(RAW, CLEAN, final=(
+    "SELECT s.* REPLACE (z.state_id AS state) FROM clean_s1 s JOIN zips z ON s.postal_code = z.zip"
+    f" WHERE {_MISS_COLS['state'].replace('state', 's.state')}"))
+ORACLE["append_imputed"] = with_(RAW, CLEAN, final="SELECT * FROM clean_s2")
+ORACLE["has_promo"] = base("SELECT order_id, promo_value, has_promo_value FROM clean")
+ORACLE["sentinel_rows"] = with_(RAW, CLEAN_RAWPAY, final="SELECT * FROM clean_rp WHERE payment_method = '/'")
+ORACLE["sentinel_to_null"] = base("SELECT order_id, payment_method FROM clean")
+
+
+def _levels_cte(c: str) -> str:
+    return (f"\nlv_{c} AS (SELECT {c}, CAST(row_number() OVER (ORDER BY {c}) AS INTEGER) AS {c}_code"
+            f" FROM (SELECT DISTINCT {c} FROM clean WHERE {c} IS NOT NULL))")
+
+
+ORACLE["encode_levels"] = base(
+    "SELECT c.order_id, c.source, ls.source_code, c.shipping_type, lt.shipping_type_code,"
+    " c.payment_method, lp.payment_method_code FROM clean c"
+    " LEFT JOIN lv_source ls ON c.source = ls.source"
+    " LEFT JOIN lv_shipping_type lt ON c.shipping_type = lt.shipping_type"
+    " LEFT JOIN lv_payment_method lp ON c.payment_method = lp.payment_method",
+    _levels_cte("source"), _levels_cte("shipping_type"), _levels_cte("payment_method"))
+ORACLE["column_pick"] = base("SELECT customer FROM clean")
+
+# ------------------------------------------------------------ C: dates -------
+ORACLE["order_date"] = base("SELECT order_id, date_purchased, order_date FROM clean_s3")
+ORACLE["order_month"] = base("SELECT order_id, order_date, order_month FROM clean")
+ORACLE["order_week"] = base("SELECT order_id, order_date, order_week FROM clean")
+ORACLE["date_range"] = base("SELECT min(order_date) AS min_date, max(order_date) AS max_date FROM clean_s3")
+ORACLE["trim_before"] = base(f"SELECT order_id, order_date FROM clean_s3 WHERE order_date < DATE '{CUTOFF}'")
+ORACLE["cohort_period"] = cohort(
+    f"SELECT customer, order_month, cohort_id, {period()} AS cohort_period FROM customer_activity")
+ORACLE["previous_month"] = cohort(
+    "SELECT cohort_id, CAST(cohort_id - INTERVAL 1 MONTH AS DATE) AS previous_month"
+    " FROM (SELECT DISTINCT cohort_id FROM fo_keys)")
+
+# -------------------------------------------------------------- D: EDA -------
+N_ORDERS = ("(SELECT CAST(count(DISTINCT order_id) + max(CASE WHEN order_id IS NULL THEN 1 ELSE 0 END)"
+            " AS BIGINT) FROM clean)")
+N_CUSTOMERS = "(SELECT count(DISTINCT customer) FROM clean)"
+ORACLE["n_orders"] = base(f"SELECT {N_ORDERS} AS n_orders")
+ORACLE["n_customers"] = base(f"SELECT {N_CUSTOMERS} AS n_customers")
+ORACLE["avg_orders_per_customer"] = base(
+    f"SELECT {N_ORDERS} AS n_orders, {N_CUSTOMERS} AS n_customers,"
+    f" {N_ORDERS} / CAST({N_CUSTOMERS} AS DOUBLE) AS avg_orders_per_customer")
+OPC = "\nopc AS (SELECT customer, count(*) AS num_orders FROM clean GROUP BY customer)"
+ORACLE["orders_per_customer"] = base("SELECT * FROM opc", OPC)
+BUCKETS = (OPC + ",\nbuckets AS (SELECT num_orders, count(*) AS customer_count,"
+           f" count(*) / CAST({N_CUSTOMERS} AS DOUBLE) AS pct_customers FROM opc GROUP BY num_orders)")
+ORACLE["order_buckets"] = base("SELECT * FROM buckets", BUCKETS)
+ORACLE["order_buckets_cumulative"] = base(
+    "SELECT *, customers_at_most / CAST(" + N_CUSTOMERS + " AS DOUBLE) AS pct_at_most,"
+    " (CAST(" + N_CUSTOMERS + " AS DOUBLE) - customers_at_most) / CAST(" + N_CUSTOMERS
+    + " AS DOUBLE) AS pct_more FROM (SELECT *, CAST(sum(customer_count) OVER (ORDER BY num_orders"
+    " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS customers_at_most FROM buckets)",
+    BUCKETS)
+
+
+def _count_by(c: str, alias: str = "orders") -> str:
+    return base(f"SELECT {c}, count(*) AS {alias} FROM clean GROUP BY {c}")
+
+
+def _share_by(c: str) -> str:
+    return base(f"SELECT {c}, count(*) AS orders, count(*) / CAST({N_ORDERS} AS DOUBLE) AS pct"
+                f" FROM clean GROUP BY {c}")
+
+
+ORACLE["orders_by_date"] = _count_by("order_date")
+ORACLE["orders_by_week"] = _count_by("order_week")
+ORACLE["promo_levels"] = base("SELECT DISTINCT promo_value FROM clean WHERE promo_value IS NOT NULL")
+ORACLE["promo_share"] = _share_by("promo_value")
+REVENUE = ("\nrevenue AS (SELECT shops_id, CAST(round_even(CASE WHEN count(restaurant_total) = count(*)"
+           " THEN sum(CAST(restaurant_total AS DECIMAL(12,2))) END, 0) AS DOUBLE) AS rest_revenue"
+           " FROM clean GROUP BY shops_id)")
+ORACLE["revenue_by_shop"] = base("SELECT * FROM revenue", REVENUE)
+ORACLE["shipping_levels"] = base("SELECT DISTINCT shipping_type FROM clean")
+ORACLE["payment_levels_raw"] = with_(RAW, CLEAN_RAWPAY, final="SELECT DISTINCT payment_method FROM clean_rp")
+ORACLE["payment_levels"] = base("SELECT DISTINCT payment_method FROM clean")
+ORACLE["source_levels"] = base("SELECT DISTINCT source FROM clean")
+ORACLE["orders_by_shipping"] = _count_by("shipping_type")
+ORACLE["orders_by_payment"] = _count_by("payment_method")
+ORACLE["orders_by_source"] = _count_by("source")
+ORACLE["orders_by_state"] = _share_by("state")
+ORACLE["kpi_summary"] = base(
+    f"SELECT {N_ORDERS} AS transactions, min(order_month) AS first_month, max(order_month) AS last_month,"
+    f" {N_CUSTOMERS} AS customers, round({N_ORDERS} / CAST({N_CUSTOMERS} AS DOUBLE), 4) AS orders_per_customer,"
+    " CAST(round_even(avg(CAST(restaurant_total AS DECIMAL(12,2))), 2) AS DOUBLE) AS avg_order_value"
+    " FROM clean")
+
+# ------------------------------------------------- F: sliced retention -------
+for _tag, _by in [("has_promo", ["has_promo_value"]), ("promo_value", ["promo_value"])]:
+    _c, _a, _r = sliced(_by)
+    _t = "_".join(_by)
+    ORACLE[f"cohort_counts_{_tag}"] = cohort(f"SELECT * FROM size_{_t}", _c)
+    ORACLE[f"cohort_activity_{_tag}"] = cohort(f"SELECT * FROM act_{_t}", _a)
+    ORACLE[f"cohort_retention_{_tag}"] = cohort(f"SELECT * FROM ret_{_t}", _c, _a, _r)
+
+MATRIX_PERIODS = list(range(1, 80))
+ORACLE["retention_matrix"] = cohort(
+    "SELECT cohort_id, " + ", ".join(
+        f"max(CASE WHEN cohort_period = {p} THEN retention_rate END) AS p{p}" for p in MATRIX_PERIODS)
+    + " FROM ret_all GROUP BY cohort_id", *_ALL)
+_PV = sliced(["promo_value"])
+ORACLE["retention_labels"] = cohort(
+    "SELECT cohort_id, promo_value, cohort_period, retention_rate,"
+    " coalesce(printf('%.0f%%', retention_rate * 100), '0') AS label FROM ret_promo_value", *_PV)
+
+
+def _activity_by(facet: str) -> str:
+    return (f"SELECT cohort_id, order_month, {facet}, CAST(sum(active_customers) AS BIGINT)"
+            f" AS active_customers FROM cohort_activity GROUP BY cohort_id, order_month, {facet}")
+
+
+ORACLE["activity_by_source"] = cohort(_activity_by("source"))
+ORACLE["activity_by_has_promo"] = cohort(_activity_by("has_promo_value"))
+ORACLE["activity_by_promo_value"] = cohort(_activity_by("promo_value"))
+ORACLE["stacked_bands"] = cohort(
+    "SELECT *, band_upper - active_customers AS band_lower FROM (SELECT *, CAST(sum(active_customers)"
+    " OVER (PARTITION BY source, order_month ORDER BY cohort_id ROWS BETWEEN UNBOUNDED PRECEDING"
+    " AND CURRENT ROW) AS BIGINT) AS band_upper FROM (" + _activity_by("source") + "))")
+SEEDED = ("\nseeded AS (SELECT * FROM cohort_activity UNION ALL BY NAME"
+          " SELECT CAST(cohort_id - INTERVAL 1 MONTH AS DATE) AS order_month, cohort_id,"
+          " CAST(0 AS BIGINT) AS active_customers, CAST(0 AS BIGINT) AS cohort_period"
+          " FROM (SELECT DISTINCT cohort_id FROM cohort_activity))")
+ORACLE["seed_rows"] = cohort("SELECT * FROM seeded", SEEDED)
+ORACLE["area_series"] = cohort(
+    "SELECT cohort_id, order_month, CAST(sum(active_customers) AS BIGINT) AS active_customers"
+    " FROM seeded GROUP BY cohort_id, order_month", SEEDED)
+ORACLE["churn"] = cohort("SELECT *, 1 - retention_rate AS churn_rate FROM ret_all", *_ALL)
+
+
+# ------------------------------------------------ I: more slices -------------
+def retention_by_sql(attr_expr: str, attr: str, src_ctes: str, src: str = "clean") -> str:
+    """Retention sliced by one first-order attribute, from a cleaned table ``src``."""
+    return with_(RAW, src_ctes, f"""
+rb_src AS (SELECT *, {attr_expr} AS {attr} FROM {src}),
+rb_keys AS (SELECT customer, min(date_purchased) AS first_ts, min(order_month) AS cohort_id
+            FROM rb_src GROUP BY customer),
+rb_cohort AS (SELECT c.customer, k.cohort_id, c.{attr} FROM rb_src c JOIN rb_keys k
+              ON c.customer = k.customer AND c.date_purchased = k.first_ts),
+rb_act AS (SELECT a.order_month, cc.cohort_id, cc.{attr}, count(*) AS n
+           FROM (SELECT DISTINCT customer, order_month FROM rb_src) a
+           JOIN rb_cohort cc ON a.customer = cc.customer GROUP BY a.order_month, cc.cohort_id, cc.{attr}),
+rb_size AS (SELECT cohort_id, {attr}, count(*) AS cohort_count FROM rb_cohort GROUP BY cohort_id, {attr})""",
+                 final=f"""SELECT a.order_month, a.cohort_id, a.{attr}, CAST(a.n AS BIGINT) AS active_customers,
+  {period('a.cohort_id', 'a.order_month')} AS cohort_period, s.cohort_count,
+  a.n / CAST(s.cohort_count AS DOUBLE) AS retention_rate
+FROM rb_act a LEFT JOIN rb_size s ON a.cohort_id IS NOT DISTINCT FROM s.cohort_id
+  AND a.{attr} IS NOT DISTINCT FROM s.{attr}""")
+
+
+ORACLE["retention_by_state"] = retention_by_sql("state", "state", CLEAN)
+ORACLE["retention_by_shop"] = retention_by_sql("shops_id", "shops_id", CLEAN)
+ORACLE["retention_by_source"] = retention_by_sql("source", "source", CLEAN)
+EVENTS_RAW = """
+ev_raw AS (
+  SELECT event_id AS order_id, event_type AS source,
+         strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS date_purchased,
+         'Delivery' AS shipping_type, 'credit' AS payment_method, CAST(0 AS INTEGER) AS promo_value,
+         value AS restaurant_total, user_id AS customer, CAST(NULL AS BIGINT) AS shops_id,
+         'NA_STATE' AS state, CAST(0 AS INTEGER) AS postal_code
+  FROM events)"""
+ORACLE["retention_by_hour"] = retention_by_sql(
+    "TRY_CAST(substr(date_purchased, 12, 2) AS INTEGER)", "hour",
+    EVENTS_RAW + "," + _clean_ctes("ev_raw", "ev_clean", None), src="ev_clean")
+ORACLE["acquisition_growth"] = cohort(
+    "SELECT cohort_id, cohort_count, prev_count,"
+    " (cohort_count - prev_count) / CAST(prev_count AS DOUBLE) AS growth_rate,"
+    " CAST(sum(cohort_count) OVER (ORDER BY cohort_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    " AS BIGINT) AS customers_to_date FROM (SELECT *, lag(cohort_count) OVER (ORDER BY cohort_id)"
+    " AS prev_count FROM size_all)", *_ALL)
+
+
+# ------------------------------------------------ G: chart statistics --------
+def histogram_sql(src: str, col: str, bins: int = 30) -> str:
+    return f"""SELECT bin, lo + bin * (hi - lo) / {bins} AS bin_lower, lo + (bin + 1) * (hi - lo) / {bins} AS bin_upper,
+  n FROM (SELECT bin, lo, hi, count(*) AS n FROM (
+    SELECT CAST(CASE WHEN hi - lo = 0 THEN 0
+                     ELSE least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1}) END AS INTEGER) AS bin, lo, hi
+    FROM (SELECT CAST({col} AS DOUBLE) AS x FROM {src}) v,
+         (SELECT min(CAST({col} AS DOUBLE)) AS lo, max(CAST({col} AS DOUBLE)) AS hi FROM {src}
+          WHERE {col} IS NOT NULL AND NOT isnan(CAST({col} AS DOUBLE))) r
+    WHERE x IS NOT NULL AND NOT isnan(x)) GROUP BY bin, lo, hi)"""
+
+
+ORACLE["hist_orders_per_customer"] = base(histogram_sql("opc", "num_orders"), OPC)
+ORACLE["hist_log_orders_per_customer"] = base(
+    histogram_sql("lopc", "log_num_orders"), OPC + ",\nlopc AS (SELECT ln(num_orders) AS log_num_orders FROM opc)")
+ORACLE["hist_shop_revenue"] = base(histogram_sql("revenue", "rest_revenue"), REVENUE)
+ORACLE["linear_fit"] = base("""
+SELECT '(Intercept)' AS term, b0 AS estimate, se0 AS std_error, b0 / se0 AS t_value FROM fit
+UNION ALL SELECT 'day', b1, se1, b1 / se1 FROM fit""", """
+daily AS (SELECT CAST(order_date - DATE '1970-01-01' AS BIGINT) AS day, count(*) AS orders
+          FROM clean GROUP BY order_date),
+mom AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(day) AS DOUBLE) AS sx, CAST(sum(orders) AS DOUBLE) AS sy,
+               CAST(sum(day * day) AS DOUBLE) AS sxx, CAST(sum(day * orders) AS DOUBLE) AS sxy,
+               CAST(sum(orders * orders) AS DOUBLE) AS syy FROM daily),
+m2 AS (SELECT *, sxx - sx * sx / n AS Sxx_, sxy - sx * sy / n AS Sxy_, syy - sy * sy / n AS Syy_ FROM mom),
+m3 AS (SELECT *, Sxy_ / Sxx_ AS b1 FROM m2),
+m4 AS (SELECT *, (sy - b1 * sx) / n AS b0, (Syy_ - b1 * Sxy_) / (n - 2) AS s2 FROM m3),
+fit AS (SELECT b0, b1, sqrt(s2 * (1 / n + (sx / n) * (sx / n) / Sxx_)) AS se0, sqrt(s2 / Sxx_) AS se1 FROM m4)""")
+ORACLE["grep_values"] = base("SELECT state FROM clean WHERE regexp_matches(state, '_1[0-9]$')")
+
+# ------------------------------------------------ H: table operators ---------
+ORACLE["filter_range"] = base(
+    "SELECT * FROM clean WHERE restaurant_total IS NOT NULL AND NOT isnan(restaurant_total)"
+    " AND restaurant_total >= 100000.0 AND restaurant_total <= 200000.0")
+ORACLE["filter_set"] = base("SELECT * FROM clean WHERE source IN ('1-URGENT', '2-HIGH')")
+ORACLE["filter_logical"] = base(
+    "SELECT * FROM clean WHERE coalesce(lower(CAST(has_promo_value AS VARCHAR)), 'na') IN ('true', 'na')")
+ORACLE["search_text"] = base(
+    "SELECT * FROM clean WHERE contains(lower(payment_method), 'auto') AND contains(lower(payment_method), 'mobile')")
+ORACLE["search_regex"] = base("SELECT * FROM clean WHERE regexp_matches(source, '(?i)^[12]-')")
+ORACLE["page"] = base("SELECT * FROM clean ORDER BY order_id NULLS LAST LIMIT 8 OFFSET 16")
+ORACLE["head_n"] = base("SELECT * FROM clean ORDER BY order_id NULLS LAST LIMIT 6")
+GROUP_KEYS = ("SELECT DISTINCT customer FROM clean WHERE state IN ('NATION_1', 'NATION_2', 'NATION_3')")
+ORACLE["keys_by_group"] = base(GROUP_KEYS)
+ORACLE["linked_filter"] = base(
+    "SELECT * FROM clean WHERE customer IN (SELECT customer FROM clean WHERE has_promo_value)"
+    f" AND customer IN ({GROUP_KEYS})")
+ORACLE["columns_to_rows"] = cohort("SELECT cohort_id, cohort_period, retention_rate FROM ret_all", *_ALL)
+ORACLE["keyset_diff"] = base(
+    f"SELECT customer, 'added' AS change FROM ({GROUP_KEYS}) WHERE customer NOT IN"
+    " (SELECT customer FROM clean WHERE has_promo_value)"
+    " UNION ALL SELECT DISTINCT customer, 'removed' FROM clean WHERE has_promo_value"
+    f" AND customer NOT IN ({GROUP_KEYS})")

@@ -79,3 +79,435 @@ def q_cohort_activity_all(spark, sf):
 def q_cohort_retention_all(spark, sf):
     act, counts = _cohort_tables(spark, sf)
     return rt.retention(act, counts)
+
+
+# ============================================================ fixed values ==
+# Parameters of the registered queries (the reference's own values where it
+# has them: bins=30, page length 8, head 6).
+HIST_BINS = 30
+HEAD_N = 6
+PAGE_K, PAGE_N = 2, 8
+MATRIX_PERIODS = list(range(1, 80))     # test orders span 1995-01 .. 2001-07
+RANGE_COL, RANGE_LO, RANGE_HI = "restaurant_total", 100000.0, 200000.0
+SET_COL, SET_VALUES = "source", ["1-URGENT", "2-HIGH"]
+LOGICAL_COL, LOGICAL_CHOICES = "has_promo_value", ["true", "na"]
+SEARCH_COL, SEARCH_WORDS = "payment_method", "auto MOBILE"
+REGEX_COL, REGEX_QUERY = "source", "^[12]-"
+GREP_COL, GREP_PATTERN = "state", "_1[0-9]$"
+GROUP_COL, GROUP_KEY, GROUP_CHOSEN = "state", "customer", ["NATION_1", "NATION_2", "NATION_3"]
+# ============================================================================
+
+from retentio.operators import clean as cl  # noqa: E402
+from retentio.operators import eda  # noqa: E402
+from retentio.operators import stats as st  # noqa: E402
+from retentio.operators import table_ops as tb  # noqa: E402
+from retentio.plans.common import (  # noqa: E402
+    after_missing, cleaned_events, dated_untrimmed, lookup, raw_orders,
+)
+
+
+# ------------------------------------------------------- B: cleaning steps --
+@query("missing_columns")
+def q_missing_columns(spark, sf):
+    return cl.missing_columns(raw_orders(spark, sf))
+
+
+@query("missing_rows_date")
+def q_missing_rows_date(spark, sf):
+    return cl.missing_rows(raw_orders(spark, sf), "date_purchased")
+
+
+@query("missing_rows_customer")
+def q_missing_rows_customer(spark, sf):
+    df = cl.drop_missing(raw_orders(spark, sf), "date_purchased")
+    return cl.missing_rows(df, "customer")
+
+
+@query("missing_rows_state")
+def q_missing_rows_state(spark, sf):
+    return cl.missing_rows(after_missing(spark, sf), "state")
+
+
+@query("drop_missing")
+def q_drop_missing(spark, sf):
+    return after_missing(spark, sf)
+
+
+@query("impute_state")
+def q_impute_state(spark, sf):
+    df = after_missing(spark, sf)
+    return cl.impute_by_lookup(cl.missing_rows(df, "state"), lookup(spark, sf),
+                               "postal_code", "zip", "state", "state_id")
+
+
+@query("append_imputed")
+def q_append_imputed(spark, sf):
+    df = after_missing(spark, sf)
+    imputed = cl.impute_by_lookup(cl.missing_rows(df, "state"), lookup(spark, sf),
+                                  "postal_code", "zip", "state", "state_id")
+    return cl.append(cl.drop_missing(df, "state"), imputed)
+
+
+@query("has_promo")
+def q_has_promo(spark, sf):
+    return cleaned(spark, sf).select("order_id", "promo_value", "has_promo_value")
+
+
+@query("sentinel_rows")
+def q_sentinel_rows(spark, sf):
+    return cl.filter_equals(cleaned(spark, sf, repair_sentinel=False), "payment_method", "/")
+
+
+@query("sentinel_to_null")
+def q_sentinel_to_null(spark, sf):
+    df = cl.null_if(cleaned(spark, sf, repair_sentinel=False), "payment_method", "/")
+    return df.select("order_id", "payment_method")
+
+
+@query("encode_levels")
+def q_encode_levels(spark, sf):
+    df = cleaned(spark, sf).select("order_id", "source", "shipping_type", "payment_method")
+    for c in ["source", "shipping_type", "payment_method"]:
+        df = cl.encode_levels(df, c)
+    return df
+
+
+@query("column_pick")
+def q_column_pick(spark, sf):
+    return cleaned(spark, sf).select("customer", "order_id").drop("order_id")
+
+
+# ------------------------------------------------------------ C: dates -------
+@query("order_date")
+def q_order_date(spark, sf):
+    return dated_untrimmed(spark, sf).select("order_id", "date_purchased", "order_date")
+
+
+@query("order_month")
+def q_order_month(spark, sf):
+    return cleaned(spark, sf).select("order_id", "order_date", "order_month")
+
+
+@query("order_week")
+def q_order_week(spark, sf):
+    return cleaned(spark, sf).select("order_id", "order_date", "order_week")
+
+
+@query("date_range")
+def q_date_range(spark, sf):
+    return cl.date_range(dated_untrimmed(spark, sf), "order_date")
+
+
+@query("trim_before")
+def q_trim_before(spark, sf):
+    from retentio.sources.tables import TEST_CUTOFF
+    return cl.trim_before(dated_untrimmed(spark, sf), "order_date", TEST_CUTOFF).select(
+        "order_id", "order_date")
+
+
+@query("cohort_period")
+def q_cohort_period(spark, sf):
+    from retentio.functions.dates import cohort_period
+    act = co.customer_activity(cleaned(spark, sf))
+    return act.select("customer", "order_month", "cohort_id",
+                      cohort_period("cohort_id", "order_month").alias("cohort_period"))
+
+
+@query("previous_month")
+def q_previous_month(spark, sf):
+    from retentio.functions.dates import previous_month
+    c = co.first_order_keys(cleaned(spark, sf)).select("cohort_id").distinct()
+    return c.select("cohort_id", previous_month("cohort_id").alias("previous_month"))
+
+
+# -------------------------------------------------------------- D: EDA -------
+@query("n_orders")
+def q_n_orders(spark, sf):
+    return eda.n_orders(cleaned(spark, sf))
+
+
+@query("n_customers")
+def q_n_customers(spark, sf):
+    return eda.n_customers(cleaned(spark, sf))
+
+
+@query("avg_orders_per_customer")
+def q_avg_orders(spark, sf):
+    return eda.avg_orders_per_customer(cleaned(spark, sf))
+
+
+@query("orders_per_customer")
+def q_orders_per_customer(spark, sf):
+    return eda.orders_per_customer(cleaned(spark, sf)).orderBy(F.desc("num_orders"), "customer")
+
+
+@query("order_buckets")
+def q_order_buckets(spark, sf):
+    return eda.order_buckets(cleaned(spark, sf)).orderBy(F.desc("customer_count"))
+
+
+@query("order_buckets_cumulative")
+def q_order_buckets_cum(spark, sf):
+    return eda.order_buckets_cumulative(cleaned(spark, sf)).orderBy("num_orders")
+
+
+@query("orders_by_date")
+def q_orders_by_date(spark, sf):
+    return eda.count_by(cleaned(spark, sf), "order_date").orderBy("order_date")
+
+
+@query("orders_by_week")
+def q_orders_by_week(spark, sf):
+    return eda.count_by(cleaned(spark, sf), "order_week").orderBy("order_week")
+
+
+@query("promo_levels")
+def q_promo_levels(spark, sf):
+    return eda.levels(cleaned(spark, sf), "promo_value", na="drop")
+
+
+@query("promo_share")
+def q_promo_share(spark, sf):
+    return eda.share_by(cleaned(spark, sf), "promo_value")
+
+
+@query("revenue_by_shop")
+def q_revenue_by_shop(spark, sf):
+    return eda.revenue_by_shop(cleaned(spark, sf))
+
+
+@query("shipping_levels")
+def q_shipping_levels(spark, sf):
+    return eda.levels(cleaned(spark, sf), "shipping_type")
+
+
+@query("payment_levels_raw")
+def q_payment_levels_raw(spark, sf):
+    return eda.distinct_values(cleaned(spark, sf, repair_sentinel=False), "payment_method")
+
+
+@query("payment_levels")
+def q_payment_levels(spark, sf):
+    return eda.levels(cleaned(spark, sf), "payment_method")
+
+
+@query("source_levels")
+def q_source_levels(spark, sf):
+    return eda.levels(cleaned(spark, sf), "source")
+
+
+@query("orders_by_shipping")
+def q_orders_by_shipping(spark, sf):
+    return eda.count_by(cleaned(spark, sf), "shipping_type").orderBy(F.desc("orders"))
+
+
+@query("orders_by_payment")
+def q_orders_by_payment(spark, sf):
+    return eda.count_by(cleaned(spark, sf), "payment_method").orderBy(F.desc("orders"))
+
+
+@query("orders_by_source")
+def q_orders_by_source(spark, sf):
+    return eda.count_by(cleaned(spark, sf), "source").orderBy(F.desc("orders"))
+
+
+@query("orders_by_state")
+def q_orders_by_state(spark, sf):
+    return eda.share_by(cleaned(spark, sf), "state").orderBy(F.desc("orders"))
+
+
+@query("kpi_summary")
+def q_kpi_summary(spark, sf):
+    return eda.kpi_summary(cleaned(spark, sf))
+
+
+# ------------------------------------------------- F: sliced retention -------
+def _sliced(spark, sf, by, what):
+    act, counts = _cohort_tables(spark, sf)
+    if what == "counts":
+        return rt.cohort_size(counts, by)
+    if what == "activity":
+        return rt.cohort_active(act, by)
+    return rt.retention(act, counts, by)
+
+
+for _tag, _by in [("has_promo", ["has_promo_value"]), ("promo_value", ["promo_value"])]:
+    for _what in ("counts", "activity", "retention"):
+        query(f"cohort_{_what}_{_tag}")(
+            lambda spark, sf, _b=_by, _w=_what: _sliced(spark, sf, _b, _w))
+
+
+@query("retention_matrix")
+def q_retention_matrix(spark, sf):
+    return rt.retention_matrix(_sliced(spark, sf, [], "retention"), MATRIX_PERIODS)
+
+
+@query("retention_labels")
+def q_retention_labels(spark, sf):
+    ret = _sliced(spark, sf, ["promo_value"], "retention")
+    return rt.retention_labels(ret, na_label="0").select(
+        "cohort_id", "promo_value", "cohort_period", "retention_rate", "label")
+
+
+for _facet in ("source", "has_promo_value", "promo_value"):
+    _name = "activity_by_" + ("has_promo" if _facet == "has_promo_value" else _facet)
+    query(_name)(lambda spark, sf, _f=_facet: rt.activity_by(_cohort_tables(spark, sf)[0], _f))
+
+
+@query("stacked_bands")
+def q_stacked_bands(spark, sf):
+    return rt.stacked_bands(rt.activity_by(_cohort_tables(spark, sf)[0], "source"), "source")
+
+
+@query("seed_rows")
+def q_seed_rows(spark, sf):
+    return rt.with_seed_rows(_cohort_tables(spark, sf)[0])
+
+
+@query("area_series")
+def q_area_series(spark, sf):
+    return rt.area_series(_cohort_tables(spark, sf)[0]).orderBy("cohort_id", "order_month")
+
+
+@query("churn")
+def q_churn(spark, sf):
+    return rt.churn(_sliced(spark, sf, [], "retention"))
+
+
+# ------------------------------------------------ I: more slices -------------
+@query("retention_by_state")
+def q_retention_by_state(spark, sf):
+    return rt.retention_by(cleaned(spark, sf), "state")
+
+
+@query("retention_by_shop")
+def q_retention_by_shop(spark, sf):
+    return rt.retention_by(cleaned(spark, sf), "shops_id")
+
+
+@query("retention_by_source")
+def q_retention_by_source(spark, sf):
+    return rt.retention_by(cleaned(spark, sf), "source", bounded=True)
+
+
+@query("retention_by_hour")
+def q_retention_by_hour(spark, sf):
+    df = cleaned_events(spark, sf).withColumn(
+        "hour", F.substring("date_purchased", 12, 2).try_cast("int"))
+    return rt.retention_by(df, "hour", bounded=True)
+
+
+@query("acquisition_growth")
+def q_acquisition_growth(spark, sf):
+    return rt.acquisition_growth(_cohort_tables(spark, sf)[1])
+
+
+# ------------------------------------------------ G: chart statistics --------
+@query("hist_orders_per_customer")
+def q_hist_opc(spark, sf):
+    return st.histogram(eda.orders_per_customer(cleaned(spark, sf)), "num_orders", HIST_BINS)
+
+
+@query("hist_log_orders_per_customer")
+def q_hist_log_opc(spark, sf):
+    opc = eda.orders_per_customer(cleaned(spark, sf))
+    return st.histogram(opc.withColumn("log_num_orders", F.ln("num_orders")), "log_num_orders",
+                        HIST_BINS)
+
+
+@query("hist_shop_revenue")
+def q_hist_shop_revenue(spark, sf):
+    return st.histogram(eda.revenue_by_shop(cleaned(spark, sf)), "rest_revenue", HIST_BINS)
+
+
+def _daily(spark, sf):
+    return (eda.count_by(cleaned(spark, sf), "order_date")
+            .withColumn("day", F.unix_date("order_date").cast("bigint")))
+
+
+@query("linear_fit")
+def q_linear_fit(spark, sf):
+    return st.linear_fit(_daily(spark, sf), "day", "orders")
+
+
+@query("linear_fit_pvalues")
+def q_linear_fit_pvalues(spark, sf):
+    return st.linear_fit_pvalues(_daily(spark, sf), "day", "orders")
+
+
+@query("grep_values")
+def q_grep_values(spark, sf):
+    return st.grep_values(cleaned(spark, sf), GREP_COL, GREP_PATTERN)
+
+
+# ------------------------------------------------ H: table operators ---------
+@query("filter_range")
+def q_filter_range(spark, sf):
+    return tb.filter_range(cleaned(spark, sf), RANGE_COL, RANGE_LO, RANGE_HI)
+
+
+@query("filter_set")
+def q_filter_set(spark, sf):
+    return tb.filter_set(cleaned(spark, sf), SET_COL, SET_VALUES)
+
+
+@query("filter_logical")
+def q_filter_logical(spark, sf):
+    return tb.filter_logical(cleaned(spark, sf), LOGICAL_COL, LOGICAL_CHOICES)
+
+
+@query("search_text")
+def q_search_text(spark, sf):
+    return tb.search_text(cleaned(spark, sf), SEARCH_COL, SEARCH_WORDS)
+
+
+@query("search_regex")
+def q_search_regex(spark, sf):
+    return tb.search_text(cleaned(spark, sf), REGEX_COL, REGEX_QUERY, regex=True)
+
+
+@query("page")
+def q_page(spark, sf):
+    return tb.page(cleaned(spark, sf), ["order_id"], PAGE_K, PAGE_N)
+
+
+@query("head_n")
+def q_head_n(spark, sf):
+    return eda.head_n(cleaned(spark, sf), HEAD_N, ["order_id"])
+
+
+@query("keys_by_group")
+def q_keys_by_group(spark, sf):
+    return tb.keys_by_group(cleaned(spark, sf), GROUP_COL, GROUP_KEY, GROUP_CHOSEN)
+
+
+def _key_sets(df):
+    promo = df.filter(F.col("has_promo_value")).select("customer")
+    region = tb.keys_by_group(df, GROUP_COL, GROUP_KEY, GROUP_CHOSEN)
+    return promo, region
+
+
+@query("linked_filter")
+def q_linked_filter(spark, sf):
+    df = cleaned(spark, sf)
+    promo, region = _key_sets(df)
+    return tb.linked_filter(df, "customer", [promo, None, region])
+
+
+@query("columns_to_rows")
+def q_columns_to_rows(spark, sf):
+    ret = _sliced(spark, sf, [], "retention")
+    # Column-major form: per cohort, arrays of periods and rates (bounded by the
+    # number of months), then back to one row per position.
+    packed = ret.groupBy("cohort_id").agg(
+        F.array_sort(F.collect_list(F.struct("cohort_period", "retention_rate"))).alias("s"))
+    packed = packed.select("cohort_id", F.col("s.cohort_period").alias("cohort_period"),
+                           F.col("s.retention_rate").alias("retention_rate"))
+    return tb.columns_to_rows(packed, ["cohort_period", "retention_rate"], keep=["cohort_id"])
+
+
+@query("keyset_diff")
+def q_keyset_diff(spark, sf):
+    df = cleaned(spark, sf)
+    promo, region = _key_sets(df)
+    return tb.keyset_diff(promo, region, "customer")
