@@ -375,3 +375,27 @@ ORACLE["keyset_diff"] = base(
     " (SELECT customer FROM clean WHERE has_promo_value)"
     " UNION ALL SELECT DISTINCT customer, 'removed' FROM clean WHERE has_promo_value"
     f" AND customer NOT IN ({GROUP_KEYS})")
+
+
+# ------------------------------------------------ A: sources, sinks, preview --
+ORACLE["read_orders"] = with_(RAW, final="SELECT * FROM raw")
+ORACLE["read_zip_lookup"] = with_(RAW, final="SELECT * FROM zips")
+ORACLE["write_corrected"] = base("SELECT * FROM clean")
+ORACLE["read_corrected"] = ORACLE["cohort_retention_all"]
+_PROFILE = [("order_id", "bigint"), ("source", "string"), ("date_purchased", "string"),
+            ("shipping_type", "string"), ("payment_method", "string"), ("promo_value", "int"),
+            ("restaurant_total", "double"), ("customer", "bigint"), ("shops_id", "bigint"),
+            ("state", "string"), ("postal_code", "int"), ("order_date", "date"),
+            ("order_month", "date"), ("order_week", "date"), ("has_promo_value", "boolean")]
+ORACLE["schema_profile"] = base(
+    "SELECT CAST(position AS INTEGER) AS position, column_name, data_type,"
+    " (SELECT count(*) FROM clean) AS n_rows FROM (VALUES "
+    + ", ".join(f"({i + 1}, '{c}', '{t}')" for i, (c, t) in enumerate(_PROFILE))
+    + ") t(position, column_name, data_type)")
+_NUM = ["order_id", "promo_value", "restaurant_total", "customer", "shops_id", "postal_code"]
+ORACLE["numeric_summary"] = with_(RAW, final=" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, min(CAST({c} AS DOUBLE)) AS min,"
+    f" quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median,"
+    f" CAST(sum(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) / count({c}) AS mean,"
+    f" quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3, max(CAST({c} AS DOUBLE)) AS max,"
+    f" CAST(count(*) - count({c}) AS BIGINT) AS n_missing FROM raw" for c in _NUM))

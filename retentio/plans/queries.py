@@ -511,3 +511,52 @@ def q_keyset_diff(spark, sf):
     df = cleaned(spark, sf)
     promo, region = _key_sets(df)
     return tb.keyset_diff(promo, region, "customer")
+
+
+# ------------------------------------------------ A: sources, sinks, preview --
+from retentio.operators import quantiles as qn  # noqa: E402
+from retentio.session import scratch_path  # noqa: E402
+from retentio import sources as src  # noqa: E402
+
+
+@query("read_orders")
+def q_read_orders(spark, sf):
+    """Orders written as headed CSV to the shared folder, read back typed."""
+    path = scratch_path(spark, "orders-csv")
+    src.write_orders_csv(raw_orders(spark, sf), path)
+    return src.read_orders(spark, path)
+
+
+@query("read_zip_lookup")
+def q_read_zip_lookup(spark, sf):
+    path = scratch_path(spark, "zips-csv")
+    lookup(spark, sf).write.mode("overwrite").options(header=True).csv(path)
+    return src.read_zip_lookup(spark, path)
+
+
+@query("write_corrected")
+def q_write_corrected(spark, sf):
+    """Cleaned table written as month-partitioned Parquet and read back."""
+    path = scratch_path(spark, "corrected")
+    src.write_corrected(cleaned(spark, sf), path)
+    return src.read_corrected(spark, path)
+
+
+@query("read_corrected")
+def q_read_corrected(spark, sf):
+    """The cohort stage on the saved table: load it, then overall retention."""
+    path = scratch_path(spark, "corrected")
+    src.write_corrected(cleaned(spark, sf), path)
+    df = src.read_corrected(spark, path)
+    cohort = co.customer_cohort(df)
+    return rt.retention(co.cohort_activity(df, cohort=cohort), co.cohort_counts(cohort))
+
+
+@query("schema_profile")
+def q_schema_profile(spark, sf):
+    return eda.schema_profile(cleaned(spark, sf))
+
+
+@query("numeric_summary")
+def q_numeric_summary(spark, sf):
+    return qn.numeric_summary(raw_orders(spark, sf))
