@@ -105,9 +105,9 @@ def columns_to_rows(df: DataFrame, cols: list[str], keep: list[str] | None = Non
     keep = list(keep or [])
     sizes = [F.size(c) for c in cols]
     same = reduce(lambda a, b: a & b, [s == sizes[0] for s in sizes[1:]], F.lit(True))
-    checked = df.withColumn("__ok", F.assert_true(same, F.lit("columns_to_rows: unequal lengths")))
     zipped = F.arrays_zip(*[F.col(c) for c in cols])
-    return checked.select(*keep, F.inline(zipped)).select(*keep, *cols)
+    guarded = F.when(same, zipped).otherwise(F.raise_error(F.lit("columns_to_rows: unequal lengths")))
+    return df.select(*keep, F.inline(guarded)).select(*keep, *cols)
 
 
 # -- H9 -----------------------------------------------------------------------
