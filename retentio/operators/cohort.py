@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from retentio.functions.dates import cohort_period
+from retentio.functions.dates import cohort_period, instant_key
 from retentio.schema import FIRST_ORDER_ATTRS
 
 TIES = ("all", "first")
@@ -32,8 +32,13 @@ def _check_ties(ties: str) -> None:
 
 def first_order_keys(df: DataFrame, key: str = "customer", ts: str = "date_purchased",
                      month: str = "order_month") -> DataFrame:
-    """Per customer: earliest timestamp text and earliest order month."""
-    return df.groupBy(key).agg(F.min(ts).alias("first_ts"), F.min(month).alias("cohort_id"))
+    """Per customer: key of the earliest purchase instant and earliest order month.
+
+    Both aggregates are fixed-width (see ``instant_key``), so this is a hash
+    aggregation with a partial step before the shuffle.
+    """
+    return df.groupBy(key).agg(F.min(instant_key(ts)).alias("first_ts"),
+                               F.min(month).alias("cohort_id"))
 
 
 def first_order_rows(df: DataFrame, key: str = "customer", ts: str = "date_purchased",
@@ -47,7 +52,7 @@ def first_order_rows(df: DataFrame, key: str = "customer", ts: str = "date_purch
     _check_ties(ties)
     keys = keys if keys is not None else first_order_keys(df, key, ts)
     k = keys.select(F.col(key).alias("__k"), "first_ts", "cohort_id")
-    rows = df.join(k, (F.col(key) == F.col("__k")) & (F.col(ts) == F.col("first_ts")), "inner")
+    rows = df.join(k, (F.col(key) == F.col("__k")) & (instant_key(ts) == F.col("first_ts")), "inner")
     rows = rows.drop("__k", "first_ts")
     if ties == "first":
         # Ties are rows of one customer at one instant; ranking them needs a
@@ -86,6 +91,23 @@ def customer_activity(df: DataFrame, cohort: DataFrame | None = None,
 
 
 # -- E4 -----------------------------------------------------------------------
+def weighted_cohort(cohort: DataFrame, attrs: list[str]) -> DataFrame:
+    """One row per (customer, cohort, attributes) with ``__w`` = how many
+    first-order rows carry them (1 unless first orders tie or are copied)."""
+    return cohort.groupBy("customer", "cohort_id", *attrs).agg(F.count(F.lit(1)).alias("__w"))
+
+
+def activity_from_weighted(df: DataFrame, weighted: DataFrame, attrs: list[str]) -> DataFrame:
+    act = active_months(df).join(weighted, on="customer", how="inner")
+    out = (act.groupBy("order_month", "cohort_id", *attrs)
+              .agg(F.sum("__w").alias("active_customers")))
+    return out.withColumn("cohort_period", cohort_period("cohort_id", "order_month"))
+
+
+def counts_from_weighted(weighted: DataFrame, attrs: list[str]) -> DataFrame:
+    return weighted.groupBy("cohort_id", *attrs).agg(F.sum("__w").alias("cohort_count"))
+
+
 def cohort_activity(df: DataFrame, attrs: list[str] | None = None, ties: str = "all",
                     cohort: DataFrame | None = None) -> DataFrame:
     """Active customers per order_month x cohort x attributes, with cohort_period.
@@ -97,11 +119,16 @@ def cohort_activity(df: DataFrame, attrs: list[str] | None = None, ties: str = "
     """
     attrs = list(FIRST_ORDER_ATTRS if attrs is None else attrs)
     cohort = cohort if cohort is not None else customer_cohort(df, attrs, ties)
-    weighted = cohort.groupBy("customer", "cohort_id", *attrs).agg(F.count(F.lit(1)).alias("__w"))
-    act = active_months(df).join(weighted, on="customer", how="inner")
-    out = (act.groupBy("order_month", "cohort_id", *attrs)
-              .agg(F.sum("__w").alias("active_customers")))
-    return out.withColumn("cohort_period", cohort_period("cohort_id", "order_month"))
+    return activity_from_weighted(df, weighted_cohort(cohort, attrs), attrs)
+
+
+def cohort_tables(df: DataFrame, attrs: list[str] | None = None,
+                  ties: str = "all") -> tuple[DataFrame, DataFrame]:
+    """``(cohort_activity, cohort_counts)`` sharing one weighted first-order
+    table, so the first-order join runs once and its exchange is reused."""
+    attrs = list(FIRST_ORDER_ATTRS if attrs is None else attrs)
+    weighted = weighted_cohort(customer_cohort(df, attrs, ties), attrs)
+    return activity_from_weighted(df, weighted, attrs), counts_from_weighted(weighted, attrs)
 
 
 # -- E5 -----------------------------------------------------------------------

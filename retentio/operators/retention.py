@@ -147,9 +147,7 @@ def churn(ret: DataFrame) -> DataFrame:
 def retention_by(df: DataFrame, attr: str, ties: str = "all", bounded: bool = False) -> DataFrame:
     """Retention sliced by one first-order attribute (any column or expression
     already added to ``df``)."""
-    cohort = co.customer_cohort(df, [attr], ties)
-    act = co.cohort_activity(df, [attr], ties, cohort=cohort)
-    counts = co.cohort_counts(cohort)
+    act, counts = co.cohort_tables(df, [attr], ties)
     return retention(act, counts, [attr], bounded=bounded, with_cohort_text=False)
 
 

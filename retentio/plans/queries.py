@@ -59,9 +59,7 @@ def q_cohort_counts(spark, sf):
 
 
 def _cohort_tables(spark, sf):
-    df = cleaned(spark, sf)
-    cohort = co.customer_cohort(df)
-    return co.cohort_activity(df, cohort=cohort), co.cohort_counts(cohort)
+    return co.cohort_tables(cleaned(spark, sf))
 
 
 # --------------------------------------------------------------- retention --
