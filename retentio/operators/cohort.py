@@ -47,19 +47,22 @@ def first_order_rows(df: DataFrame, key: str = "customer", ts: str = "date_purch
 
     ``ties='all'`` keeps every order at the first instant (the reference's
     join keeps them all); ``ties='first'`` keeps the one with the lowest
-    ``order_id``.
+    ``order_id``.  Both are a join on (customer, instant), so a customer with
+    very many orders is spread over many tasks; the 'first' pick is a
+    grouped ``min`` over (order_id, row) with a partial step, not a window.
     """
     _check_ties(ties)
     keys = keys if keys is not None else first_order_keys(df, key, ts)
     k = keys.select(F.col(key).alias("__k"), "first_ts", "cohort_id")
-    rows = df.join(k, (F.col(key) == F.col("__k")) & (instant_key(ts) == F.col("first_ts")), "inner")
+    left = df.withColumn("__key", instant_key(ts))
+    rows = left.join(k, (F.col(key) == F.col("__k")) & (F.col("__key") == F.col("first_ts")), "inner")
     rows = rows.drop("__k", "first_ts")
     if ties == "first":
-        # Ties are rows of one customer at one instant; ranking them needs a
-        # window over (customer, ts), which only ever holds the tied rows.
-        w = Window.partitionBy(key, ts).orderBy(F.col("order_id").asc_nulls_last())
-        rows = rows.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-    return rows
+        rest = [c for c in rows.columns if c not in (key, "__key", "order_id")]
+        best = (rows.groupBy(key, "__key")
+                    .agg(F.min(F.struct(F.col("order_id").alias("order_id"), *rest)).alias("__r")))
+        rows = best.select(key, "__key", "__r.*")
+    return rows.select(*df.columns, "cohort_id")
 
 
 # -- E1 -----------------------------------------------------------------------

@@ -16,8 +16,8 @@ in one final task, which does not hold for a high-cardinality column of a
 Bucketing is monotone in the value, so buckets are disjoint value ranges
 and the rank bookkeeping is exact.  Each pass shrinks every open interval,
 so a few passes suffice even for 10^12 rows.  The values are checkpointed
-once (to the shared checkpoint folder) so the passes do not recompute the
-input plan.
+once (to the shared checkpoint folder) on request, so the passes do not
+recompute an expensive input plan.
 """
 
 from __future__ import annotations
@@ -106,13 +106,15 @@ def _type7(n: int, p: float) -> tuple[int, int, float]:
 
 
 def numeric_summary(df: DataFrame, cols: list[str] | None = None, approx: bool = False,
-                    accuracy: int = 10000) -> DataFrame:
+                    accuracy: int = 10000, materialize: bool = False) -> DataFrame:
     """Per numeric column: min, quartiles, mean, max and missing count.
 
     Quartiles interpolate linearly between order statistics (the usual
     "type 7" definition).  ``approx=True`` uses ``percentile_approx`` (one
     pass, bounded memory, rank error about 1/accuracy) instead of the exact
-    narrowing search.
+    narrowing search.  The narrowing passes re-read the (column-pruned)
+    input; ``materialize=True`` checkpoints the values once instead, which
+    pays off only when the input plan is much more expensive than the values.
     """
     spark = df.sparkSession
     numeric = ("int", "bigint", "smallint", "tinyint", "double", "float")
@@ -130,8 +132,9 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None, approx: bool =
         out = base.select("k", "mn", F.col("qa")[0].alias("q1"), F.col("qa")[1].alias("median"),
                           "mean", F.col("qa")[2].alias("q3"), "mx")
     else:
-        checkpoint_root(spark)
-        long = long.checkpoint(eager=True)
+        if materialize:
+            checkpoint_root(spark)
+            long = long.checkpoint(eager=True)
         stats = {r["k"]: (r["mn"], r["mx"], r["n"]) for r in
                  long.groupBy("k").agg(F.min("x").alias("mn"), F.max("x").alias("mx"),
                                        F.count(F.lit(1)).alias("n")).collect()}

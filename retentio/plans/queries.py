@@ -558,3 +558,21 @@ def q_schema_profile(spark, sf):
 @query("numeric_summary")
 def q_numeric_summary(spark, sf):
     return qn.numeric_summary(raw_orders(spark, sf))
+
+
+# ------------------------------------------------ G4 / G5: trends -------------
+from retentio.operators import smooth as sm  # noqa: E402
+
+
+@query("trend_orders_by_date")
+def q_trend_orders_by_date(spark, sf):
+    s = eda.count_by(cleaned(spark, sf), "order_date").withColumn(
+        "day", F.unix_date("order_date").cast("double"))
+    return sm.loess_trend(s, "day", "orders").select("order_date", "orders", "trend")
+
+
+@query("trend_orders_by_week")
+def q_trend_orders_by_week(spark, sf):
+    s = eda.count_by(cleaned(spark, sf), "order_week").withColumn(
+        "day", F.unix_date("order_week").cast("double"))
+    return sm.loess_trend(s, "day", "orders").select("order_week", "orders", "trend")
