@@ -46,22 +46,3 @@ def cohort_period(cohort_id: str | Column, month: str | Column) -> Column:
 
 def previous_month(date: str | Column) -> Column:
     return F.add_months(_c(date), -1)
-
-
-# Fixed value: the purchase-time text format of the orders table.
-ISO_INSTANT_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
-_LAST_KEY = 9223372036854775807
-
-
-def instant_key(iso_text: str | Column) -> Column:
-    """Order-preserving bigint of a purchase-time text.
-
-    For well-formed ``yyyy-MM-ddTHH:mm:ss.SSSZ`` text the key is its 17
-    digits read as one number, so keys compare exactly as the texts do and
-    equal keys mean equal texts.  Being fixed-width, ``min`` over it runs as
-    a hash aggregation (``min`` over a string forces a sort-based one).
-    Text in any other shape sorts after every well-formed instant.
-    """
-    t = _c(iso_text)
-    digits = F.regexp_replace(F.substring(t, 1, 23), r"[^0-9]", "").try_cast("bigint")
-    return F.when(t.rlike(ISO_INSTANT_PATTERN), digits).otherwise(F.lit(_LAST_KEY))

@@ -108,9 +108,9 @@ def encode_levels(df: DataFrame, col: str) -> DataFrame:
 
 # -- C1..C3, C5 ---------------------------------------------------------------
 def with_dates(df: DataFrame, ts_col: str = "date_purchased", week_start: str = "sunday") -> DataFrame:
-    return (df.withColumn("order_date", order_date(ts_col))
-              .withColumn("order_month", order_month("order_date"))
-              .withColumn("order_week", order_week("order_date", week_start)))
+    d = order_date(ts_col)
+    return df.withColumns({"order_date": d, "order_month": order_month(d),
+                           "order_week": order_week(d, week_start)})
 
 
 def trim_before(df: DataFrame, col: str, cutoff: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from retentio.functions.dates import cohort_period, instant_key
+from retentio.functions.dates import cohort_period
 from retentio.schema import FIRST_ORDER_ATTRS
 
 TIES = ("all", "first")
@@ -32,13 +32,10 @@ def _check_ties(ties: str) -> None:
 
 def first_order_keys(df: DataFrame, key: str = "customer", ts: str = "date_purchased",
                      month: str = "order_month") -> DataFrame:
-    """Per customer: key of the earliest purchase instant and earliest order month.
-
-    Both aggregates are fixed-width (see ``instant_key``), so this is a hash
-    aggregation with a partial step before the shuffle.
-    """
-    return df.groupBy(key).agg(F.min(instant_key(ts)).alias("first_ts"),
-                               F.min(month).alias("cohort_id"))
+    """Per customer: earliest purchase text (ISO, so earliest instant) and
+    earliest order month.  A grouped ``min`` with a partial step per map task,
+    so a customer with very many orders is reduced before the shuffle."""
+    return df.groupBy(key).agg(F.min(ts).alias("first_ts"), F.min(month).alias("cohort_id"))
 
 
 def first_order_rows(df: DataFrame, key: str = "customer", ts: str = "date_purchased",
@@ -54,14 +51,13 @@ def first_order_rows(df: DataFrame, key: str = "customer", ts: str = "date_purch
     _check_ties(ties)
     keys = keys if keys is not None else first_order_keys(df, key, ts)
     k = keys.select(F.col(key).alias("__k"), "first_ts", "cohort_id")
-    left = df.withColumn("__key", instant_key(ts))
-    rows = left.join(k, (F.col(key) == F.col("__k")) & (F.col("__key") == F.col("first_ts")), "inner")
+    rows = df.join(k, (F.col(key) == F.col("__k")) & (F.col(ts) == F.col("first_ts")), "inner")
     rows = rows.drop("__k", "first_ts")
     if ties == "first":
-        rest = [c for c in rows.columns if c not in (key, "__key", "order_id")]
-        best = (rows.groupBy(key, "__key")
+        rest = [c for c in rows.columns if c not in (key, ts, "order_id")]
+        best = (rows.groupBy(key, ts)
                     .agg(F.min(F.struct(F.col("order_id").alias("order_id"), *rest)).alias("__r")))
-        rows = best.select(key, "__key", "__r.*")
+        rows = best.select(key, ts, "__r.*")
     return rows.select(*df.columns, "cohort_id")
 
 

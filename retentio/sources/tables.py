@@ -31,9 +31,26 @@ TEST_CUTOFF = "2001-08-01"
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
+# Schemas of the driver's tables, given explicitly so no read infers them.
+TABLE_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if name in TABLE_SCHEMAS:
+        return spark.read.schema(TABLE_SCHEMAS[name]).parquet(path)
+    return spark.read.parquet(path)
 
 
 def orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,28 +61,27 @@ def orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     # aggregation collapses the line items map-side before the shuffle.
     shops = (_table(spark, sf_dir, "lineitem")
              .groupBy("l_orderkey").agg(F.min("l_suppkey").alias("shops_id")))
-    k = F.col("o_orderkey")
     joined = (o.join(c, o.o_custkey == c.c_custkey, "left")
                .join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-               .join(shops, k == F.col("l_orderkey"), "left"))
-    return joined.select(
-        k.alias("order_id"),
-        F.col("o_orderpriority").alias("source"),
-        F.when(k % DIRT_MISSING_DATE_EVERY == 0, F.lit(""))
-         .otherwise(F.date_format("o_orderdate", ISO_FORMAT)).alias("date_purchased"),
-        F.col("o_orderstatus").alias("shipping_type"),
-        F.when(k % DIRT_SENTINEL_EVERY == 0, F.lit(PAYMENT_SENTINEL))
-         .otherwise(F.col("c_mktsegment")).alias("payment_method"),
-        F.when(k % DIRT_PROMO_EVERY == 0, 1 + F.floor(k / DIRT_PROMO_EVERY) % 5)
-         .otherwise(F.lit(0)).cast("int").alias("promo_value"),
-        F.col("o_totalprice").alias("restaurant_total"),
-        F.when(k % DIRT_MISSING_CUSTOMER_EVERY == 0, F.lit(None).cast("bigint"))
-         .otherwise(F.col("o_custkey")).alias("customer"),
-        F.col("shops_id").cast("bigint").alias("shops_id"),
-        F.when(k % DIRT_MISSING_STATE_EVERY == 0, F.lit(""))
-         .otherwise(F.col("n_name")).alias("state"),
-        F.when(k % DIRT_UNMATCHED_POSTAL_EVERY == 0, F.lit(-1))
-         .otherwise(F.col("c_nationkey").cast("int")).alias("postal_code"),
+               .join(shops, F.col("o_orderkey") == F.col("l_orderkey"), "left"))
+    # One projection of SQL expressions: the dirt is a fixed function of the key.
+    return joined.selectExpr(
+        "o_orderkey AS order_id",
+        "o_orderpriority AS source",
+        f"CASE WHEN o_orderkey % {DIRT_MISSING_DATE_EVERY} = 0 THEN '' "
+        f"ELSE date_format(o_orderdate, \"{ISO_FORMAT}\") END AS date_purchased",
+        "o_orderstatus AS shipping_type",
+        f"CASE WHEN o_orderkey % {DIRT_SENTINEL_EVERY} = 0 THEN '{PAYMENT_SENTINEL}' "
+        "ELSE c_mktsegment END AS payment_method",
+        f"CAST(CASE WHEN o_orderkey % {DIRT_PROMO_EVERY} = 0 "
+        f"THEN 1 + floor(o_orderkey / {DIRT_PROMO_EVERY}) % 5 ELSE 0 END AS INT) AS promo_value",
+        "o_totalprice AS restaurant_total",
+        f"CASE WHEN o_orderkey % {DIRT_MISSING_CUSTOMER_EVERY} = 0 THEN CAST(NULL AS BIGINT) "
+        "ELSE o_custkey END AS customer",
+        "CAST(shops_id AS BIGINT) AS shops_id",
+        f"CASE WHEN o_orderkey % {DIRT_MISSING_STATE_EVERY} = 0 THEN '' ELSE n_name END AS state",
+        f"CASE WHEN o_orderkey % {DIRT_UNMATCHED_POSTAL_EVERY} = 0 THEN -1 "
+        "ELSE CAST(c_nationkey AS INT) END AS postal_code",
     )
 
 

@@ -2,7 +2,7 @@
 
 State (Parquet snapshots in the shared checkpoint folder, one per batch id):
 
-* ``keys``   (customer, first_ts, cohort_id): earliest purchase key and month
+* ``keys``   (customer, first_ts, cohort_id): earliest purchase text and month
 * ``ties``   (customer, first_ts, attrs..., __w): first-order attribute rows
              at that key, with how many orders carry them
 * ``months`` (customer, order_month): months with at least one order
@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.functions.dates import instant_key
 from retentio.operators.clean import clean_orders
 from retentio.operators.cohort import activity_from_weighted, counts_from_weighted
 from retentio.schema import FIRST_ORDER_ATTRS
@@ -49,7 +48,7 @@ class CohortState:
         """``foreachBatch`` body: clean the new orders, fold them into the state."""
         df = clean_orders(batch, self.lookup, self.cutoff)
         a = self.attrs
-        rows = df.select("customer", instant_key("date_purchased").alias("first_ts"),
+        rows = df.select("customer", F.col("date_purchased").alias("first_ts"),
                          "order_month", *a)
         keys = rows.groupBy("customer").agg(F.min("first_ts").alias("first_ts"),
                                             F.min("order_month").alias("cohort_id"))
