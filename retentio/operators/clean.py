@@ -113,9 +113,18 @@ def with_dates(df: DataFrame, ts_col: str = "date_purchased", week_start: str =
                            "order_week": order_week(d, week_start)})
 
 
-def trim_before(df: DataFrame, col: str, cutoff: str) -> DataFrame:
-    """Keep rows with ``col < cutoff`` (drops a partial trailing period)."""
-    return df.filter(F.col(col) < F.lit(cutoff).cast("date"))
+def trim_before(df: DataFrame, col: str, cutoff: str, month_col: str | None = None) -> DataFrame:
+    """Keep rows with ``col < cutoff`` (drops a partial trailing period).
+
+    ``month_col`` names the month column a saved table is partitioned by; the
+    implied ``month_col <= trunc(cutoff)`` predicate is added so whole later
+    months are pruned at file listing instead of being read and filtered.
+    """
+    cut = F.lit(cutoff).cast("date")
+    out = df.filter(F.col(col) < cut)
+    if month_col is not None:
+        out = out.filter(F.col(month_col) <= F.trunc(cut, "month"))
+    return out
 
 
 def date_range(df: DataFrame, col: str = "order_date") -> DataFrame:

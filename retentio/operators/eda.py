@@ -45,11 +45,12 @@ def n_customers(df: DataFrame, approx: bool = False) -> DataFrame:
 
 # -- D3 -----------------------------------------------------------------------
 def avg_orders_per_customer(df: DataFrame) -> DataFrame:
-    o = n_orders(df).scalar()
-    c = n_customers(df).scalar()
-    return df.sparkSession.range(1).select(
-        o.alias("n_orders"), c.alias("n_customers"),
-        F.try_divide(o, c.cast("double")).alias("avg_orders_per_customer"))
+    """Distinct orders, distinct customers and their ratio in one aggregation
+    (one scan; Spark expands the two distinct counts side by side)."""
+    agg = df.agg(n_distinct_col(df, "order_id").cast("bigint").alias("n_orders"),
+                 n_distinct_col(df, "customer", na_rm=True).cast("bigint").alias("n_customers"))
+    return agg.withColumn("avg_orders_per_customer",
+                          F.try_divide(F.col("n_orders"), F.col("n_customers").cast("double")))
 
 
 # -- D4 / D7 / D8 / D16..D18 --------------------------------------------------
@@ -120,14 +121,15 @@ def revenue_by_shop(df: DataFrame) -> DataFrame:
 def kpi_summary(df: DataFrame) -> DataFrame:
     """Transactions, first / last order month, customers, orders per customer,
     average order value (decimal, rounded to cents half-even)."""
-    o = n_orders(df).scalar()
-    c = n_customers(df).scalar()
-    agg = df.agg(F.min("order_month").alias("first_month"),
+    agg = df.agg(n_distinct_col(df, "order_id").cast("bigint").alias("transactions"),
+                 n_distinct_col(df, "customer", na_rm=True).cast("bigint").alias("customers"),
+                 F.min("order_month").alias("first_month"),
                  F.max("order_month").alias("last_month"),
                  F.avg(F.col("restaurant_total").cast(T.DecimalType(12, 2))).alias("__aov"))
     return agg.select(
-        o.alias("transactions"), "first_month", "last_month", c.alias("customers"),
-        F.round(F.try_divide(o, c.cast("double")), 4).alias("orders_per_customer"),
+        "transactions", "first_month", "last_month", "customers",
+        F.round(F.try_divide(F.col("transactions"), F.col("customers").cast("double")), 4)
+         .alias("orders_per_customer"),
         F.bround(F.col("__aov"), 2).cast("double").alias("avg_order_value"))
 
 

@@ -212,3 +212,32 @@ def test_n_distinct_counts_null_as_value(spark):
     df = spark.createDataFrame([(1,), (1,), (None,), (2,)], "order_id long")
     assert eda.n_distinct(df, "order_id", "n").first().n == 3
     assert eda.n_distinct(df, "order_id", "n", na_rm=True).first().n == 2
+
+
+def test_csv_reader_na_and_blank(spark, tmp_path):
+    from retentio.sources import read_orders
+    p = tmp_path / "orders.csv"
+    p.write_text(
+        "order_id,source,date_purchased,shipping_type,payment_method,promo_value,"
+        "restaurant_total,customer,shops_id,state,postal_code\n"
+        '1,iosapp,2019-03-13T08:02:07.000Z,Delivery,credit,0,15.5,13300000000,24597,MD,21162\n'
+        '2,NA,"",Delivery,/,,-3.0,NA,261,"",8007\n')
+    got = {r.order_id: r for r in read_orders(spark, str(p)).collect()}
+    assert got[1].customer == 13300000000 and got[1].postal_code == 21162
+    assert got[2].source is None and got[2].customer is None and got[2].promo_value is None
+    assert got[2].date_purchased == "" and got[2].state == ""
+    assert got[2].restaurant_total == -3.0 and got[2].postal_code == 8007
+
+
+def test_month_partitions_pruned_on_saved_table(spark):
+    from retentio.plans.common import cleaned
+    from retentio.session import scratch_path
+    from retentio.sources import read_corrected, write_corrected
+    from tests.conftest import SF_SMALL
+    path = scratch_path(spark, "prune")
+    write_corrected(cleaned(spark, SF_SMALL), path)
+    df = cl.trim_before(read_corrected(spark, path), "order_date", "2000-01-01", month_col="order_month")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_month" in plan and "<= 2000-01-01" in plan, plan
+    assert df.filter("order_date >= '2000-01-01'").count() == 0
+    assert df.count() == cleaned(spark, SF_SMALL).filter("order_date < '2000-01-01'").count()
