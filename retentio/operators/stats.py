@@ -12,17 +12,20 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram over [min, max] with ``bins`` bins, last bin closed.
 
     Rows ``(bin, bin_lower, bin_upper, n)`` for non-empty bins only; a
-    constant column gives one bin.  min / max come from one scalar subquery,
-    the counts from one grouped aggregation (partial counts map-side).
+    constant column gives one bin.  The values are first reduced to distinct
+    value -> count (partial aggregation); min / max (one scalar subquery) and
+    the binning both read that reduced table, whose exchange Spark computes
+    once and reuses.
     """
     x = F.col(col).cast("double")
-    clean = df.select(x.alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
-    rng = clean.agg(F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"))).scalar()
+    vc = (df.select(x.alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
+            .groupBy("__x").agg(F.count(F.lit(1)).alias("__n")))
+    rng = vc.agg(F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"))).scalar()
     lo, hi = rng.getField("lo"), rng.getField("hi")
     width = hi - lo
     idx = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("__x") - lo) / width * bins), F.lit(bins - 1))).cast("int")
-    counts = clean.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = vc.groupBy(idx.alias("bin")).agg(F.sum("__n").cast("bigint").alias("n"))
     return counts.select(
         "bin",
         (lo + F.col("bin") * width / bins).alias("bin_lower"),
