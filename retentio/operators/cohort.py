@@ -30,6 +30,21 @@ def _check_ties(ties: str) -> None:
         raise ValueError(f"ties must be one of {TIES}")
 
 
+def customer_months(df: DataFrame, ts: str = "date_purchased") -> DataFrame:
+    """Distinct (customer, order_month) with the month's earliest purchase text.
+
+    One partial aggregation over the orders gives both the active months and,
+    rolled up once more, each customer's first purchase and cohort month - so
+    the cohort stage reads the orders for these two only once.
+    """
+    return df.groupBy("customer", "order_month").agg(F.min(ts).alias("__first_ts"))
+
+
+def keys_from_months(cm: DataFrame) -> DataFrame:
+    return cm.groupBy("customer").agg(F.min("__first_ts").alias("first_ts"),
+                                      F.min("order_month").alias("cohort_id"))
+
+
 def first_order_keys(df: DataFrame, key: str = "customer", ts: str = "date_purchased",
                      month: str = "order_month") -> DataFrame:
     """Per customer: earliest purchase text (ISO, so earliest instant) and
@@ -117,17 +132,34 @@ def cohort_activity(df: DataFrame, attrs: list[str] | None = None, ties: str = "
     weight, not a fan-out - and the weight is summed over the active months.
     """
     attrs = list(FIRST_ORDER_ATTRS if attrs is None else attrs)
-    cohort = cohort if cohort is not None else customer_cohort(df, attrs, ties)
+    if cohort is None:
+        return cohort_tables(df, attrs, ties)[0]
     return activity_from_weighted(df, weighted_cohort(cohort, attrs), attrs)
 
 
 def cohort_tables(df: DataFrame, attrs: list[str] | None = None,
                   ties: str = "all") -> tuple[DataFrame, DataFrame]:
-    """``(cohort_activity, cohort_counts)`` sharing one weighted first-order
-    table, so the first-order join runs once and its exchange is reused."""
+    """``(cohort_activity, cohort_counts)`` for the whole cohort stage.
+
+    The orders are read twice: once into the customer-month table (active
+    months, and first purchase / cohort month rolled up from it) and once
+    for the join back to the first-order rows.  The weighted first-order
+    table feeds both outputs, so its exchange is computed once and reused.
+    """
     attrs = list(FIRST_ORDER_ATTRS if attrs is None else attrs)
-    weighted = weighted_cohort(customer_cohort(df, attrs, ties), attrs)
-    return activity_from_weighted(df, weighted, attrs), counts_from_weighted(weighted, attrs)
+    cm = customer_months(df)
+    keys = keys_from_months(cm)
+    cohort = first_order_rows(df, ties=ties, keys=keys).select("customer", "cohort_id", *attrs)
+    weighted = weighted_cohort(cohort, attrs)
+    # Every month row holds a purchase, so its earliest purchase text is set.
+    # Saying so keeps that column in this branch: both branches then read the
+    # same customer-month exchange, and the orders are scanned once for it.
+    act = (cm.filter(F.col("__first_ts").isNotNull())
+             .join(weighted, on="customer", how="inner"))
+    activity = (act.groupBy("order_month", "cohort_id", *attrs)
+                   .agg(F.sum("__w").alias("active_customers"))
+                   .withColumn("cohort_period", cohort_period("cohort_id", "order_month")))
+    return activity, counts_from_weighted(weighted, attrs)
 
 
 # -- E5 -----------------------------------------------------------------------
