@@ -100,8 +100,16 @@ def active_months(df: DataFrame) -> DataFrame:
 def customer_activity(df: DataFrame, cohort: DataFrame | None = None,
                       attrs: list[str] | None = None, ties: str = "all") -> DataFrame:
     """Every month a customer ordered in, with the customer's cohort attributes."""
-    cohort = cohort if cohort is not None else customer_cohort(df, attrs, ties)
-    return active_months(df).join(cohort, on="customer", how="left")
+    if cohort is not None:
+        return active_months(df).join(cohort, on="customer", how="left")
+    # Same two reads of the orders as ``cohort_tables``: the customer-month
+    # table gives both the months and the first purchases.
+    attrs = list(FIRST_ORDER_ATTRS if attrs is None else attrs)
+    cm = customer_months(df)
+    cohort = (first_order_rows(df, ties=ties, keys=keys_from_months(cm))
+              .select("customer", "cohort_id", *attrs))
+    months = cm.filter(F.col("__first_ts").isNotNull()).select("customer", "order_month")
+    return months.join(cohort, on="customer", how="left")
 
 
 # -- E4 -----------------------------------------------------------------------
