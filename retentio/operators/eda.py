@@ -64,25 +64,34 @@ def orders_per_customer(df: DataFrame) -> DataFrame:
 
 
 # -- D5 / D6 ------------------------------------------------------------------
+def _bucket_table(df: DataFrame) -> DataFrame:
+    """Customers per order count, plus the number of distinct non-NULL
+    customers (the share denominator) as a window total over the bucket
+    table - one row per distinct order count, so the window is small - in
+    place of a second pass over the orders."""
+    per_customer = orders_per_customer(df)
+    b = per_customer.groupBy("num_orders").agg(F.count(F.lit(1)).alias("customer_count"),
+                                               F.count("customer").alias("__named"))
+    return b.withColumn("__total", F.sum("__named").over(Window.partitionBy()).cast("double"))
+
+
 def order_buckets(df: DataFrame) -> DataFrame:
     """Customers per order count, and their share of all customers."""
-    total = n_customers(df).scalar()
-    b = orders_per_customer(df).groupBy("num_orders").agg(F.count(F.lit(1)).alias("customer_count"))
-    return b.withColumn("pct_customers", F.try_divide(F.col("customer_count"), total.cast("double")))
+    b = _bucket_table(df)
+    return b.select("num_orders", "customer_count",
+                    F.try_divide(F.col("customer_count"), F.col("__total")).alias("pct_customers"))
 
 
 def order_buckets_cumulative(df: DataFrame) -> DataFrame:
-    """Running share of customers with at most k orders, and its complement.
-
-    The window runs over the bucket table: one row per distinct order
-    count, a small table even for huge inputs.
-    """
-    b = order_buckets(df)
+    """Running share of customers with at most k orders, and its complement."""
+    b = _bucket_table(df)
     w = Window.orderBy("num_orders").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = n_customers(df).scalar().cast("double")
-    return (b.withColumn("customers_at_most", F.sum("customer_count").over(w).cast("bigint"))
+    total = F.col("__total")
+    return (b.withColumn("pct_customers", F.try_divide(F.col("customer_count"), total))
+             .withColumn("customers_at_most", F.sum("customer_count").over(w).cast("bigint"))
              .withColumn("pct_at_most", F.try_divide(F.col("customers_at_most"), total))
-             .withColumn("pct_more", F.try_divide(total - F.col("customers_at_most"), total)))
+             .withColumn("pct_more", F.try_divide(total - F.col("customers_at_most"), total))
+             .drop("__named", "__total"))
 
 
 # -- D9 / D12..D15 ------------------------------------------------------------
