@@ -7,9 +7,8 @@ stage and pushes the filters into the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from retentio.functions.dates import order_date, order_month, order_week
 from retentio.functions.nulls import missing_in
@@ -96,11 +95,11 @@ def null_if(df: DataFrame, col: str, value) -> DataFrame:
 def encode_levels(df: DataFrame, col: str) -> DataFrame:
     """Adds ``<col>_code``: 1-based position of the value among its sorted levels.
 
-    The levels table (distinct non-NULL values) is numbered on its own, then
-    joined back; only that small table is ordered, never the rows.
+    The levels table (distinct non-NULL values of a categorical column) is
+    numbered on its own, then joined back; only that small table is ordered
+    (in one partition), never the rows.
     """
     levels = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    from pyspark.sql import Window
     coded = levels.withColumn(f"{col}_code",
                               F.row_number().over(Window.orderBy(F.col(col))).cast("int"))
     return df.join(coded, on=col, how="left")
@@ -151,6 +150,3 @@ def clean_orders(orders: DataFrame, lookup: DataFrame, cutoff: str | None,
         df = null_if(df, "payment_method", sentinel)
     return df
 
-
-def column_types(df: DataFrame) -> dict[str, T.DataType]:
-    return {f.name: f.dataType for f in df.schema.fields}

@@ -8,7 +8,7 @@ and folds the value in, with no join and no driver round trip.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -17,7 +17,7 @@ from retentio.functions.nulls import na_sum
 
 
 # -- D1 / D2 ------------------------------------------------------------------
-def n_distinct_col(df: DataFrame, col: str, na_rm: bool = False, approx: bool = False) -> F.Column:
+def n_distinct_col(col: str, na_rm: bool = False, approx: bool = False) -> Column:
     """Distinct values of ``col`` as an aggregate Column.
 
     ``na_rm=False`` counts NULL as one more value (R ``n_distinct``);
@@ -32,7 +32,7 @@ def n_distinct_col(df: DataFrame, col: str, na_rm: bool = False, approx: bool =
 
 def n_distinct(df: DataFrame, col: str, alias: str, na_rm: bool = False,
                approx: bool = False) -> DataFrame:
-    return df.agg(n_distinct_col(df, col, na_rm, approx).cast("bigint").alias(alias))
+    return df.agg(n_distinct_col(col, na_rm, approx).cast("bigint").alias(alias))
 
 
 def n_orders(df: DataFrame) -> DataFrame:
@@ -47,8 +47,8 @@ def n_customers(df: DataFrame, approx: bool = False) -> DataFrame:
 def avg_orders_per_customer(df: DataFrame) -> DataFrame:
     """Distinct orders, distinct customers and their ratio in one aggregation
     (one scan; Spark expands the two distinct counts side by side)."""
-    agg = df.agg(n_distinct_col(df, "order_id").cast("bigint").alias("n_orders"),
-                 n_distinct_col(df, "customer", na_rm=True).cast("bigint").alias("n_customers"))
+    agg = df.agg(n_distinct_col("order_id").cast("bigint").alias("n_orders"),
+                 n_distinct_col("customer", na_rm=True).cast("bigint").alias("n_customers"))
     return agg.withColumn("avg_orders_per_customer",
                           F.try_divide(F.col("n_orders"), F.col("n_customers").cast("double")))
 
@@ -130,8 +130,8 @@ def revenue_by_shop(df: DataFrame) -> DataFrame:
 def kpi_summary(df: DataFrame) -> DataFrame:
     """Transactions, first / last order month, customers, orders per customer,
     average order value (decimal, rounded to cents half-even)."""
-    agg = df.agg(n_distinct_col(df, "order_id").cast("bigint").alias("transactions"),
-                 n_distinct_col(df, "customer", na_rm=True).cast("bigint").alias("customers"),
+    agg = df.agg(n_distinct_col("order_id").cast("bigint").alias("transactions"),
+                 n_distinct_col("customer", na_rm=True).cast("bigint").alias("customers"),
                  F.min("order_month").alias("first_month"),
                  F.max("order_month").alias("last_month"),
                  F.avg(F.col("restaurant_total").cast(T.DecimalType(12, 2))).alias("__aov"))

@@ -11,9 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retentio import sources as src
+from retentio.functions.dates import cohort_period, previous_month
+from retentio.operators import clean as cl
 from retentio.operators import cohort as co
+from retentio.operators import eda
+from retentio.operators import quantiles as qn
 from retentio.operators import retention as rt
-from retentio.plans.common import cleaned
+from retentio.operators import smooth as sm
+from retentio.operators import stats as st
+from retentio.operators import table_ops as tb
+from retentio.plans.common import (
+    after_missing, cleaned, cleaned_events, dated_untrimmed, lookup, raw_orders,
+)
+from retentio.session import scratch_path
+from retentio.sources.tables import TEST_CUTOFF
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -95,13 +107,6 @@ GREP_COL, GREP_PATTERN = "state", "_1[0-9]$"
 GROUP_COL, GROUP_KEY, GROUP_CHOSEN = "state", "customer", ["NATION_1", "NATION_2", "NATION_3"]
 # ============================================================================
 
-from retentio.operators import clean as cl  # noqa: E402
-from retentio.operators import eda  # noqa: E402
-from retentio.operators import stats as st  # noqa: E402
-from retentio.operators import table_ops as tb  # noqa: E402
-from retentio.plans.common import (  # noqa: E402
-    after_missing, cleaned_events, dated_untrimmed, lookup, raw_orders,
-)
 
 
 # ------------------------------------------------------- B: cleaning steps --
@@ -198,14 +203,12 @@ def q_date_range(spark, sf):
 
 @query("trim_before")
 def q_trim_before(spark, sf):
-    from retentio.sources.tables import TEST_CUTOFF
     return cl.trim_before(dated_untrimmed(spark, sf), "order_date", TEST_CUTOFF).select(
         "order_id", "order_date")
 
 
 @query("cohort_period")
 def q_cohort_period(spark, sf):
-    from retentio.functions.dates import cohort_period
     act = co.customer_activity(cleaned(spark, sf))
     return act.select("customer", "order_month", "cohort_id",
                       cohort_period("cohort_id", "order_month").alias("cohort_period"))
@@ -213,7 +216,6 @@ def q_cohort_period(spark, sf):
 
 @query("previous_month")
 def q_previous_month(spark, sf):
-    from retentio.functions.dates import previous_month
     c = co.first_order_keys(cleaned(spark, sf)).select("cohort_id").distinct()
     return c.select("cohort_id", previous_month("cohort_id").alias("previous_month"))
 
@@ -512,9 +514,6 @@ def q_keyset_diff(spark, sf):
 
 
 # ------------------------------------------------ A: sources, sinks, preview --
-from retentio.operators import quantiles as qn  # noqa: E402
-from retentio.session import scratch_path  # noqa: E402
-from retentio import sources as src  # noqa: E402
 
 
 @query("read_orders")
@@ -561,7 +560,6 @@ def q_numeric_summary(spark, sf):
 
 
 # ------------------------------------------------ G4 / G5: trends -------------
-from retentio.operators import smooth as sm  # noqa: E402
 
 
 @query("trend_orders_by_date")
