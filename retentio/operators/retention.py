@@ -49,13 +49,19 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 # -- F3 / F6 / F9 -------------------------------------------------------------
 def retention(activity: DataFrame, counts: DataFrame, by: list[str] | None = None,
-              bounded: bool = True, with_cohort_text: bool | None = None) -> DataFrame:
+              bounded: bool | None = None, with_cohort_text: bool | None = None) -> DataFrame:
     """Active customers / cohort size per order month x cohort [x slice].
 
     Slice keys match NULL to NULL (the reference's joins do).  ``cohort`` is
     the cohort month as text, added for sliced forms as the reference does.
+    ``bounded``: the cohort-size table is broadcast only when its size is
+    bounded - always for the unsliced form (one row per cohort month), and for
+    a slice only when the caller says its domain is small (a flag, a promo
+    level, a channel).  Otherwise the planner decides from measured sizes.
     """
     by = list(by or [])
+    if bounded is None:
+        bounded = not by
     act = cohort_active(activity, by)
     size = cohort_size(counts, by)
     out = _null_safe_join(act, size, ["cohort_id", *by], "left", bounded)

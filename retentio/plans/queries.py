@@ -328,7 +328,8 @@ def _sliced(spark, sf, by, what):
         return rt.cohort_size(counts, by)
     if what == "activity":
         return rt.cohort_active(act, by)
-    return rt.retention(act, counts, by)
+    # the slices here are a flag and a 0-5 promo level: a bounded domain
+    return rt.retention(act, counts, by, bounded=True)
 
 
 for _tag, _by in [("has_promo", ["has_promo_value"]), ("promo_value", ["promo_value"])]:
@@ -544,9 +545,8 @@ def q_read_corrected(spark, sf):
     """The cohort stage on the saved table: load it, then overall retention."""
     path = scratch_path(spark, "corrected")
     src.write_corrected(cleaned(spark, sf), path)
-    df = src.read_corrected(spark, path)
-    cohort = co.customer_cohort(df)
-    return rt.retention(co.cohort_activity(df, cohort=cohort), co.cohort_counts(cohort))
+    act, counts = co.cohort_tables(src.read_corrected(spark, path))
+    return rt.retention(act, counts)
 
 
 @query("schema_profile")
