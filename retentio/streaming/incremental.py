@@ -10,13 +10,17 @@ State (Parquet snapshots in the shared checkpoint folder, one per batch id):
 A batch is merged with the previous snapshot using the same aggregations as
 the batch operators (partial ``min`` / ``count`` / ``distinct``), and the
 result is written under the batch id, so replaying a batch after a failure
-rewrites the same snapshot.  ``cohort_tables`` turns the latest snapshot into
+rewrites the same snapshot.  ``keys`` is written last: a snapshot whose
+``keys`` folder holds data files is complete, and a restarted driver picks
+up the newest such snapshot (the stream's own checkpoint resumes the batches).  ``cohort_tables`` turns the latest snapshot into
 the cohort activity and counts tables; their size is customers x months,
 independent of how many orders have been seen.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +38,17 @@ class CohortState:
         self.cutoff = cutoff
         self.attrs = list(FIRST_ORDER_ATTRS if attrs is None else attrs)
         self.root = root or scratch_path(spark, "cohort-state")
-        self.version: int | None = None
+        self.version: int | None = self._latest_complete()
+
+    def _latest_complete(self) -> int | None:
+        """Newest snapshot whose ``keys`` table was written (restart support)."""
+        try:
+            files = self.spark.read.parquet(f"{self.root}/v*/keys").inputFiles()
+        except Exception:  # noqa: BLE001 - no snapshot yet
+            return None
+        versions = [int(m.group(1)) for f in files
+                    if (m := re.search(r"/v(\d{9})/keys/", f))]
+        return max(versions) if versions else None
 
     def _path(self, version: int, name: str) -> str:
         return f"{self.root}/v{version:09d}/{name}"
@@ -62,7 +76,7 @@ class CohortState:
             months = months.unionByName(old_m).distinct()
         ties = (ties.join(keys.select("customer", "first_ts"), ["customer", "first_ts"], "left_semi")
                     .groupBy("customer", "first_ts", *a).agg(F.sum("__w").alias("__w")))
-        for name, frame in (("keys", keys), ("ties", ties), ("months", months)):
+        for name, frame in (("months", months), ("ties", ties), ("keys", keys)):
             frame.write.mode("overwrite").parquet(self._path(batch_id, name))
         self.version = batch_id
 

@@ -28,3 +28,16 @@ def test_stream_equals_batch(spark):
     act_b, cnt_b = co.cohort_tables(cleaned(spark, SF_SMALL))
     assert rows(act_s) == rows(act_b)
     assert rows(cnt_s) == rows(cnt_b)
+
+
+def test_state_resumes_after_restart(spark):
+    from retentio.plans.common import cleaned
+    raw = raw_orders(spark, SF_SMALL)
+    state = CohortState(spark, lookup(spark, SF_SMALL), TEST_CUTOFF)
+    state.merge_batch(raw.filter("order_id < 3000"), 0)
+    state.merge_batch(raw.filter("order_id >= 3000"), 1)
+    again = CohortState(spark, lookup(spark, SF_SMALL), TEST_CUTOFF, root=state.root)
+    assert again.version == 1
+    act_s, cnt_s = again.cohort_tables()
+    act_b, cnt_b = co.cohort_tables(cleaned(spark, SF_SMALL))
+    assert rows(act_s) == rows(act_b) and rows(cnt_s) == rows(cnt_b)
