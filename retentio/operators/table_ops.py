@@ -11,9 +11,12 @@ from pyspark.sql import types as T
 
 
 # -- H1 -----------------------------------------------------------------------
-def filter_range(df: DataFrame, col: str, lo=None, hi=None) -> DataFrame:
+def filter_range(df: DataFrame, col: str, lo=None, hi=None, full_range_off: bool = True) -> DataFrame:
     """``lo <= col <= hi`` inclusive; NULL and NaN never pass.  A missing bound
-    is open; with both bounds missing the filter is off."""
+    is open.  A filter whose bounds cover the column's whole [min, max] is
+    off, as a range slider left at its ends is: every row stays, missing
+    values included (min / max come from one scalar subquery).
+    """
     if lo is None and hi is None:
         return df
     c = F.col(col)
@@ -24,6 +27,17 @@ def filter_range(df: DataFrame, col: str, lo=None, hi=None) -> DataFrame:
         cond = cond & (c >= F.lit(lo))
     if hi is not None:
         cond = cond & (c <= F.lit(hi))
+    if full_range_off:
+        valid = df.select(c.alias("__v")).filter(F.col("__v").isNotNull())
+        if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType)):
+            valid = valid.filter(~F.isnan("__v"))
+        rng = valid.agg(F.struct(F.min("__v").alias("mn"), F.max("__v").alias("mx"))).scalar()
+        covers = F.lit(True)
+        if lo is not None:
+            covers = covers & (F.lit(lo) <= rng.getField("mn"))
+        if hi is not None:
+            covers = covers & (F.lit(hi) >= rng.getField("mx"))
+        cond = cond | F.coalesce(covers, F.lit(False))
     return df.filter(cond)
 
 

@@ -354,8 +354,10 @@ ORACLE["grep_values"] = base("SELECT state FROM clean WHERE regexp_matches(state
 
 # ------------------------------------------------ H: table operators ---------
 ORACLE["filter_range"] = base(
-    "SELECT * FROM clean WHERE restaurant_total IS NOT NULL AND NOT isnan(restaurant_total)"
-    " AND restaurant_total >= 100000.0 AND restaurant_total <= 200000.0")
+    "SELECT * FROM clean WHERE (restaurant_total IS NOT NULL AND NOT isnan(restaurant_total)"
+    " AND restaurant_total >= 100000.0 AND restaurant_total <= 200000.0)"
+    " OR coalesce((SELECT 100000.0 <= min(restaurant_total) AND 200000.0 >= max(restaurant_total)"
+    " FROM clean WHERE restaurant_total IS NOT NULL AND NOT isnan(restaurant_total)), false)")
 ORACLE["filter_set"] = base("SELECT * FROM clean WHERE source IN ('1-URGENT', '2-HIGH')")
 ORACLE["filter_logical"] = base(
     "SELECT * FROM clean WHERE coalesce(lower(CAST(has_promo_value AS VARCHAR)), 'na') IN ('true', 'na')")

@@ -182,7 +182,10 @@ def test_table_filters(spark):
     df = spark.createDataFrame([(1.0, True, "Credit card"), (float("nan"), None, "cash"),
                                 (5.0, False, "CREDIT"), (None, True, None)],
                                "x double, b boolean, t string")
-    assert tb.filter_range(df, "x", 1.0, 5.0).count() == 2
+    assert tb.filter_range(df, "x", 1.0, 5.0).count() == 4          # full range: off
+    assert tb.filter_range(df, "x", 1.0, 5.0, full_range_off=False).count() == 2
+    assert tb.filter_range(df, "x", 1.5, 5.0).count() == 1
+    assert tb.filter_range(df, "x", None, 4.0).count() == 1
     assert tb.filter_range(df, "x", None, None).count() == 4
     assert tb.filter_set(df, "t", []).count() == 4
     assert tb.filter_logical(df, "b", ["na", "false"]).count() == 2
