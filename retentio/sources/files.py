@@ -39,9 +39,13 @@ def write_corrected(df: DataFrame, path: str) -> None:
     """Persist the cleaned table as Parquet, partitioned by ``order_month``.
 
     Partitioning by month lets the cohort stage prune whole months when it
-    reads a date range back.
+    reads a date range back.  The ``rebalance`` hint shuffles rows by month
+    into partitions that AQE sizes to the advisory size - splitting a heavy
+    month, merging light ones - so each month gets a few full-size files
+    instead of one small file per input task (or one giant task per month).
     """
-    df.write.mode("overwrite").partitionBy("order_month").parquet(path)
+    (df.hint("rebalance", "order_month")
+       .write.mode("overwrite").partitionBy("order_month").parquet(path))
 
 
 def read_corrected(spark: SparkSession, path: str) -> DataFrame:
