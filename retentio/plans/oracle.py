@@ -401,3 +401,24 @@ ORACLE["numeric_summary"] = with_(RAW, final=" UNION ALL ".join(
     f" CAST(sum(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) / count({c}) AS mean,"
     f" quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3, max(CAST({c} AS DOUBLE)) AS max,"
     f" CAST(count(*) - count({c}) AS BIGINT) AS n_missing FROM raw" for c in _NUM))
+
+
+# ------------------------------------------------ options of E2 / F3 / C3 -----
+FIRST_TIES = """
+ft_keys AS (SELECT customer, min(order_month) AS cohort_id FROM clean GROUP BY customer),
+ft_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer
+                                ORDER BY date_purchased, order_id) AS rn FROM clean) WHERE rn = 1),
+ft_cohort AS (SELECT r.customer, k.cohort_id, r.source, r.has_promo_value, r.promo_value
+              FROM ft_rows r JOIN ft_keys k ON r.customer = k.customer)"""
+ORACLE["customer_cohort_first"] = base("SELECT * FROM ft_cohort", FIRST_TIES)
+ORACLE["cohort_retention_all_first"] = base(f"""
+SELECT a.*, s.cohort_count, a.active_customers / CAST(s.cohort_count AS DOUBLE) AS retention_rate
+FROM (SELECT m.order_month, c.cohort_id, CAST(count(*) AS BIGINT) AS active_customers,
+             {period('c.cohort_id', 'm.order_month')} AS cohort_period
+      FROM (SELECT DISTINCT customer, order_month FROM clean) m JOIN ft_cohort c ON m.customer = c.customer
+      GROUP BY m.order_month, c.cohort_id) a
+LEFT JOIN (SELECT cohort_id, count(*) AS cohort_count FROM ft_cohort GROUP BY cohort_id) s
+  ON a.cohort_id IS NOT DISTINCT FROM s.cohort_id""", FIRST_TIES)
+ORACLE["orders_by_week_monday"] = base(
+    "SELECT CAST(date_trunc('week', order_date) AS DATE) AS order_week, count(*) AS orders"
+    " FROM clean GROUP BY 1")

@@ -574,3 +574,23 @@ def q_trend_orders_by_week(spark, sf):
     s = eda.count_by(cleaned(spark, sf), "order_week").withColumn(
         "day", F.unix_date("order_week").cast("double"))
     return sm.loess_trend(s, "day", "orders").select("order_week", "orders", "trend")
+
+
+# ------------------------------------------------ options of E2 / F3 / C3 -----
+@query("customer_cohort_first")
+def q_customer_cohort_first(spark, sf):
+    """E2 with ``ties='first'``: one first order per customer (lowest order_id)."""
+    return co.customer_cohort(cleaned(spark, sf), ties="first")
+
+
+@query("cohort_retention_all_first")
+def q_cohort_retention_all_first(spark, sf):
+    act, counts = co.cohort_tables(cleaned(spark, sf), ties="first")
+    return rt.retention(act, counts)
+
+
+@query("orders_by_week_monday")
+def q_orders_by_week_monday(spark, sf):
+    df = cl.with_dates(cleaned(spark, sf).drop("order_date", "order_month", "order_week"),
+                       week_start="monday")
+    return eda.count_by(df, "order_week").orderBy("order_week")
