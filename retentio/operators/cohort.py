@@ -1,23 +1,23 @@
 """Cohort stage: first orders, cohort assignment, monthly activity.
 
-Physical design (see README "Scale"): everything that touches the full
-orders table is an aggregation with a map-side partial step, or a join on
-``(customer, date_purchased)``.  No step puts all rows of one customer into
-one task, so a customer holding a third of all orders is pre-aggregated
+Physical design (see README "Scale design"): everything that touches the
+full orders table is an aggregation with a map-side partial step, or a join
+on ``(customer, date_purchased)``.  No step puts all rows of one customer
+into one task, so a customer holding a third of all orders is pre-aggregated
 before any shuffle instead of landing on one executor.
 
-* ``first_order_keys``  groupBy(customer): min(date_purchased), min(order_month)
-  (partial aggregation: one row per customer per map task)
+* ``customer_months``   groupBy(customer, order_month): min(date_purchased)
+  - the active months, and (rolled up by ``keys_from_months``) each
+  customer's first purchase and cohort month, from one read of the orders
 * ``first_order_rows``  join back on (customer, date_purchased = first_ts);
-  the hot customer's rows spread over many timestamps
-* ``active_months``     distinct (customer, order_month), partial aggregation
+  a heavy customer's rows spread over many timestamps
+* ``weighted_cohort``   tied or copied first orders become a weight
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from retentio.functions.dates import cohort_period
 from retentio.schema import FIRST_ORDER_ATTRS
@@ -40,6 +40,14 @@ def customer_months(df: DataFrame, ts: str = "date_purchased") -> DataFrame:
     return df.groupBy("customer", "order_month").agg(F.min(ts).alias("__first_ts"))
 
 
+# A month row exists because of a purchase, so it has a purchase text (or, for
+# input that was never cleaned, no month at all).  Filtering on it changes no
+# row; it keeps the text column in the months branch, so that branch and the
+# first-purchase branch read one and the same customer-month exchange.
+def _has_purchase():
+    return F.col("__first_ts").isNotNull() | F.col("order_month").isNull()
+
+
 def keys_from_months(cm: DataFrame) -> DataFrame:
     return cm.groupBy("customer").agg(F.min("__first_ts").alias("first_ts"),
                                       F.min("order_month").alias("cohort_id"))
@@ -108,7 +116,7 @@ def customer_activity(df: DataFrame, cohort: DataFrame | None = None,
     cm = customer_months(df)
     cohort = (first_order_rows(df, ties=ties, keys=keys_from_months(cm))
               .select("customer", "cohort_id", *attrs))
-    months = cm.filter(F.col("__first_ts").isNotNull()).select("customer", "order_month")
+    months = cm.filter(_has_purchase()).select("customer", "order_month")
     return months.join(cohort, on="customer", how="left")
 
 
@@ -159,11 +167,7 @@ def cohort_tables(df: DataFrame, attrs: list[str] | None = None,
     keys = keys_from_months(cm)
     cohort = first_order_rows(df, ties=ties, keys=keys).select("customer", "cohort_id", *attrs)
     weighted = weighted_cohort(cohort, attrs)
-    # Every month row holds a purchase, so its earliest purchase text is set.
-    # Saying so keeps that column in this branch: both branches then read the
-    # same customer-month exchange, and the orders are scanned once for it.
-    act = (cm.filter(F.col("__first_ts").isNotNull())
-             .join(weighted, on="customer", how="inner"))
+    act = cm.filter(_has_purchase()).join(weighted, on="customer", how="inner")
     activity = (act.groupBy("order_month", "cohort_id", *attrs)
                    .agg(F.sum("__w").alias("active_customers"))
                    .withColumn("cohort_period", cohort_period("cohort_id", "order_month")))
