@@ -107,7 +107,8 @@ def _type7(n: int, p: float) -> tuple[int, int, float]:
 
 def numeric_summary(df: DataFrame, cols: list[str] | None = None, approx: bool = False,
                     accuracy: int = 10000, materialize: bool = False) -> DataFrame:
-    """Per numeric column: min, quartiles, mean, max and missing count.
+    """Per column: min, quartiles, mean, max and missing count for numeric
+    columns; for text columns only ``length`` (row count) and ``kind``.
 
     Quartiles interpolate linearly between order statistics (the usual
     "type 7" definition).  ``approx=True`` uses ``percentile_approx`` (one
@@ -118,8 +119,11 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None, approx: bool =
     """
     spark = df.sparkSession
     numeric = ("int", "bigint", "smallint", "tinyint", "double", "float")
-    cols = cols or [f.name for f in df.schema.fields if f.dataType.simpleString() in numeric
-                    or f.dataType.simpleString().startswith("decimal")]
+    is_num = {f.name: f.dataType.simpleString() in numeric
+              or f.dataType.simpleString().startswith("decimal") for f in df.schema.fields}
+    text_cols = [] if cols else [f.name for f in df.schema.fields
+                                 if f.dataType.simpleString() == "string"]
+    cols = cols or [c for c, v in is_num.items() if v]
     probs = [0.25, 0.5, 0.75]
     long = _long(df, cols)
     base = long.groupBy("k").agg(
@@ -152,6 +156,16 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None, approx: bool =
             rows.append((k, *qs))
         qdf = spark.createDataFrame(rows, "k string, q1 double, median double, q3 double")
         out = base.join(qdf, "k").select("k", "mn", "q1", "median", "mean", "q3", "mx")
-    return (out.join(miss, "k", "right")
-               .select(F.col("k").alias("column_name"), F.col("mn").alias("min"), "q1", "median",
-                       "mean", "q3", F.col("mx").alias("max"), F.col("n_missing").cast("bigint")))
+    n_rows = df.agg(F.count(F.lit(1))).scalar()
+    summary = (out.join(miss, "k", "right")
+                  .select(F.col("k").alias("column_name"), F.lit("numeric").alias("kind"),
+                          n_rows.alias("length"), F.col("mn").alias("min"), "q1", "median",
+                          "mean", "q3", F.col("mx").alias("max"),
+                          F.col("n_missing").cast("bigint")))
+    if text_cols:
+        text = spark.createDataFrame([(c,) for c in text_cols], "column_name string").select(
+            "column_name", F.lit("character").alias("kind"), n_rows.alias("length"),
+            *[F.lit(None).cast("double").alias(c) for c in ("min", "q1", "median", "mean", "q3", "max")],
+            F.lit(None).cast("bigint").alias("n_missing"))
+        summary = summary.unionByName(text)
+    return summary

@@ -395,12 +395,15 @@ ORACLE["schema_profile"] = base(
     + ", ".join(f"({i + 1}, '{c}', '{t}')" for i, (c, t) in enumerate(_PROFILE))
     + ") t(position, column_name, data_type)")
 _NUM = ["order_id", "promo_value", "restaurant_total", "customer", "shops_id", "postal_code"]
+_TXT = ["source", "date_purchased", "shipping_type", "payment_method", "state"]
 ORACLE["numeric_summary"] = with_(RAW, final=" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, min(CAST({c} AS DOUBLE)) AS min,"
+    f"SELECT '{c}' AS column_name, 'numeric' AS kind, count(*) AS length, min(CAST({c} AS DOUBLE)) AS min,"
     f" quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median,"
     f" CAST(sum(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) / count({c}) AS mean,"
     f" quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3, max(CAST({c} AS DOUBLE)) AS max,"
-    f" CAST(count(*) - count({c}) AS BIGINT) AS n_missing FROM raw" for c in _NUM))
+    f" CAST(count(*) - count({c}) AS BIGINT) AS n_missing FROM raw" for c in _NUM) + "".join(
+    f" UNION ALL SELECT '{c}', 'character', count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM raw"
+    for c in _TXT))
 
 
 # ------------------------------------------------ options of E2 / F3 / C3 -----
