@@ -32,6 +32,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if master.startswith("local"):
+        # Local mode runs every executor thread inside the driver JVM, so its
+        # heap is the executors' memory; the 1g default is far too small for
+        # 8 threads aggregating millions of rows.  (Applies when this call
+        # launches the JVM; a cluster sizes executors through its own conf.)
+        builder = builder.config("spark.driver.memory",
+                                 os.environ.get("RETENTIO_DRIVER_MEMORY", "16g"))
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
