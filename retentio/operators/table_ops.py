@@ -100,16 +100,22 @@ def linked_filter(df: DataFrame, key: str, key_sets) -> DataFrame:
 
     ``key_sets`` holds one-column DataFrames of keys, or ``None`` for an
     inactive filter (removes nothing).  An active empty set removes every
-    row.  Each active set is a left-semi join, which Spark plans as a
-    broadcast when the set is small and a shuffle join otherwise.
+    row.  The key sets are intersected among themselves first (each made
+    distinct, tagged, and grouped by key: a key survives when all k sets hold
+    it), so the large table takes a single left-semi join - broadcast when
+    the surviving keys are few, a shuffle join otherwise - instead of k.
     """
-    out = df
-    for ks in key_sets:
-        if ks is None:
-            continue
-        only = ks.select(F.col(ks.columns[0]).alias("__key")).distinct()
-        out = out.join(only, F.col(key) == F.col("__key"), "left_semi")
-    return out
+    active = [ks for ks in key_sets if ks is not None]
+    if not active:
+        return df
+    tagged = [ks.select(F.col(ks.columns[0]).alias("__key")).distinct() for ks in active]
+    if len(tagged) == 1:
+        keys = tagged[0]
+    else:
+        keys = (reduce(lambda a, b: a.unionByName(b), tagged)
+                .groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+                .filter(F.col("__n") == len(tagged)).select("__key"))
+    return df.join(keys, F.col(key) == F.col("__key"), "left_semi")
 
 
 # -- H8 -----------------------------------------------------------------------
