@@ -133,9 +133,16 @@ def columns_to_rows(df: DataFrame, cols: list[str], keep: list[str] | None = Non
 # -- H9 -----------------------------------------------------------------------
 def keyset_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Keys added and removed between two versions of a key set:
-    rows ``(key, change)`` with ``change`` in {'added', 'removed'}."""
-    o = old.select(F.col(key)).distinct()
-    n = new.select(F.col(key)).distinct()
-    added = n.join(o, on=key, how="left_anti").withColumn("change", F.lit("added"))
-    removed = o.join(n, on=key, how="left_anti").withColumn("change", F.lit("removed"))
-    return added.unionByName(removed)
+    rows ``(key, change)`` with ``change`` in {'added', 'removed'}.
+
+    One full outer join of the two distinct key sets (one shuffle per side)
+    gives both directions at once; a NULL key never matches, so it shows up
+    on its own side, as an anti join would report it.
+    """
+    o = old.select(F.col(key).alias("__ko")).distinct().withColumn("__in_old", F.lit(True))
+    n = new.select(F.col(key).alias("__kn")).distinct().withColumn("__in_new", F.lit(True))
+    j = o.join(n, F.col("__ko") == F.col("__kn"), "full_outer")
+    changed = j.filter(F.col("__in_old").isNull() | F.col("__in_new").isNull())
+    return changed.select(
+        F.coalesce(F.col("__kn"), F.col("__ko")).alias(key),
+        F.when(F.col("__in_old").isNull(), F.lit("added")).otherwise(F.lit("removed")).alias("change"))

@@ -175,6 +175,9 @@ def test_key_sets_linked_filter_and_diff(spark):
     diff = sorted((r.k, r.change) for r in tb.keyset_diff(a, b, "k").collect())
     assert diff == [(0, "removed"), (1, "removed"), (2, "removed"), (6, "added"), (7, "added"),
                     (8, "added"), (9, "added")]
+    with_null = spark.createDataFrame([(None,), (1,)], "k long")
+    got = sorted((r.k is None, r.change) for r in tb.keyset_diff(with_null, b, "k").collect())
+    assert (True, "removed") in got and (False, "removed") in got
 
 
 def test_table_filters(spark):
