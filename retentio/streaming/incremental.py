@@ -38,25 +38,29 @@ class CohortState:
         self.cutoff = cutoff
         self.attrs = list(FIRST_ORDER_ATTRS if attrs is None else attrs)
         self.root = root or scratch_path(spark, "cohort-state")
-        self.version: int | None = self._latest_complete()
+        self.versions: list[int] = self._complete_versions()
 
-    def _latest_complete(self) -> int | None:
-        """Newest snapshot whose ``keys`` table was written (restart support)."""
+    @property
+    def version(self) -> int | None:
+        return self.versions[-1] if self.versions else None
+
+    def _complete_versions(self) -> list[int]:
+        """Snapshots whose ``keys`` table was written (restart support)."""
         try:
             files = self.spark.read.parquet(f"{self.root}/v*/keys").inputFiles()
         except Exception:  # noqa: BLE001 - no snapshot yet
-            return None
-        versions = [int(m.group(1)) for f in files
-                    if (m := re.search(r"/v(\d{9})/keys/", f))]
-        return max(versions) if versions else None
+            return []
+        return sorted({int(m.group(1)) for f in files
+                       if (m := re.search(r"/v(\d{9})/keys/", f))})
 
     def _path(self, version: int, name: str) -> str:
         return f"{self.root}/v{version:09d}/{name}"
 
-    def _read(self, name: str) -> DataFrame | None:
-        if self.version is None:
+    def _read(self, name: str, version: int | None = None) -> DataFrame | None:
+        version = self.version if version is None else version
+        if version is None:
             return None
-        return self.spark.read.parquet(self._path(self.version, name))
+        return self.spark.read.parquet(self._path(version, name))
 
     def merge_batch(self, batch: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` body: clean the new orders, fold them into the state."""
@@ -68,7 +72,13 @@ class CohortState:
                                             F.min("order_month").alias("cohort_id"))
         ties = rows.groupBy("customer", "first_ts", *a).agg(F.count(F.lit(1)).alias("__w"))
         months = rows.select("customer", "order_month").distinct()
-        old_k, old_t, old_m = self._read("keys"), self._read("ties"), self._read("months")
+        # Merge onto the newest snapshot older than this batch: a batch that is
+        # replayed after a failure (its own snapshot possibly written already)
+        # is then folded in exactly once.
+        older = [v for v in self.versions if v < batch_id]
+        base = older[-1] if older else None
+        old_k, old_t, old_m = (self._read(n, base) for n in ("keys", "ties", "months")) \
+            if base is not None else (None, None, None)
         if old_k is not None:
             keys = (keys.unionByName(old_k).groupBy("customer")
                         .agg(F.min("first_ts").alias("first_ts"), F.min("cohort_id").alias("cohort_id")))
@@ -78,7 +88,7 @@ class CohortState:
                     .groupBy("customer", "first_ts", *a).agg(F.sum("__w").alias("__w")))
         for name, frame in (("months", months), ("ties", ties), ("keys", keys)):
             frame.write.mode("overwrite").parquet(self._path(batch_id, name))
-        self.version = batch_id
+        self.versions = sorted(set(self.versions) | {batch_id})
 
     def cohort_tables(self) -> tuple[DataFrame, DataFrame]:
         """(cohort_activity, cohort_counts) of everything merged so far."""
