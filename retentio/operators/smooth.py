@@ -17,8 +17,10 @@ between them, the way loess surfaces are usually evaluated:
    slope; each point's trend is the cubic Hermite interpolation between the
    two vertices around it.
 
-Series points are joined only with the vertex table (bounded size,
-broadcast), so the work is linear in the series length.
+Each series point is paired with the vertex list (bounded size, held as
+literals in the plan) by an ``explode``, not a join, and the interpolation
+cell is found by comparing against the sorted vertex literals, so the work
+is linear in the series length with no join at all.
 """
 
 from __future__ import annotations
@@ -84,20 +86,21 @@ def loess_vertices(series: DataFrame, x: str, y: str, span: float = DEFAULT_SPAN
     stats = order_statistics(xs, {"x": ranks}, {"x": (lo, hi, n)}) if ranks else {}
     mu = BOX_MARGIN * max(hi - lo, 1e-10 * max(abs(lo), abs(hi)) + 1e-30)
     verts = sorted({lo - mu, hi + mu} | {(stats[("x", a)] + stats[("x", b)]) / 2 for a, b in pairs})
-    vdf = spark.createDataFrame([(i, v) for i, v in enumerate(verts)], "vid int, v double")
-    dist = pts.join(F.broadcast(vdf)).select("vid", "v", "x", "y",
-                                             F.abs(F.col("x") - F.col("v")).alias("d"))
+    vlist = F.array(*[F.struct(F.lit(i).alias("vid"), F.lit(float(v)).alias("v"))
+                      for i, v in enumerate(verts)])
+    dist = (pts.select("x", "y", F.explode(vlist).alias("__v"))
+               .select(F.col("__v.vid").alias("vid"), F.col("__v.v").alias("v"), "x", "y")
+               .withColumn("d", F.abs(F.col("x") - F.col("v"))))
     # Bandwidth per vertex: q-th smallest distance (exact, distributed).
     dl = dist.select(F.col("vid").cast("string").alias("k"), F.col("d").alias("x"))
     bounds = {str(r["vid"]): (r["mn"], r["mx"], r["n"]) for r in
               dist.groupBy("vid").agg(F.min("d").alias("mn"), F.max("d").alias("mx"),
                                       F.count(F.lit(1)).alias("n")).collect()}
     hq = order_statistics(dl, {k: [q - 1] for k in bounds}, bounds)
-    hdf = spark.createDataFrame([(int(k), float(hq[(k, q - 1)])) for k in bounds],
-                                "vid int, h double")
+    hs = F.array(*[F.lit(float(hq[(str(i), q - 1)])) for i in range(len(verts))])
     u = (F.col("x") - F.col("v")) / F.col("h")
     w = F.pow(1 - F.pow(F.abs(u), 3), 3)
-    near = (dist.join(F.broadcast(hdf), "vid")
+    near = (dist.withColumn("h", F.element_at(hs, F.col("vid") + 1))
                 .filter((F.col("h") > 0) & (F.col("d") < F.col("h")))
                 .select("vid", "h", u.alias("u"), w.alias("w"), "y"))
     aggs = [F.sum(F.col("w") * F.pow(F.col("u"), i)).alias(f"s{i}") for i in range(2 * degree + 1)]
@@ -117,20 +120,28 @@ def loess_vertices(series: DataFrame, x: str, y: str, span: float = DEFAULT_SPAN
 def loess_trend(series: DataFrame, x: str, y: str, span: float = DEFAULT_SPAN, degree: int = 2,
                 cell: float = DEFAULT_CELL, digits: int = 4) -> DataFrame:
     """``series`` plus ``trend``: the loess curve at each point, rounded."""
-    spark = series.sparkSession
     verts = loess_vertices(series, x, y, span, degree, cell)
-    cells = [(a[0], b[0], a[1], b[1], a[2], b[2]) for a, b in zip(verts, verts[1:])]
-    cdf = spark.createDataFrame(cells, "va double, vb double, fa double, fb double, sa double, sb double")
     xv = F.col(x).cast("double")
-    joined = series.join(F.broadcast(cdf), (xv >= F.col("va")) & (xv <= F.col("vb")))
-    width = F.col("vb") - F.col("va")
-    t = (xv - F.col("va")) / width
+    if len(verts) < 2:
+        return series.withColumn("trend", F.lit(None).cast("double"))
+    # Cell index: how many interior vertices lie at or below x (vertex 0 is
+    # below every point), so cell i spans [v_i, v_(i+1)].
+    idx = F.lit(0)
+    for v, _, _ in verts[1:-1]:
+        idx = idx + F.when(xv >= F.lit(float(v)), 1).otherwise(0)
+    idx = idx + 1                                   # element_at is 1-based
+
+    def pick(values):
+        return F.element_at(F.array(*[F.lit(float(z)) for z in values]), idx)
+
+    va, vb = pick([a[0] for a in verts[:-1]]), pick([b[0] for b in verts[1:]])
+    fa, fb = pick([a[1] for a in verts[:-1]]), pick([b[1] for b in verts[1:]])
+    sa, sb = pick([a[2] for a in verts[:-1]]), pick([b[2] for b in verts[1:]])
+    width = vb - va
+    t = (xv - va) / width
     h00 = 2 * t ** 3 - 3 * t ** 2 + 1
     h10 = t ** 3 - 2 * t ** 2 + t
     h01 = -2 * t ** 3 + 3 * t ** 2
     h11 = t ** 3 - t ** 2
-    val = (h00 * F.col("fa") + h10 * width * F.col("sa") + h01 * F.col("fb")
-           + h11 * width * F.col("sb"))
-    # A point on a shared vertex matches two cells with the same value; keep one.
-    out = joined.withColumn("trend", F.round(val, digits)).drop("va", "vb", "fa", "fb", "sa", "sb")
-    return out.dropDuplicates([x])
+    val = h00 * fa + h10 * width * sa + h01 * fb + h11 * width * sb
+    return series.withColumn("trend", F.round(val, digits))
