@@ -10,6 +10,8 @@ threshold and otherwise shuffles.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -170,3 +172,44 @@ def acquisition_growth(counts: DataFrame) -> DataFrame:
                 .withColumn("growth_rate", F.try_divide(F.col("cohort_count") - F.col("prev_count"),
                                                         F.col("prev_count").cast("double")))
                 .withColumn("customers_to_date", run.cast("bigint")))
+
+
+
+@dataclass
+class RetentionReport:
+    """Retention per slice over one persisted pair of cohort tables."""
+    activity: DataFrame
+    counts: DataFrame
+    slices: dict[tuple[str, ...], DataFrame] = field(default_factory=dict)
+
+    def __getitem__(self, by) -> DataFrame:
+        return self.slices[tuple(by)]
+
+    def unpersist(self) -> None:
+        self.activity.unpersist()
+        self.counts.unpersist()
+
+
+def retention_report(df: DataFrame, slices: list[list[str]] | None = None, ties: str = "all",
+                     storage_level=None) -> RetentionReport:
+    """Retention for several slices from one cohort computation.
+
+    The cohort tables are built once and persisted - they are small (months x
+    cohorts x attribute levels), so keeping them costs little and every
+    slice after the first reads them instead of the orders.  Each slice's
+    retention is a rollup of the same persisted tables.  Persisted blocks
+    lost with an executor are recomputed from lineage.  Call ``unpersist()``
+    on the report when done.
+    """
+    from pyspark import StorageLevel
+
+    slices = slices if slices is not None else [[], ["has_promo_value"], ["promo_value"]]
+    attrs = sorted({c for s in slices for c in s})
+    act, counts = co.cohort_tables(df, attrs, ties)
+    level = storage_level or StorageLevel.MEMORY_AND_DISK
+    report = RetentionReport(act.persist(level), counts.persist(level))
+    bounded_levels = {"has_promo_value", "promo_value"}
+    for s in slices:
+        report.slices[tuple(s)] = retention(report.activity, report.counts, list(s),
+                                            bounded=set(s) <= bounded_levels)
+    return report

@@ -65,3 +65,14 @@ def test_acquisition_growth_running_total(df):
     g = rt.acquisition_growth(counts).orderBy("cohort_id").collect()
     assert g[0].prev_count is None and g[0].growth_rate is None
     assert g[-1].customers_to_date == sum(r.cohort_count for r in g)
+
+
+def test_retention_report_equals_single_slices(df):
+    from tests.helpers import rows
+    report = rt.retention_report(df, [[], ["has_promo_value"], ["promo_value"]])
+    try:
+        act, counts = co.cohort_tables(df)
+        for by in ([], ["has_promo_value"], ["promo_value"]):
+            assert rows(report[by]) == rows(rt.retention(act, counts, by))
+    finally:
+        report.unpersist()
