@@ -66,13 +66,13 @@ def orders_per_customer(df: DataFrame) -> DataFrame:
 # -- D5 / D6 ------------------------------------------------------------------
 def _bucket_table(df: DataFrame) -> DataFrame:
     """Customers per order count, plus the number of distinct non-NULL
-    customers (the share denominator) as a window total over the bucket
-    table - one row per distinct order count, so the window is small - in
-    place of a second pass over the orders."""
+    customers (the share denominator) summed from the bucket table itself by
+    a scalar subquery - the bucket aggregation's exchange is shared, so the
+    orders are not read a second time."""
     per_customer = orders_per_customer(df)
     b = per_customer.groupBy("num_orders").agg(F.count(F.lit(1)).alias("customer_count"),
                                                F.count("customer").alias("__named"))
-    return b.withColumn("__total", F.sum("__named").over(Window.partitionBy()).cast("double"))
+    return b.withColumn("__total", b.agg(F.sum("__named")).scalar().cast("double"))
 
 
 def order_buckets(df: DataFrame) -> DataFrame:
