@@ -1,5 +1,4 @@
 """Every registered query with oracle SQL equals DuckDB on the sf0.001 tables."""
-import os
 
 import duckdb
 import pytest

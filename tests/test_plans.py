@@ -26,7 +26,6 @@ def test_exchange_budget_cohort_activity(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         from retentio.operators import cohort as co
-        from retentio.plans.common import cleaned
         from retentio.sources.tables import _table
         df = _table(spark, SF_SMALL, "orders").selectExpr(
             "o_orderkey AS order_id", "o_custkey AS customer", "o_orderpriority AS source",
