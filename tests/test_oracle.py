@@ -43,3 +43,20 @@ def test_matches_duckdb(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_rows_only_queries_run(spark, name):
     assert entry.queries()[name](spark, SF_SMALL).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["order_date", "order_week", "orders_by_week_monday",
+                                  "cohort_retention_all", "retention_by_hour", "read_orders"])
+def test_date_queries_ignore_session_zone(spark, con, name):
+    """Dates are cut from text and the test timestamps carry no zone, so a
+    session in another time zone gives the same rows."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        sdf = entry.queries()[name](spark, SF_SMALL)
+        srows = [tuple(r) for r in sdf.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    res = con.execute(entry.oracle_sql()[name])
+    dcols = [d[0] for d in res.description]
+    assert canon(sdf.columns, srows) == canon(dcols, res.fetchall())
