@@ -384,6 +384,7 @@ ORACLE["read_orders"] = with_(RAW, final="SELECT * FROM raw")
 ORACLE["read_zip_lookup"] = with_(RAW, final="SELECT * FROM zips")
 ORACLE["write_corrected"] = base("SELECT * FROM clean")
 ORACLE["read_corrected"] = ORACLE["cohort_retention_all"]
+ORACLE["read_corrected_bucketed"] = ORACLE["cohort_retention_all"]
 _PROFILE = [("order_id", "bigint"), ("source", "string"), ("date_purchased", "string"),
             ("shipping_type", "string"), ("payment_method", "string"), ("promo_value", "int"),
             ("restaurant_total", "double"), ("customer", "bigint"), ("shops_id", "bigint"),

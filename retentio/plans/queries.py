@@ -105,6 +105,7 @@ SEARCH_COL, SEARCH_WORDS = "payment_method", "auto MOBILE"
 REGEX_COL, REGEX_QUERY = "source", "^[12]-"
 GREP_COL, GREP_PATTERN = "state", "_1[0-9]$"
 GROUP_COL, GROUP_KEY, GROUP_CHOSEN = "state", "customer", ["NATION_1", "NATION_2", "NATION_3"]
+CORRECTED_BUCKETS = 8
 # ============================================================================
 
 
@@ -594,3 +595,14 @@ def q_orders_by_week_monday(spark, sf):
     df = cl.with_dates(cleaned(spark, sf).drop("order_date", "order_month", "order_week"),
                        week_start="monday")
     return eda.count_by(df, "order_week").orderBy("order_week")
+
+
+@query("read_corrected_bucketed")
+def q_read_corrected_bucketed(spark, sf):
+    """The cohort stage on the saved table bucketed by (customer, instant):
+    the join back to the first-order rows reads the orders without a shuffle."""
+    import uuid
+    table = f"retentio_corrected_{uuid.uuid4().hex[:12]}"
+    src.save_corrected_table(cleaned(spark, sf), table, scratch_path(spark, "bucketed"), CORRECTED_BUCKETS)
+    act, counts = co.cohort_tables(spark.table(table))
+    return rt.retention(act, counts)

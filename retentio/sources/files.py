@@ -52,3 +52,23 @@ def read_corrected(spark: SparkSession, path: str) -> DataFrame:
     """Read the corrected table back; ``order_month`` comes from the folder names."""
     df = spark.read.parquet(path)
     return df.withColumn("order_month", F.col("order_month").cast("date"))
+
+
+def save_corrected_table(df: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Save the cleaned table as a catalog table bucketed by
+    (customer, date_purchased) and partitioned by ``order_month``.
+
+    The cohort stage's largest shuffle is the join back to the first-order
+    rows, keyed on exactly (customer, date_purchased).  Read from this table,
+    that join finds the orders already hashed into ``buckets`` buckets, so
+    only the small per-customer side moves.  The instant is part of the
+    bucket key so that one customer with very many orders still spreads over
+    many buckets.  ``path`` (in the shared folder) holds the data; the
+    catalog holds the bucket spec that the planner reads.
+    """
+    (df.repartition(buckets, "customer", "date_purchased")
+       .write.mode("overwrite")
+       .partitionBy("order_month")
+       .bucketBy(buckets, "customer", "date_purchased")
+       .option("path", path)
+       .saveAsTable(table))

@@ -8,6 +8,7 @@ from tests.conftest import SF_SMALL
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
             "FlatMapCoGroupsInPandas", "PythonUDF")
 SIDE_EFFECT = {"read_orders", "read_zip_lookup", "write_corrected", "read_corrected",
+               "read_corrected_bucketed",
                "numeric_summary", "linear_fit_pvalues"}
 
 
@@ -51,3 +52,25 @@ def test_filters_and_pruning_reach_scan(spark):
              .select("o_orderkey"))
     assert "PushedFilters: [IsNotNull(o_orderdate), LessThan(o_orderdate" in p, p
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in p, p
+
+
+def test_bucketed_table_join_back_without_shuffle(spark):
+    import uuid
+    from retentio.operators import cohort as co
+    from retentio.plans.common import cleaned
+    from retentio.session import scratch_path
+    from retentio.sources import save_corrected_table
+    table = f"t_{uuid.uuid4().hex[:10]}"
+    save_corrected_table(cleaned(spark, SF_SMALL), table, scratch_path(spark, "bkt"), 4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        import re
+        act, _ = co.cohort_tables(spark.table(table))
+        p = re.sub(r"#\d+L?", "", plan(act))
+        # the first-order join keeps the table's bucket layout: only the keys side moves
+        assert "hashpartitioning(__k, first_ts, 4)" in p, p
+        assert "Exchange hashpartitioning(customer, date_purchased" not in p, p
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
