@@ -6,6 +6,7 @@ test tables.  Column names equal those of the oracle SQL in ``oracle.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -601,7 +602,6 @@ def q_orders_by_week_monday(spark, sf):
 def q_read_corrected_bucketed(spark, sf):
     """The cohort stage on the saved table bucketed by (customer, instant):
     the join back to the first-order rows reads the orders without a shuffle."""
-    import uuid
     table = f"retentio_corrected_{uuid.uuid4().hex[:12]}"
     src.save_corrected_table(cleaned(spark, sf), table, scratch_path(spark, "bucketed"), CORRECTED_BUCKETS)
     act, counts = co.cohort_tables(spark.table(table))
