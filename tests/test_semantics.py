@@ -247,3 +247,21 @@ def test_month_partitions_pruned_on_saved_table(spark):
     assert "PartitionFilters: [isnotnull(order_month" in plan and "<= 2000-01-01" in plan, plan
     assert df.filter("order_date >= '2000-01-01'").count() == 0
     assert df.count() == cleaned(spark, SF_SMALL).filter("order_date < '2000-01-01'").count()
+
+
+def test_csv_unquoted_blank_text_is_missing_either_way(spark, tmp_path):
+    """An unquoted blank text cell reads as NULL (the reference's reader keeps
+    ''); both are missing, so the cleaning stage treats the row the same."""
+    from retentio.sources import read_orders
+    header = ("order_id,source,date_purchased,shipping_type,payment_method,promo_value,"
+              "restaurant_total,customer,shops_id,state,postal_code\n")
+    p1, p2 = tmp_path / "blank.csv", tmp_path / "quoted.csv"
+    p1.write_text(header + "1,web,2019-03-13T08:02:07.000Z,Delivery,cash,0,1.0,5,2,,1\n")
+    p2.write_text(header + '1,web,2019-03-13T08:02:07.000Z,Delivery,cash,0,1.0,5,2,"",1\n')
+    lk = spark.createDataFrame([(1, "MD")], "zip int, state_id string")
+    a = read_orders(spark, str(p1))
+    b = read_orders(spark, str(p2))
+    assert a.first().state is None and b.first().state == ""
+    ca = cl.clean_orders(a, lk, None).select("order_id", "state").collect()
+    cb = cl.clean_orders(b, lk, None).select("order_id", "state").collect()
+    assert ca == cb == [(1, "MD")]
