@@ -1,20 +1,21 @@
 """Fold micro-batches of orders into per-customer cohort state.
 
-State (Parquet snapshots in the shared checkpoint folder, one per batch id):
-
-* ``keys``   (customer, first_ts, cohort_id): earliest purchase text and month
-* ``ties``   (customer, first_ts, attrs..., __w): first-order attribute rows
-             at that key, with how many orders carry them
-* ``months`` (customer, order_month): months with at least one order
-
-A batch is merged with the previous snapshot using the same aggregations as
-the batch operators (partial ``min`` / ``count`` / ``distinct``), and the
-result is written under the batch id, so replaying a batch after a failure
-rewrites the same snapshot.  ``keys`` is written last: a snapshot whose
-``keys`` folder holds data files is complete, and a restarted driver picks
-up the newest such snapshot (the stream's own checkpoint resumes the batches).  ``cohort_tables`` turns the latest snapshot into
-the cohort activity and counts tables; their size is customers x months,
-independent of how many orders have been seen.
+Each batch writes only its own delta, under its batch id, in the shared
+checkpoint folder - so a batch costs O(batch), not O(state):
+
+* ``keys``   (customer, first_ts, cohort_id): the batch's earliest purchase
+             text and month per customer
+* ``ties``   (customer, first_ts, attrs..., __w): the batch's orders at that
+             batch-local first instant, as attribute rows with counts
+* ``months`` (customer, order_month): the batch's active months
+
+The reader folds all complete deltas with the same aggregations as the batch
+operators: ``min`` over the keys, the tie rows whose instant is the global
+first instant (summing their weights across batches), ``distinct`` months.
+A batch-local first instant later than the global one contributes nothing,
+so the fold is exact.  ``keys`` is written last and marks a delta complete;
+a replayed batch (after a failure) overwrites its own delta, so it is folded
+in once; a restarted driver finds the complete deltas on disk.
 """
 
 from __future__ import annotations
@@ -44,59 +45,44 @@ class CohortState:
     def version(self) -> int | None:
         return self.versions[-1] if self.versions else None
 
+    def _path(self, batch_id: int, name: str) -> str:
+        return f"{self.root}/v{batch_id:09d}/{name}"
+
     def _complete_versions(self) -> list[int]:
-        """Snapshots whose ``keys`` table was written (restart support)."""
+        """Batches whose ``keys`` delta was written (restart support)."""
         try:
             files = self.spark.read.parquet(f"{self.root}/v*/keys").inputFiles()
-        except Exception:  # noqa: BLE001 - no snapshot yet
+        except Exception:  # noqa: BLE001 - nothing written yet
             return []
         return sorted({int(m.group(1)) for f in files
                        if (m := re.search(r"/v(\d{9})/keys/", f))})
 
-    def _path(self, version: int, name: str) -> str:
-        return f"{self.root}/v{version:09d}/{name}"
-
-    def _read(self, name: str, version: int | None = None) -> DataFrame | None:
-        version = self.version if version is None else version
-        if version is None:
-            return None
-        return self.spark.read.parquet(self._path(version, name))
-
     def merge_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """``foreachBatch`` body: clean the new orders, fold them into the state."""
+        """``foreachBatch`` body: clean the new orders, write the batch's delta."""
         df = clean_orders(batch, self.lookup, self.cutoff)
         a = self.attrs
-        rows = df.select("customer", F.col("date_purchased").alias("first_ts"),
-                         "order_month", *a)
+        rows = df.select("customer", F.col("date_purchased").alias("first_ts"), "order_month", *a)
         keys = rows.groupBy("customer").agg(F.min("first_ts").alias("first_ts"),
                                             F.min("order_month").alias("cohort_id"))
-        ties = rows.groupBy("customer", "first_ts", *a).agg(F.count(F.lit(1)).alias("__w"))
+        ties = (rows.join(keys.select("customer", "first_ts"), ["customer", "first_ts"], "left_semi")
+                    .groupBy("customer", "first_ts", *a).agg(F.count(F.lit(1)).alias("__w")))
         months = rows.select("customer", "order_month").distinct()
-        # Merge onto the newest snapshot older than this batch: a batch that is
-        # replayed after a failure (its own snapshot possibly written already)
-        # is then folded in exactly once.
-        older = [v for v in self.versions if v < batch_id]
-        base = older[-1] if older else None
-        old_k, old_t, old_m = (self._read(n, base) for n in ("keys", "ties", "months")) \
-            if base is not None else (None, None, None)
-        if old_k is not None:
-            keys = (keys.unionByName(old_k).groupBy("customer")
-                        .agg(F.min("first_ts").alias("first_ts"), F.min("cohort_id").alias("cohort_id")))
-            ties = ties.unionByName(old_t)
-            months = months.unionByName(old_m).distinct()
-        ties = (ties.join(keys.select("customer", "first_ts"), ["customer", "first_ts"], "left_semi")
-                    .groupBy("customer", "first_ts", *a).agg(F.sum("__w").alias("__w")))
         for name, frame in (("months", months), ("ties", ties), ("keys", keys)):
             frame.write.mode("overwrite").parquet(self._path(batch_id, name))
         self.versions = sorted(set(self.versions) | {batch_id})
 
+    def _read_all(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(*[self._path(v, name) for v in self.versions])
+
     def cohort_tables(self) -> tuple[DataFrame, DataFrame]:
-        """(cohort_activity, cohort_counts) of everything merged so far."""
-        keys, ties, months = self._read("keys"), self._read("ties"), self._read("months")
-        weighted = (ties.join(keys, ["customer", "first_ts"])
-                        .select("customer", "cohort_id", *self.attrs, "__w"))
-        return (activity_from_weighted(months, weighted, self.attrs),
-                counts_from_weighted(weighted, self.attrs))
+        """(cohort_activity, cohort_counts) of every batch folded so far."""
+        keys = (self._read_all("keys").groupBy("customer")
+                .agg(F.min("first_ts").alias("first_ts"), F.min("cohort_id").alias("cohort_id")))
+        ties = (self._read_all("ties").join(keys, ["customer", "first_ts"])
+                .groupBy("customer", "cohort_id", *self.attrs).agg(F.sum("__w").alias("__w")))
+        months = self._read_all("months").distinct()
+        return (activity_from_weighted(months, ties, self.attrs),
+                counts_from_weighted(ties, self.attrs))
 
 
 def start_cohort_stream(orders_stream: DataFrame, state: CohortState,

@@ -56,3 +56,21 @@ def test_replayed_batch_counts_once(spark):
     act_s, cnt_s = state.cohort_tables()
     act_b, cnt_b = co.cohort_tables(cleaned(spark, SF_SMALL))
     assert rows(act_s) == rows(act_b) and rows(cnt_s) == rows(cnt_b)
+
+
+def test_ties_split_across_batches(spark):
+    from tests.test_semantics import order, orders
+    lk = spark.createDataFrame([(1, "MD")], "zip int, state_id string")
+    b0 = orders(spark, [order(1, 7, "2019-03-05T10:00:00.000Z", source="web")])
+    b1 = orders(spark, [order(2, 7, "2019-03-05T10:00:00.000Z", source="ios"),
+                        order(3, 8, "2019-04-01T10:00:00.000Z")])
+    b2 = orders(spark, [order(4, 7, "2019-05-01T10:00:00.000Z", source="partner")])
+    state = CohortState(spark, lk, None)
+    for i, b in enumerate((b0, b1, b2)):
+        state.merge_batch(b, i)
+    act_s, cnt_s = state.cohort_tables()
+    from retentio.operators.clean import clean_orders
+    act_b, cnt_b = co.cohort_tables(clean_orders(b0.unionByName(b1).unionByName(b2), lk, None))
+    assert rows(cnt_s) == rows(cnt_b) and rows(act_s) == rows(act_b)
+    # customer 7: two tied first orders (web, ios), the later partner order is no first order
+    assert sorted(r.source for r in cnt_s.filter("cohort_id = '2019-03-01'").collect()) == ["ios", "web"]
