@@ -16,6 +16,11 @@ A batch-local first instant later than the global one contributes nothing,
 so the fold is exact.  ``keys`` is written last and marks a delta complete;
 a replayed batch (after a failure) overwrites its own delta, so it is folded
 in once; a restarted driver finds the complete deltas on disk.
+
+``compact()`` folds everything so far into a base snapshot (written under
+the newest batch id, ``keys`` last); readers then take the newest base plus
+the deltas after it, so read cost stays O(state + recent batches).  Deltas
+at or before a base are no longer read.
 """
 
 from __future__ import annotations
@@ -39,23 +44,25 @@ class CohortState:
         self.cutoff = cutoff
         self.attrs = list(FIRST_ORDER_ATTRS if attrs is None else attrs)
         self.root = root or scratch_path(spark, "cohort-state")
-        self.versions: list[int] = self._complete_versions()
+        self.versions: list[int] = self._complete("v")
+        bases = self._complete("base")
+        self.base: int | None = bases[-1] if bases else None
 
     @property
     def version(self) -> int | None:
         return self.versions[-1] if self.versions else None
 
-    def _path(self, batch_id: int, name: str) -> str:
-        return f"{self.root}/v{batch_id:09d}/{name}"
+    def _path(self, batch_id: int, name: str, kind: str = "v") -> str:
+        return f"{self.root}/{kind}{batch_id:09d}/{name}"
 
-    def _complete_versions(self) -> list[int]:
-        """Batches whose ``keys`` delta was written (restart support)."""
+    def _complete(self, kind: str) -> list[int]:
+        """Ids of deltas (``v``) or bases (``base``) whose ``keys`` was written."""
         try:
-            files = self.spark.read.parquet(f"{self.root}/v*/keys").inputFiles()
+            files = self.spark.read.parquet(f"{self.root}/{kind}*/keys").inputFiles()
         except Exception:  # noqa: BLE001 - nothing written yet
             return []
         return sorted({int(m.group(1)) for f in files
-                       if (m := re.search(r"/v(\d{9})/keys/", f))})
+                       if (m := re.search(rf"/{kind}(\d{{9}})/keys/", f))})
 
     def merge_batch(self, batch: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` body: clean the new orders, write the batch's delta."""
@@ -72,17 +79,40 @@ class CohortState:
         self.versions = sorted(set(self.versions) | {batch_id})
 
     def _read_all(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(*[self._path(v, name) for v in self.versions])
-
-    def cohort_tables(self) -> tuple[DataFrame, DataFrame]:
-        """(cohort_activity, cohort_counts) of every batch folded so far."""
+        paths = [self._path(v, name) for v in self.versions
+                 if self.base is None or v > self.base]
+        if self.base is not None:
+            paths.append(self._path(self.base, name, "base"))
+        return self.spark.read.parquet(*paths)
+
+    def _fold(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Current (keys, ties, months): all live deltas folded exactly."""
+        a = self.attrs
         keys = (self._read_all("keys").groupBy("customer")
                 .agg(F.min("first_ts").alias("first_ts"), F.min("cohort_id").alias("cohort_id")))
-        ties = (self._read_all("ties").join(keys, ["customer", "first_ts"])
-                .groupBy("customer", "cohort_id", *self.attrs).agg(F.sum("__w").alias("__w")))
+        ties = (self._read_all("ties").join(keys.select("customer", "first_ts"),
+                                            ["customer", "first_ts"], "left_semi")
+                .groupBy("customer", "first_ts", *a).agg(F.sum("__w").alias("__w")))
         months = self._read_all("months").distinct()
-        return (activity_from_weighted(months, ties, self.attrs),
-                counts_from_weighted(ties, self.attrs))
+        return keys, ties, months
+
+    def compact(self) -> None:
+        """Write the folded state as a base under the newest batch id."""
+        if not self.versions:
+            return
+        top = self.versions[-1]
+        keys, ties, months = self._fold()
+        for name, frame in (("months", months), ("ties", ties), ("keys", keys)):
+            frame.write.mode("overwrite").parquet(self._path(top, name, "base"))
+        self.base = top
+
+    def cohort_tables(self) -> tuple[DataFrame, DataFrame]:
+        """(cohort_activity, cohort_counts) of every batch folded so far."""
+        keys, ties, months = self._fold()
+        weighted = (ties.join(keys, ["customer", "first_ts"])
+                    .select("customer", "cohort_id", *self.attrs, "__w"))
+        return (activity_from_weighted(months, weighted, self.attrs),
+                counts_from_weighted(weighted, self.attrs))
 
 
 def start_cohort_stream(orders_stream: DataFrame, state: CohortState,

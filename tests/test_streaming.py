@@ -74,3 +74,20 @@ def test_ties_split_across_batches(spark):
     assert rows(cnt_s) == rows(cnt_b) and rows(act_s) == rows(act_b)
     # customer 7: two tied first orders (web, ios), the later partner order is no first order
     assert sorted(r.source for r in cnt_s.filter("cohort_id = '2019-03-01'").collect()) == ["ios", "web"]
+
+
+def test_compaction_then_more_batches(spark):
+    from retentio.plans.common import cleaned
+    raw = raw_orders(spark, SF_SMALL)
+    state = CohortState(spark, lookup(spark, SF_SMALL), TEST_CUTOFF)
+    state.merge_batch(raw.filter("order_id < 2000"), 0)
+    state.merge_batch(raw.filter("order_id >= 2000 AND order_id < 4000"), 1)
+    state.compact()
+    state.merge_batch(raw.filter("order_id >= 2000 AND order_id < 4000"), 1)   # replay before base
+    state.merge_batch(raw.filter("order_id >= 4000"), 2)
+    again = CohortState(spark, lookup(spark, SF_SMALL), TEST_CUTOFF, root=state.root)
+    assert again.base == 1 and again.version == 2
+    act_b, cnt_b = co.cohort_tables(cleaned(spark, SF_SMALL))
+    for st_ in (state, again):
+        act_s, cnt_s = st_.cohort_tables()
+        assert rows(act_s) == rows(act_b) and rows(cnt_s) == rows(cnt_b)
