@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from retentio.operators import cohort as co
+from retentio.operators import retention as rt
 from retentio.operators.clean import clean_orders
 from retentio.schema import ORDERS_SCHEMA
 
@@ -60,7 +61,10 @@ def brute(rows):
     keys = ["order_month", "cohort_id", "source", "promo_value", "has_promo_value"]
     activity = fill(act).groupby(keys).size()
     counts = fill(cohort).groupby(["cohort_id", "source", "has_promo_value", "promo_value"]).size()
-    return len(df), activity.to_dict(), counts.to_dict()
+    act_all = act.groupby(["order_month", "cohort_id"]).size()
+    size_all = cohort.groupby("cohort_id").size()
+    rates = {k: v / size_all[k[1]] for k, v in act_all.items()}
+    return len(df), activity.to_dict(), counts.to_dict(), rates
 
 
 def spark_side(spark, rows):
@@ -76,14 +80,17 @@ def spark_side(spark, rows):
          r.active_customers for r in act.collect()}
     c = {key(r, ["cohort_id", "source", "has_promo_value", "promo_value"]): r.cohort_count
          for r in counts.collect()}
-    return df.count(), a, c
+    rates = {(r.order_month, r.cohort_id): r.retention_rate
+             for r in rt.retention(act, counts).collect()}
+    return df.count(), a, c, rates
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(order_st, min_size=1, max_size=40))
 def test_random_orders_match_reference_rules(spark, rows):
-    n_b, act_b, cnt_b = brute(rows)
-    n_s, act_s, cnt_s = spark_side(spark, rows)
+    n_b, act_b, cnt_b, rate_b = brute(rows)
+    n_s, act_s, cnt_s, rate_s = spark_side(spark, rows)
     assert n_s == n_b
     assert act_s == act_b
     assert cnt_s == cnt_b
+    assert rate_s == rate_b
