@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentio.llm.common import materialise, table
 from retentio.llm.line_dedup import dedup_lines
 from retentio.llm.mixing import mixed_documents
+from retentio.llm.near_dedup import deduplicated
+from retentio.llm.packing import pack_documents
 from retentio.llm.quality_rules import clean_documents
 
 #: Stage 4 removes by similarity of weighted samples, which SQL cannot express.
@@ -35,15 +38,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         for c in docs.columns])
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each class stays."""
+    return deduplicated(docs)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are repeated or left out as the mix takes them."""
     return mixed_documents(docs)
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in the training sequences."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
     ("source mixing", source_mixing),
+    ("packing", packing),
 ]
 
 

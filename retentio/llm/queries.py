@@ -5,12 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from retentio.llm.ann import nearest
+from retentio.llm.chat_format import control_conversation, format_conversations, read_back
 from retentio.llm.common import table
 from retentio.llm.line_dedup import dedup_lines
 from retentio.llm.mixing import mix
+from retentio.llm.near_dedup import near_duplicates
+from retentio.llm.packing import pack_documents
+from retentio.llm.quality_classifier import score_quality
 from retentio.llm.quality_rules import quality_rules
+from retentio.llm.secret_scan import scan_secrets
 from retentio.llm.sharding import shard_documents
 
 
@@ -18,6 +25,23 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=40).drop("key")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_conversations(turns.unionByName(control_conversation(spark))))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "representative")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -30,6 +54,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op6_quality_rules, op7_line_dedup, op8_mixing)
+    f.__name__: f for f in (
+        op1_sharding, op2_chat_formatting, op3_quality_classifier, op4_minhash_near_dedup, op5_secret_scan,
+        op6_quality_rules, op7_line_dedup, op8_mixing, op9_nearest_neighbours, op10_packing)
 }
