@@ -1,0 +1,118 @@
+"""Near duplicates against all-pairs weighted Jaccard; components; the sampler."""
+
+from __future__ import annotations
+
+import collections
+import random
+
+import numpy as np
+
+from retentio.llm import near_dedup as nd
+from retentio.llm.components import components
+from tests.llm.helpers import docs, edited, words
+
+
+def _bag(text):
+    w = text.lower().split()
+    n = min(5, len(w))
+    return collections.Counter(tuple(w[k:k + n]) for k in range(len(w) - n + 1)) if w else collections.Counter()
+
+
+def _classes(rows):
+    """Classes by brute force; all shingles here are in few documents, so idf is constant."""
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    bags = [_bag(t or "") for _, t, *_ in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = bags[a], bags[b]
+            same = rows[a][1] == rows[b][1]
+            if same or (x and y and sum((x & y).values()) / sum((x | y).values()) >= 0.8):
+                root[find(a)] = find(b)
+    least = {}
+    for k, r in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), r[0]), r[0])
+    return sorted((r[0], least[find(k)]) for k, r in enumerate(rows))
+
+
+def test_classes_match_all_pairs(spark):
+    rows = []
+    for g in range(12):
+        base = words(90, g)
+        for k in range(6):
+            rows.append((len(rows), edited(base, random.Random(g * 10 + k).choice([0, 0.01, 0.02, 0.04, 0.06]), g * 10 + k)))
+    rows += [(1000 + k, words(40, 500 + k)) for k in range(200)]
+    rows += [(2000, "one two"), (2001, "one two"), (2002, "One  two"), (2003, ""), (2004, ""), (2005, None), (2006, None), (0, rows[0][1])]
+    got = sorted((r.doc_id, r.class_id) for r in nd.near_duplicates(docs(spark, rows, "tid root token bands")).collect())
+    assert got == _classes(rows)
+
+
+def test_large_group_of_near_copies_loses_no_link(spark):
+    """Members of a hot group differ from each other by about the threshold."""
+    base = words(120, 1)
+    rows = [(k, edited(base, 0.02 + 0.02 * (k % 3), k)) for k in range(150)] + [(1000 + k, words(60, 900 + k)) for k in range(3000)]
+    near = nd.near_duplicates(docs(spark, rows)).filter("doc_id < 1000").collect()
+    assert sorted((r.doc_id, r.class_id) for r in near) == _classes(rows[:150])
+
+
+def test_one_representative_a_class(spark):
+    rows = [(5, "same text here " * 5), (3, "same text here " * 5), (3, "same text here " * 5), (9, None), (None, None), (8, words(50, 2))]
+    out = nd.deduplicated(docs(spark, rows, "t1 __doc"))
+    assert sorted((r.doc_id is None, r.doc_id) for r in out.collect()) == [(False, 3), (False, 8), (True, None)]
+    assert out.columns == docs(spark, rows, "t1 __doc").columns
+
+
+def test_empty_table(spark):
+    empty = docs(spark, [(1, "x")]).limit(0)
+    assert nd.near_duplicates(empty).collect() == [] and nd.deduplicated(empty).collect() == []
+
+
+def test_very_long_text(spark):
+    text = words(30_000, 4)
+    got = nd.near_duplicates(docs(spark, [(1, text), (2, edited(text, 0.01, 7)), (3, words(20_000, 5))])).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
+def test_samples_agree_at_the_rate_of_weighted_jaccard():
+    rnd = np.random.default_rng(1)
+    h = np.sort(rnd.integers(0, 2 ** 63, 400).astype(np.uint64))
+    wa, wb = rnd.random(400) + 0.1, rnd.random(400) + 0.1
+    a, b = [], []
+    for k in range(200):  # many independent universes
+        x = nd._mix(h + np.uint64(k))
+        order = np.argsort(x)
+        a.append(nd.weighted_samples(x[order], wa[order], np.array([0])))
+        b.append(nd.weighted_samples(x[order], wb[order], np.array([0])))
+    agree = (np.concatenate(a) == np.concatenate(b)).mean()
+    assert abs(agree - np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()) < 0.03
+
+
+def test_frequent_shingles_weigh_less():
+    cells = np.zeros(1 << nd.CELL_BITS, np.int64)
+    h = np.array([1 << 50, 1 << 60], np.uint64)
+    cells[(h >> np.uint64(64 - nd.CELL_BITS)).astype(int)] = [500, 3]
+    w = nd.Frequencies(cells, 1000).weights(h, np.array([1, 2]))
+    assert abs(w[0] - np.log(3)) < 1e-2 and abs(w[1] - 2 * np.log(1 + 1 / nd.MIN_SHARE)) < 1e-9
+
+
+def test_prefix_filter_is_exact():
+    rnd = random.Random(2)
+    for k in range(300):
+        h = np.array(sorted(rnd.sample(range(1, 400), 60)), np.uint64)
+        g = np.array(sorted(set(rnd.sample(h.tolist(), 60 - k % 14)) | set(rnd.sample(range(400, 800), k % 14))), np.uint64)
+        w = lambda x: (x.astype(float) % 7 + 1)
+        rank = lambda x: x.astype(int) % 5
+        if nd.similarity((h, w(h)), (g, w(g))) >= 0.8:
+            assert set(nd.prefix(h, w(h), rank(h), 0.8)) & set(nd.prefix(g, w(g), rank(g), 0.8))
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(200, 200), (301, 300), (302, 301)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(1, 41)}, **{k: 100 for k in range(101, 160)}, 301: 300, 302: 300}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
