@@ -32,10 +32,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in the largest doc_id only; n_chars follows the text."""
-    out = dedup_lines(docs, keep=docs.columns)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__doc"), "doc_id", "text")
     text = F.col("kept_text")
-    return out.select(*[text.alias(c) if c == "text" else F.length(text).cast("bigint").alias(c) if c == "n_chars" else F.col(c)
-                        for c in docs.columns])
+    return dedup_lines(row, keep=["__doc"]).select(*[
+        text.alias(c) if c == "text" else F.length(text).cast("bigint").alias(c) if c == "n_chars" else F.col("__doc").getField(c).alias(c)
+        for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,18 +89,17 @@ def dedup_lines(docs: DataFrame, keep: list[str] | None = None, min_chars: int =
     documents stays in the largest doc_id only.
     """
     keep = keep or ["doc_id"]
-    rows = with_row_key(docs.select(*dict.fromkeys([*keep, "doc_id", "text"])))
-    raw = F.col("text").cast("binary").alias("__raw")
-    lines = materialise(rows.select("__id", "__th", raw)
-                            .mapInArrow(_hashes(min_chars), "__id long, __th long, h binary"), "lines")
-    often = (lines.groupBy("h").agg(F.count_distinct("__id").alias("n"), F.max("__id").alias("last"))
-                  .filter(F.col("n") >= min_docs).select("h", "last"))
+    # the kept columns travel as one struct, so they cannot clash with those made here
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__doc")
+    rows = with_row_key(docs.select(kept, "doc_id", "text")).select("__doc", "__id", "__th", F.col("text").cast("binary").alias("__raw"))
+    lines = materialise(rows.select("__id", "__th", "__raw").mapInArrow(_hashes(min_chars), "__id long, __th long, h binary"), "lines")
+    # written, so that both sides of the join are plain exchanges and AQE can split a hot hash
+    often = materialise(lines.groupBy("h").agg(F.count_distinct("__id").alias("n"), F.max("__id").alias("last"))
+                             .filter(F.col("n") >= min_docs).select("h", "last"), "often")
     drop = (lines.join(often, "h").filter(F.col("__id") < F.col("last"))
                  .groupBy("__id", "__th").agg(F.collect_set("h").alias("__drop")))
-    names = [f"__keep{k}" for k in range(len(keep))]  # no clash with the new columns
-    left = rows.select("__id", "__th", raw, *[F.col(c).alias(n) for c, n in zip(keep, names)])
-    both = left.join(drop, ["__id", "__th"], "left").select(*names, "__raw", "__drop")
-    types = ", ".join(f"{n} {left.schema[n].dataType.simpleString()}" for n in names)
-    out = both.mapInArrow(_cut(min_chars), f"{types}, n_lines long, n_dropped long, kept_text binary, kept_sha256 string")
+    both = rows.join(drop, ["__id", "__th"], "left").select("__doc", "__raw", "__drop")
+    out = both.mapInArrow(_cut(min_chars), f"__doc {both.schema['__doc'].dataType.simpleString()}, "
+                          "n_lines long, n_dropped long, kept_text binary, kept_sha256 string")
     texts = [F.col("kept_text").cast("string").alias("kept_text")] if with_text else []
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_lines", "n_dropped", *texts, "kept_sha256")
+    return out.select(*[F.col("__doc").getField(c).alias(c) for c in keep], "n_lines", "n_dropped", *texts, "kept_sha256")
