@@ -20,7 +20,8 @@ No bucket is expanded into its pairs.
    to components.
 2. Buckets that still hold several components are finished exactly: a pair at
    the threshold must share a shingle of both prefixes (the rarest shingles up
-   to the weight that the threshold lets them miss).  Prefix shingles whose
+   to the weight that the threshold lets them miss), and behind the first one
+   there must be weight enough in both.  Prefix shingles whose
    documents are all in one component are dropped; the others give the pairs
    between components, which are verified too.  So the bulk of a group of
    copies costs one comparison each, and texts whose own edits outweigh the
@@ -257,12 +258,13 @@ def _verify(shared, threshold: float):
     return run
 
 
-def prefix(h: np.ndarray, w: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
+def prefix(h: np.ndarray, w: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the prefix: in order of rank (rarest first, then hash) those
-    from which on at least ``threshold`` of the weight is left."""
+    from which on at least ``threshold`` of the weight is left; and that weight."""
     order = np.lexsort((h, rank))
     left = np.cumsum(w[order][::-1])[::-1]
-    return h[order][left >= threshold * w.sum() * (1 - 1e-9)]
+    keep = left >= threshold * w.sum() * (1 - 1e-9)
+    return h[order][keep], left[keep]
 
 
 def _prefixes(shared, threshold: float):
@@ -271,15 +273,17 @@ def _prefixes(shared, threshold: float):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                which, tokens, total = [], [], []
+                which, tokens, total, behind = [], [], [], []
                 for k, text in enumerate(part.column("text").to_pylist()):
                     h, tf = shingles(text)
                     w = freq.weights(h, tf)
-                    p = prefix(h, w, freq.count(h), threshold)
-                    which.append(np.full(len(p), k)), tokens.append(p.view(np.int64)), total.append(np.full(len(p), w.sum()))
+                    p, left = prefix(h, w, freq.count(h), threshold)
+                    which.append(np.full(len(p), k)), tokens.append(p.view(np.int64))
+                    total.append(np.full(len(p), w.sum())), behind.append(left)
                 take = pa.array(np.concatenate(which), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("tid", "root")), pa.array(np.concatenate(tokens), pa.int64()),
-                                                  pa.array(np.concatenate(total), pa.float64())], ["tid", "root", "token", "total"])
+                                                  pa.array(np.concatenate(total), pa.float64()), pa.array(np.concatenate(behind), pa.float64())],
+                                                 ["tid", "root", "token", "total", "behind"])
     return run
 
 
@@ -326,13 +330,15 @@ def find_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
         mixed = members.join(rooted, "tid").groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
         unfinished = members.join(mixed, "bucket").select("tid").distinct().join(rooted, "tid")
         tokens = materialise(near.join(unfinished, "tid").select("tid", "root", "text").mapInArrow(
-            _prefixes(shared, threshold), "tid long, root long, token long, total double"), "tokens")
+            _prefixes(shared, threshold), "tid long, root long, token long, total double, behind double"), "tokens")
         shared_tokens = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
         tokens = materialise(tokens.join(shared_tokens, "token"), "mixed-tokens")
-        x = tokens.select("token", F.col("tid").alias("a"), F.col("root").alias("root_a"), F.col("total").alias("total_a"))
-        y = tokens.select("token", F.col("tid").alias("b"), F.col("root").alias("root_b"), F.col("total").alias("total_b"))
+        x, y = (tokens.select("token", F.col("tid").alias(k), F.col("root").alias(f"root_{k}"), F.col("total").alias(f"total_{k}"),
+                              F.col("behind").alias(f"behind_{k}")) for k in "ab")
+        # at the first shingle that a pair shares, all it has in common lies behind
+        needed = threshold / (1 + threshold) * (1 - 1e-9) * (F.col("total_a") + F.col("total_b"))
         more = x.join(y, "token").filter((F.col("root_a") < F.col("root_b"))
-                                         & (F.least("total_a", "total_b") >= threshold * F.greatest("total_a", "total_b"))).select("a", "b").distinct()
+                                         & (F.least("behind_a", "behind_b") >= needed)).select("a", "b").distinct()
         done = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = materialise(more.join(done, ["a", "b"], "left_anti"), "more-pairs")
         rest = _links(more, near, shared, threshold, "more-links")
