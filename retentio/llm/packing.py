@@ -25,6 +25,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
+from itertools import compress
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from retentio.llm.common import join_on, materialise, rank_in
 
 MAX_TOKENS = 2048
 END_ID = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 MARKS = ".,;:!?"
 class Words:
     """A tokenizer and the ids of the words seen lately, in two generations."""
@@ -44,6 +47,9 @@ class Words:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tok.get_vocab()
+        self.ends_unit = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_unit[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -54,21 +60,28 @@ class Words:
         """Puts ``words`` among the recent ones."""
         if len(self.recent) > CACHE_WORDS:
             self.older, self.recent = self.recent, {}
-        parts: dict[str, tuple[str, str]] = {}
+        recent, older = self.recent, self.older
+        parts: list[tuple[str, str, str]] = []
         for w in words:
-            if w in self.older:
-                self.recent[w] = self.older[w]
+            ids = older.get(w)
+            if ids is not None:
+                recent[w] = ids
                 continue
-            core = w.rstrip(MARKS)
-            parts[w] = (core.lower() if core.isascii() else core, w[len(core):]) if core and core[-1].isalpha() else (w, "")
-        fresh = sorted({p for pair in parts.values() for p in pair if p not in self.recent and p not in self.older})
-        for w, ids in zip(fresh, _encode_words(self.tok, fresh)):
-            self.recent[w] = ids
-        for w, (core, marks) in parts.items():
-            self.recent[w] = self.ids(core) + self.ids(marks)
+            core = w if w.isalpha() else w.rstrip(MARKS)
+            if core and core[-1].isalpha():
+                parts.append((w, core.lower() if core.isascii() else core, w[len(core):]))
+            else:
+                parts.append((w, w, ""))
+        fresh = {p for _, *pair in parts for p in pair if p not in recent and p not in older}
+        letters = set(filter(str.isalpha, fresh))
+        for some in (list(letters), list(fresh - letters)):
+            recent.update(zip(some, _encode_words(self, some)))
+        for w, core, marks in parts:
+            recent[w] = self.ids(core) + self.ids(marks) if marks else self.ids(core)
 
 
 _tokenizers: dict[str, Words] = {}
+_IS_NONE = partial(is_, None)
 
 
 def _tokenizer(path: str) -> Words:
@@ -78,18 +91,29 @@ def _tokenizer(path: str) -> Words:
     return _tokenizers[path]
 
 
-def _encode_words(tok, words: list[str]) -> list[bytes]:
-    """Ids of each word.  Many words go through the tokenizer as one text;
-    tokens are dealt to words by their place in it."""
+def _split(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = ids.tobytes()
+    cut = (4 * ends).tolist()
+    return [raw[b:e] for b, e in zip([0, *cut[:-1]], cut)]
+
+
+def _encode_words(words_of: Words, words: list[str]) -> list[bytes]:
+    """Ids of each word.  Many words go through the tokenizer as one text.
+
+    A word of letters is one unit to the tokenizer, whose last token says that
+    it ends a unit; other words are told apart by the tokens' places.
+    """
     out: list[bytes] = []
-    for at in range(0, len(words), 1024):
-        some = words[at:at + 1024]
-        begins = np.cumsum([0, *(len(w) + 1 for w in some)])
-        e = tok.encode(" ".join(some), add_special_tokens=False)
-        ids = np.array(e.ids, dtype="<u4")
-        place = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
-        ends = np.searchsorted(place, begins[1:], "left")
-        out += [ids[b:n].tobytes() for b, n in zip([0, *ends[:-1]], ends)]
+    for at in range(0, len(words), 2048):
+        some = words[at:at + 2048]
+        ids = np.array(words_of.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(words_of.ends_unit[ids]) + 1
+        if len(ends) != len(some) or not all(map(str.isalpha, some)):
+            e = words_of.tok.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4")
+            begins = np.cumsum([0, *(len(w) + 1 for w in some)])
+            ends = np.searchsorted(np.array([b for b, _ in e.offsets], np.int64), begins[1:], "left")
+        out += _split(ids, ends)
     return out
 
 
@@ -104,7 +128,7 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     words_of = _tokenizer(path)
     split = [t.replace("\n", " ").split(" ") for t in texts]
     found = [list(map(words_of.recent.get, words)) for words in split]
-    words_of.learn({w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None})
+    words_of.learn({w for words, ids in zip(split, found) if None in ids for w in compress(words, map(_IS_NONE, ids))})
     end = np.array([END_ID], dtype="<u4").tobytes()
     return [np.frombuffer(b"".join([*(i if i is not None else words_of.ids(w) for w, i in zip(words, ids)), end]), dtype="<u4")
             for words, ids in zip(split, found)]
