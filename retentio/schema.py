@@ -22,8 +22,13 @@ ZIP_SCHEMA = T.StructType([
 ])
 
 ORDER_COLUMNS = [f.name for f in ORDERS_SCHEMA.fields]
-DERIVED_COLUMNS = ["order_date", "order_month", "order_week", "has_promo_value"]
-CORRECTED_COLUMNS = ORDER_COLUMNS + DERIVED_COLUMNS
+CORRECTED_SCHEMA = T.StructType([
+    *ORDERS_SCHEMA.fields,
+    T.StructField("order_date", T.DateType()),
+    T.StructField("order_week", T.DateType()),
+    T.StructField("has_promo_value", T.BooleanType()),
+    T.StructField("order_month", T.DateType()),  # the partition column comes last
+])
 
 # Attributes of the first order that the cohort stage carries per customer.
 FIRST_ORDER_ATTRS = ["source", "has_promo_value", "promo_value"]

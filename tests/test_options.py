@@ -54,7 +54,7 @@ def test_first_ties_in_cohort_tables(df):
 def test_retention_by_hour_on_events(spark):
     ev = cleaned_events(spark, SF_SMALL).withColumn(
         "hour", F.substring("date_purchased", 12, 2).try_cast("int"))
-    ret = rt.retention_by(ev, "hour", bounded=True)
+    ret = rt.retention_by(ev, "hour")
     hours = {r.hour for r in ret.select("hour").distinct().collect()}
     assert hours <= set(range(24)) and len(hours) > 1
     assert ret.filter("cohort_period = 1 AND retention_rate != 1.0").count() == 0

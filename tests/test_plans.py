@@ -2,7 +2,7 @@
 scan, and the cohort path keeps its exchange budget."""
 import pytest
 
-import __spark_entry__ as entry
+from retentio.plans.queries import QUERIES
 from tests.conftest import SF_SMALL
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
@@ -16,9 +16,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SIDE_EFFECT))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SIDE_EFFECT))
 def test_no_python_in_plan(spark, name):
-    p = plan(entry.queries()[name](spark, SF_SMALL))
+    p = plan(QUERIES[name](spark, SF_SMALL))
     assert not any(n in p for n in PY_NODES), p
 
 

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from retentio.operators import cohort as co
 from retentio.operators import retention as rt
 from retentio.plans.common import cleaned
-from retentio.plans.queries import MATRIX_PERIODS
 from tests.conftest import SF_MID
 
 
@@ -70,8 +69,9 @@ def test_first_ties_counts_equal_distinct_customers(tables):
 def test_matrix_round_trip(tables):
     _, _, act, counts = tables
     ret = rt.retention(act, counts)
-    m = rt.retention_matrix(ret, MATRIX_PERIODS)
-    back = rt.matrix_to_long(m, MATRIX_PERIODS)
+    periods = rt.matrix_periods(tables[0])
+    m = rt.retention_matrix(ret, periods)
+    back = rt.matrix_to_long(m, periods)
     a = ret.select("cohort_id", "cohort_period", "retention_rate")
     b = back.select("cohort_id", "cohort_period", "retention_rate")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
