@@ -83,7 +83,7 @@ def loess_vertices(series: DataFrame, x: str, y: str, span: float = DEFAULT_SPAN
     pairs = _split_ranks(n, fc)
     ranks = sorted({r for p in pairs for r in p})
     xs = pts.select(F.lit("x").alias("k"), "x")
-    stats = order_statistics(xs, {"x": ranks}, {"x": (lo, hi, n)}) if ranks else {}
+    stats = order_statistics(xs, {"x": ranks}) if ranks else {}
     mu = BOX_MARGIN * max(hi - lo, 1e-10 * max(abs(lo), abs(hi)) + 1e-30)
     verts = sorted({lo - mu, hi + mu} | {(stats[("x", a)] + stats[("x", b)]) / 2 for a, b in pairs})
     vlist = F.array(*[F.struct(F.lit(i).alias("vid"), F.lit(float(v)).alias("v"))
@@ -93,15 +93,15 @@ def loess_vertices(series: DataFrame, x: str, y: str, span: float = DEFAULT_SPAN
                .withColumn("d", F.abs(F.col("x") - F.col("v"))))
     # Bandwidth per vertex: q-th smallest distance (exact, distributed).
     dl = dist.select(F.col("vid").cast("string").alias("k"), F.col("d").alias("x"))
-    bounds = {str(r["vid"]): (r["mn"], r["mx"], r["n"]) for r in
-              dist.groupBy("vid").agg(F.min("d").alias("mn"), F.max("d").alias("mx"),
-                                      F.count(F.lit(1)).alias("n")).collect()}
-    hq = order_statistics(dl, {k: [q - 1] for k in bounds}, bounds)
-    hs = F.array(*[F.lit(float(hq[(str(i), q - 1)])) for i in range(len(verts))])
+    hq = order_statistics(dl, {str(i): [q - 1] for i in range(len(verts))})
+    # Where a share ``span`` of all points lies on one x, the bandwidth would be
+    # 0: the smallest positive one is taken, so the tied points alone decide.
+    tiny = 1e-9 * max(hi - lo, 1e-10 * max(abs(lo), abs(hi)) + 1e-30)
+    hs = F.array(*[F.lit(max(float(hq[(str(i), q - 1)]), tiny)) for i in range(len(verts))])
     u = (F.col("x") - F.col("v")) / F.col("h")
     w = F.pow(1 - F.pow(F.abs(u), 3), 3)
     near = (dist.withColumn("h", F.element_at(hs, F.col("vid") + 1))
-                .filter((F.col("h") > 0) & (F.col("d") < F.col("h")))
+                .filter(F.col("d") < F.col("h"))
                 .select("vid", "h", u.alias("u"), w.alias("w"), "y"))
     aggs = [F.sum(F.col("w") * F.pow(F.col("u"), i)).alias(f"s{i}") for i in range(2 * degree + 1)]
     aggs += [F.sum(F.col("w") * F.pow(F.col("u"), i) * F.col("y")).alias(f"t{i}")
