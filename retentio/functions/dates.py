@@ -14,9 +14,11 @@ def order_date(iso_text: str | Column) -> Column:
     """Calendar date of an ISO-8601 timestamp text, taken from the text itself.
 
     The date part is cut from the text and cast directly, so no session time
-    zone can move it; unparsable text gives NULL instead of an error.
+    zone can move it; unparsable text, and a year or month alone, gives NULL
+    instead of an error.
     """
-    return F.substring(_c(iso_text), 1, 10).try_cast("date")
+    text = F.substring(_c(iso_text), 1, 10)
+    return F.when(text.like("____-_%-_%"), text.try_cast("date"))
 
 
 def order_month(date: str | Column) -> Column:

@@ -17,11 +17,12 @@ def is_missing(col: str | Column, dtype: T.DataType | None = None) -> Column:
     """NULL, NaN (floating columns) or the empty string (text columns)."""
     c = F.col(col) if isinstance(col, str) else col
     cond = c.isNull()
+    # NULL | x is never NULL here, and "= ''" (unlike a length test) reaches the scan
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         cond = cond | F.isnan(c)
     elif isinstance(dtype, T.StringType):
-        cond = cond | (F.length(c) == 0)
-    return F.coalesce(cond, F.lit(True))
+        cond = cond | (c == "")
+    return cond
 
 
 def missing_in(df: DataFrame, col: str) -> Column:
@@ -44,7 +45,3 @@ def na_max(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.when(F.count(c) == F.count(F.lit(1)), F.max(c))
 
-
-def null_if_equal(col: str, value) -> Column:
-    """``replace(x, x == value, NA)``."""
-    return F.when(F.col(col) == F.lit(value), F.lit(None)).otherwise(F.col(col))

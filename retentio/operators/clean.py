@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retentio.functions.dates import order_date, order_month, order_week
-from retentio.functions.nulls import missing_in
+from retentio.functions.nulls import missing_in, na_max, na_min
+from retentio.session import scratch_path
 
 
 # -- B1 -----------------------------------------------------------------------
@@ -92,17 +94,31 @@ def null_if(df: DataFrame, col: str, value) -> DataFrame:
 
 
 # -- B9 -----------------------------------------------------------------------
-def encode_levels(df: DataFrame, col: str) -> DataFrame:
-    """Adds ``<col>_code``: 1-based position of the value among its sorted levels.
-
-    The levels table (distinct non-NULL values of a categorical column) is
-    numbered on its own, then joined back; only that small table is ordered
-    (in one partition), never the rows.
+def encode_levels(df: DataFrame, cols: str | list[str]) -> DataFrame:
+    """Adds ``<col>_code`` per column: 1-based position of the value among its sorted levels.
+
+    One pass over the rows finds the distinct values of all columns together
+    (partial aggregation, so a value that many rows hold costs one row per
+    task).  The numbered levels are written to the shared scratch folder:
+    their size is then known, and the planner broadcasts them to the rows if
+    they are small and shuffles otherwise.
     """
-    levels = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    coded = levels.withColumn(f"{col}_code",
-                              F.row_number().over(Window.orderBy(F.col(col))).cast("int"))
-    return df.join(coded, on=col, how="left")
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols])
+    levels = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
+    order = F.col("value") if len({df.schema[c].dataType for c in cols} | {T.StringType()}) == 1 else None
+    if order is None:  # numbers sort as numbers
+        order = F.coalesce(*[F.when(F.col("col") == c, F.struct(F.col("value").cast(df.schema[c].dataType).cast("double"), "value"))
+                             if not isinstance(df.schema[c].dataType, T.StringType)
+                             else F.when(F.col("col") == c, F.struct(F.lit(None).cast("double"), "value")) for c in cols])
+    coded = levels.withColumn("code", F.row_number().over(Window.partitionBy("col").orderBy(order)).cast("int"))
+    path = scratch_path(df.sparkSession, "levels")
+    coded.write.parquet(path)
+    coded = df.sparkSession.read.schema(coded.schema).parquet(path)
+    for k, c in enumerate(cols):
+        own = coded.filter(F.col("col") == c).select(F.col("value").alias(f"__v{k}"), F.col("code").alias(f"{c}_code"))
+        df = df.join(own, F.col(c).cast("string") == F.col(f"__v{k}"), "left").drop(f"__v{k}")
+    return df
 
 
 # -- C1..C3, C5 ---------------------------------------------------------------
@@ -127,7 +143,8 @@ def trim_before(df: DataFrame, col: str, cutoff: str, month_col: str | None = No
 
 
 def date_range(df: DataFrame, col: str = "order_date") -> DataFrame:
-    return df.agg(F.min(col).alias("min_date"), F.max(col).alias("max_date"))
+    """First and last date; NULL as soon as one date is (``min`` without ``na.rm``)."""
+    return df.agg(na_min(col).alias("min_date"), na_max(col).alias("max_date"))
 
 
 # -- B11 ----------------------------------------------------------------------

@@ -72,6 +72,13 @@ def first_order_rows(df: DataFrame, key: str = "customer", ts: str = "date_purch
     grouped ``min`` over (order_id, row) with a partial step, not a window.
     """
     _check_ties(ties)
+    if ties == "first" and keys is None:
+        # one aggregation with a partial step: no second scan, no join
+        rest = [c for c in df.columns if c not in (key, ts, "order_id")]
+        first = F.min(F.when(F.col(ts).isNotNull(), F.struct(ts, "order_id", *rest)))
+        best = df.filter(F.col(key).isNotNull()).groupBy(key).agg(first.alias("__r"), F.min("order_month").alias("__cohort"))
+        best = best.filter(F.col("__r").isNotNull())
+        return best.select(key, "__r.*", F.col("__cohort").alias("cohort_id")).select(*df.columns, "cohort_id")
     keys = keys if keys is not None else first_order_keys(df, key, ts)
     k = keys.select(F.col(key).alias("__k"), "first_ts", "cohort_id")
     rows = df.join(k, (F.col(key) == F.col("__k")) & (F.col(ts) == F.col("first_ts")), "inner")
@@ -165,7 +172,7 @@ def cohort_tables(df: DataFrame, attrs: list[str] | None = None,
     attrs = list(FIRST_ORDER_ATTRS if attrs is None else attrs)
     cm = customer_months(df)
     keys = keys_from_months(cm)
-    cohort = first_order_rows(df, ties=ties, keys=keys).select("customer", "cohort_id", *attrs)
+    cohort = first_order_rows(df, ties=ties, keys=keys if ties == "all" else None).select("customer", "cohort_id", *attrs)
     weighted = weighted_cohort(cohort, attrs)
     act = cm.filter(_has_purchase()).join(weighted, on="customer", how="inner")
     activity = (act.groupBy("order_month", "cohort_id", *attrs)

@@ -15,6 +15,9 @@ from pyspark.sql import Window
 
 from retentio.functions.nulls import na_sum
 
+#: Amounts are added exactly: 26 digits before the point, 12 behind it.
+AMOUNT = T.DecimalType(38, 12)
+
 
 # -- D1 / D2 ------------------------------------------------------------------
 def n_distinct_col(col: str, na_rm: bool = False, approx: bool = False) -> Column:
@@ -118,10 +121,10 @@ def share_by(df: DataFrame, col: str) -> DataFrame:
 def revenue_by_shop(df: DataFrame) -> DataFrame:
     """Sum of order totals per shop, rounded half to even to whole units.
 
-    Summed as decimal(12,2) so the result does not depend on row order; a
-    NULL total makes the shop's sum NULL.
+    Summed as decimal(38,12), so the result does not depend on row order and
+    no amount is cut to cents; a NULL total makes the shop's sum NULL.
     """
-    amt = F.col("restaurant_total").cast(T.DecimalType(12, 2))
+    amt = F.col("restaurant_total").cast(AMOUNT)
     return df.groupBy("shops_id").agg(
         F.bround(na_sum(amt), 0).cast("double").alias("rest_revenue"))
 
@@ -134,22 +137,36 @@ def kpi_summary(df: DataFrame) -> DataFrame:
                  n_distinct_col("customer", na_rm=True).cast("bigint").alias("customers"),
                  F.min("order_month").alias("first_month"),
                  F.max("order_month").alias("last_month"),
-                 F.avg(F.col("restaurant_total").cast(T.DecimalType(12, 2))).alias("__aov"))
+                 F.sum(F.col("restaurant_total").cast(AMOUNT)).alias("__sum"),
+                 F.count("restaurant_total").alias("__n"))
     return agg.select(
         "transactions", "first_month", "last_month", "customers",
         F.round(F.try_divide(F.col("transactions"), F.col("customers").cast("double")), 4)
          .alias("orders_per_customer"),
-        F.bround(F.col("__aov"), 2).cast("double").alias("avg_order_value"))
+        F.bround(F.try_divide(F.col("__sum"), F.col("__n")), 2).cast("double").alias("avg_order_value"))
 
 
 # -- A5 -----------------------------------------------------------------------
-def schema_profile(df: DataFrame) -> DataFrame:
-    """One row per column: name, Spark type, position, and the table's row count."""
+def schema_profile(df: DataFrame, n_sample: int = 3, order_by: list[str] | None = None) -> DataFrame:
+    """One row per column: position, name, Spark type, the table's row count and
+    the values of the first ``n_sample`` rows as text (a top-n by ``order_by``,
+    the first column unless given; NULL shows as NA)."""
     spark = df.sparkSession
     meta = spark.createDataFrame(
         [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
         "position int, column_name string, data_type string")
-    return meta.withColumn("n_rows", df.agg(F.count(F.lit(1))).scalar())
+    keys = [F.col(k).asc_nulls_last() for k in (order_by or [df.columns[0]])]
+    first = df.orderBy(*keys).limit(n_sample)
+    text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")) for c in df.columns]
+    rows = first.select(F.struct(*keys_plain(order_by or [df.columns[0]]), F.array(*text).alias("__cells")).alias("r"))
+    cells = rows.agg(F.array_sort(F.collect_list("r")).alias("rows")).select(F.col("rows.__cells").alias("c")).scalar()
+    sample = F.array_join(F.transform("__cells", lambda row: F.get(row, F.col("position") - 1)), " ")
+    return (meta.withColumn("n_rows", df.agg(F.count(F.lit(1))).scalar()).withColumn("__cells", cells)
+                .withColumn("sample", sample).drop("__cells"))
+
+
+def keys_plain(names: list[str]) -> list[Column]:
+    return [F.col(n).alias(f"__k{i}") for i, n in enumerate(names)]
 
 
 # -- A6 -----------------------------------------------------------------------

@@ -1,11 +1,8 @@
 """Retention: rollups of the cohort tables, rates, matrices, seeds, churn.
 
-The inputs here are the small cohort tables (months x cohorts x slice
-values), so the joins below broadcast the counts side only when the slice
-columns have a bounded domain (``bounded=True``: cohort months x a handful
-of levels).  For open-ended slices (shops, regions) the join is left to AQE,
-which broadcasts at runtime only when the measured size is under the
-threshold and otherwise shuffles.
+The inputs here are cohort tables (months x cohorts x slice values).  No join
+forces a broadcast: AQE broadcasts at run time when the measured size of a
+side is under the threshold and shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -36,12 +33,9 @@ def cohort_active(activity: DataFrame, by: list[str] | None = None) -> DataFrame
     return out.withColumn("cohort_period", cohort_period("cohort_id", "order_month"))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
-                    bounded: bool) -> DataFrame:
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
-    if bounded:
-        r = F.broadcast(r)
     cond = None
     for k in keys:
         e = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
@@ -51,22 +45,18 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 # -- F3 / F6 / F9 -------------------------------------------------------------
 def retention(activity: DataFrame, counts: DataFrame, by: list[str] | None = None,
-              bounded: bool | None = None, with_cohort_text: bool | None = None) -> DataFrame:
+              with_cohort_text: bool | None = None) -> DataFrame:
     """Active customers / cohort size per order month x cohort [x slice].
 
     Slice keys match NULL to NULL (the reference's joins do).  ``cohort`` is
     the cohort month as text, added for sliced forms as the reference does.
-    ``bounded``: the cohort-size table is broadcast only when its size is
-    bounded - always for the unsliced form (one row per cohort month), and for
-    a slice only when the caller says its domain is small (a flag, a promo
-    level, a channel).  Otherwise the planner decides from measured sizes.
+    The join is left to the planner, which broadcasts the cohort sizes at run
+    time when their measured size is under its threshold.
     """
     by = list(by or [])
-    if bounded is None:
-        bounded = not by
     act = cohort_active(activity, by)
     size = cohort_size(counts, by)
-    out = _null_safe_join(act, size, ["cohort_id", *by], "left", bounded)
+    out = _null_safe_join(act, size, ["cohort_id", *by], "left")
     out = out.withColumn("retention_rate",
                          F.try_divide(F.col("active_customers"), F.col("cohort_count").cast("double")))
     if with_cohort_text is None:
@@ -77,15 +67,29 @@ def retention(activity: DataFrame, counts: DataFrame, by: list[str] | None = Non
 
 
 # -- F10 ----------------------------------------------------------------------
+def matrix_periods(df: DataFrame, month: str = "order_month") -> list[int]:
+    """Every period that can occur: 1 to the number of months the table spans.
+    (Two dates come to the driver.)"""
+    r = df.agg(F.min(month).alias("lo"), F.max(month).alias("hi")).head()
+    if r["lo"] is None:
+        return []
+    return list(range(1, (r["hi"].year - r["lo"].year) * 12 + r["hi"].month - r["lo"].month + 2))
+
+
 def retention_matrix(ret: DataFrame, periods: list[int], by: list[str] | None = None,
                      prefix: str = "p") -> DataFrame:
     """Cohort rows x period columns of retention_rate.
 
-    The period list is given, so the schema is fixed and the pivot needs no
-    extra job to discover its values.
+    The period list is given (``matrix_periods`` finds it), so the schema is
+    fixed; a period of ``ret`` that the list misses fails the query, so no
+    cell is dropped.
     """
     by = list(by or [])
-    piv = (ret.groupBy("cohort_id", *by)
+    period = F.col("cohort_period")
+    known = period.isNull() | period.isin([int(p) for p in periods])
+    checked = ret.withColumn("cohort_period", F.when(known, period).otherwise(F.raise_error(
+        F.concat(F.lit("retention_matrix: period not in the list: "), period.cast("string"))).cast("bigint")))
+    piv = (checked.groupBy("cohort_id", *by)
               .pivot("cohort_period", list(periods))
               .agg(F.max("retention_rate")))
     return piv.select("cohort_id", *by,
@@ -152,11 +156,23 @@ def churn(ret: DataFrame) -> DataFrame:
 
 
 # -- I1..I5 -------------------------------------------------------------------
-def retention_by(df: DataFrame, attr: str, ties: str = "all", bounded: bool = False) -> DataFrame:
+def retention_by(df: DataFrame, attr: str, ties: str = "all") -> DataFrame:
     """Retention sliced by one first-order attribute (any column or expression
     already added to ``df``)."""
     act, counts = co.cohort_tables(df, [attr], ties)
-    return retention(act, counts, [attr], bounded=bounded, with_cohort_text=False)
+    return retention(act, counts, [attr], with_cohort_text=False)
+
+
+def audience_segments(df: DataFrame) -> DataFrame:
+    """Per customer: cohort, last active month and its period, number of active
+    months, and ``active`` / ``lapsed`` by whether the last month of the table
+    is among them.  One grouped aggregation of the distinct customer-months."""
+    months = co.active_months(df.filter(F.col("order_month").isNotNull()))
+    last = df.agg(F.max("order_month")).scalar()
+    per = months.groupBy("customer").agg(F.min("order_month").alias("cohort_id"), F.max("order_month").alias("last_month"),
+                                         F.count(F.lit(1)).alias("active_months"))
+    return per.withColumn("last_period", cohort_period("cohort_id", "last_month")) \
+              .withColumn("segment", F.when(F.col("last_month") == last, "active").otherwise("lapsed"))
 
 
 def acquisition_growth(counts: DataFrame) -> DataFrame:
@@ -208,8 +224,6 @@ def retention_report(df: DataFrame, slices: list[list[str]] | None = None, ties:
     act, counts = co.cohort_tables(df, attrs, ties)
     level = storage_level or StorageLevel.MEMORY_AND_DISK
     report = RetentionReport(act.persist(level), counts.persist(level))
-    bounded_levels = {"has_promo_value", "promo_value"}
     for s in slices:
-        report.slices[tuple(s)] = retention(report.activity, report.counts, list(s),
-                                            bounded=set(s) <= bounded_levels)
+        report.slices[tuple(s)] = retention(report.activity, report.counts, list(s))
     return report

@@ -11,11 +11,14 @@ from pyspark.sql import types as T
 
 
 # -- H1 -----------------------------------------------------------------------
-def filter_range(df: DataFrame, col: str, lo=None, hi=None, full_range_off: bool = True) -> DataFrame:
+def filter_range(df: DataFrame, col: str, lo=None, hi=None, full_range_off: bool = True,
+                 full_range: tuple | None = None) -> DataFrame:
     """``lo <= col <= hi`` inclusive; NULL and NaN never pass.  A missing bound
     is open.  A filter whose bounds cover the column's whole [min, max] is
     off, as a range slider left at its ends is: every row stays, missing
-    values included (min / max come from one scalar subquery).
+    values included.  Whether it does is found out first, by one aggregation
+    of the column (or from ``full_range``, the column's known (min, max)), so
+    the filter that is planned is a plain range that reaches the scan.
     """
     if lo is None and hi is None:
         return df
@@ -28,16 +31,16 @@ def filter_range(df: DataFrame, col: str, lo=None, hi=None, full_range_off: bool
     if hi is not None:
         cond = cond & (c <= F.lit(hi))
     if full_range_off:
-        valid = df.select(c.alias("__v")).filter(F.col("__v").isNotNull())
-        if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType)):
-            valid = valid.filter(~F.isnan("__v"))
-        rng = valid.agg(F.struct(F.min("__v").alias("mn"), F.max("__v").alias("mx"))).scalar()
-        covers = F.lit(True)
-        if lo is not None:
-            covers = covers & (F.lit(lo) <= rng.getField("mn"))
-        if hi is not None:
-            covers = covers & (F.lit(hi) >= rng.getField("mx"))
-        cond = cond | F.coalesce(covers, F.lit(False))
+        if full_range is None:
+            ends = df.filter(c.isNotNull() & ~F.isnan(c) if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType))
+                             else c.isNotNull()).agg(F.min(c).alias("lo"), F.max(c).alias("hi"),
+                                                     *([(F.min(c) >= F.lit(lo)).alias("covers_lo")] if lo is not None else []),
+                                                     *([(F.max(c) <= F.lit(hi)).alias("covers_hi")] if hi is not None else [])).head()
+            covers = ends["lo"] is not None and all(ends[k] for k in ("covers_lo", "covers_hi") if k in ends)
+        else:
+            covers = (lo is None or lo <= full_range[0]) and (hi is None or hi >= full_range[1])
+        if covers:
+            return df
     return df.filter(cond)
 
 
@@ -88,9 +91,31 @@ def page(df: DataFrame, keys: list[str], k: int, n: int) -> DataFrame:
               .offset(k * n).limit(n))
 
 
+def page_after(df: DataFrame, keys: list[str], last: tuple | None, n: int) -> DataFrame:
+    """The ``n`` rows behind the key ``last`` (None: the first page).
+
+    For deep pages: the keys of the last row seen take the place of an offset,
+    so a page costs a filtered top-n however far behind it lies.  The keys
+    must identify a row; NULL keys sort last, as in ``page``.
+    """
+    if last is not None:
+        behind = F.lit(False)
+        for k, value in reversed(list(zip(keys, last))):
+            c = F.col(k)
+            if value is None:  # nothing sorts behind NULL
+                behind = c.isNull() & behind
+            else:
+                behind = c.isNull() | (c > F.lit(value)) | ((c == F.lit(value)) & behind)
+        df = df.filter(behind)
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in keys]).limit(n)
+
+
 # -- H6 -----------------------------------------------------------------------
-def keys_by_group(df: DataFrame, group: str, key: str, chosen) -> DataFrame:
-    """Union of the row keys of the chosen groups."""
+def keys_by_group(df: DataFrame, group: str, key: str, chosen) -> DataFrame | None:
+    """Union of the row keys of the chosen groups; None (an inactive filter)
+    for an empty choice."""
+    if not list(chosen):
+        return None
     return df.filter(F.col(group).isin(list(chosen))).select(key).distinct()
 
 

@@ -177,7 +177,8 @@ ORACLE["column_pick"] = base("SELECT customer FROM clean")
 ORACLE["order_date"] = base("SELECT order_id, date_purchased, order_date FROM clean_s3")
 ORACLE["order_month"] = base("SELECT order_id, order_date, order_month FROM clean")
 ORACLE["order_week"] = base("SELECT order_id, order_date, order_week FROM clean")
-ORACLE["date_range"] = base("SELECT min(order_date) AS min_date, max(order_date) AS max_date FROM clean_s3")
+ORACLE["date_range"] = base("SELECT CASE WHEN count(*) = count(order_date) THEN min(order_date) END AS min_date,"
+                            " CASE WHEN count(*) = count(order_date) THEN max(order_date) END AS max_date FROM clean_s3")
 ORACLE["trim_before"] = base(f"SELECT order_id, order_date FROM clean_s3 WHERE order_date < DATE '{CUTOFF}'")
 ORACLE["cohort_period"] = cohort(
     f"SELECT customer, order_month, cohort_id, {period()} AS cohort_period FROM customer_activity")
@@ -221,7 +222,7 @@ ORACLE["orders_by_week"] = _count_by("order_week")
 ORACLE["promo_levels"] = base("SELECT DISTINCT promo_value FROM clean WHERE promo_value IS NOT NULL")
 ORACLE["promo_share"] = _share_by("promo_value")
 REVENUE = ("\nrevenue AS (SELECT shops_id, CAST(round_even(CASE WHEN count(restaurant_total) = count(*)"
-           " THEN sum(CAST(restaurant_total AS DECIMAL(12,2))) END, 0) AS DOUBLE) AS rest_revenue"
+           " THEN sum(CAST(restaurant_total AS DECIMAL(38,12))) END, 0) AS DOUBLE) AS rest_revenue"
            " FROM clean GROUP BY shops_id)")
 ORACLE["revenue_by_shop"] = base("SELECT * FROM revenue", REVENUE)
 ORACLE["shipping_levels"] = base("SELECT DISTINCT shipping_type FROM clean")
@@ -235,7 +236,7 @@ ORACLE["orders_by_state"] = _share_by("state")
 ORACLE["kpi_summary"] = base(
     f"SELECT {N_ORDERS} AS transactions, min(order_month) AS first_month, max(order_month) AS last_month,"
     f" {N_CUSTOMERS} AS customers, round({N_ORDERS} / CAST({N_CUSTOMERS} AS DOUBLE), 4) AS orders_per_customer,"
-    " CAST(round_even(avg(CAST(restaurant_total AS DECIMAL(12,2))), 2) AS DOUBLE) AS avg_order_value"
+    " CAST(round_even(sum(CAST(restaurant_total AS DECIMAL(38,12))) / count(restaurant_total), 2) AS DOUBLE) AS avg_order_value"
     " FROM clean")
 
 # ------------------------------------------------- F: sliced retention -------
@@ -246,11 +247,13 @@ for _tag, _by in [("has_promo", ["has_promo_value"]), ("promo_value", ["promo_va
     ORACLE[f"cohort_activity_{_tag}"] = cohort(f"SELECT * FROM act_{_t}", _a)
     ORACLE[f"cohort_retention_{_tag}"] = cohort(f"SELECT * FROM ret_{_t}", _c, _a, _r)
 
-MATRIX_PERIODS = list(range(1, 80))
+# The test orders span 1995-01 .. 2001-07; a period beyond these months ends the query.
+TEST_MONTHS = 79
 ORACLE["retention_matrix"] = cohort(
     "SELECT cohort_id, " + ", ".join(
-        f"max(CASE WHEN cohort_period = {p} THEN retention_rate END) AS p{p}" for p in MATRIX_PERIODS)
-    + " FROM ret_all GROUP BY cohort_id", *_ALL)
+        f"max(CASE WHEN cohort_period = {p} THEN retention_rate END) AS p{p}" for p in range(1, TEST_MONTHS + 1))
+    + f" FROM (SELECT *, CASE WHEN cohort_period NOT BETWEEN 1 AND {TEST_MONTHS} THEN error('period out of range') END AS x"
+    " FROM ret_all) WHERE x IS NULL GROUP BY cohort_id", *_ALL)
 _PV = sliced(["promo_value"])
 ORACLE["retention_labels"] = cohort(
     "SELECT cohort_id, promo_value, cohort_period, retention_rate,"
@@ -338,18 +341,25 @@ ORACLE["hist_orders_per_customer"] = base(histogram_sql("opc", "num_orders"), OP
 ORACLE["hist_log_orders_per_customer"] = base(
     histogram_sql("lopc", "log_num_orders"), OPC + ",\nlopc AS (SELECT ln(num_orders) AS log_num_orders FROM opc)")
 ORACLE["hist_shop_revenue"] = base(histogram_sql("revenue", "rest_revenue"), REVENUE)
-ORACLE["linear_fit"] = base("""
-SELECT '(Intercept)' AS term, b0 AS estimate, se0 AS std_error, b0 / se0 AS t_value FROM fit
-UNION ALL SELECT 'day', b1, se1, b1 / se1 FROM fit""", """
-daily AS (SELECT CAST(order_date - DATE '1970-01-01' AS BIGINT) AS day, count(*) AS orders
+# p: the incomplete beta integral of Student's t, P_N midpoints after y = x exp(-2 v^2 / d)
+P_N = 20000
+_GAMMA_RATIO = ("sqrt(g) * (1 - 1 / (8 * g) + 1 / (128 * g ** 2) + 5 / (1024 * g ** 3) - 21 / (32768 * g ** 4))"
+                + "".join(f" * (d / 2 + {k}) / (d / 2 + {k}.5)" for k in range(8)))
+ORACLE["linear_fit"] = base(f"""
+SELECT term, estimate, std_error, t_value,
+  least(1.0, ({_GAMMA_RATIO}) / sqrt(pi()) * exp(d / 2 * ln(z)) * (2 / d) * (6.5 / {P_N}) *
+    list_sum(list_transform(range({P_N}), lambda k: exp(-power((k + 0.5) * 6.5 / {P_N}, 2))
+      / sqrt(1 - z * exp(-2 * power((k + 0.5) * 6.5 / {P_N}, 2) / d)) * 2 * ((k + 0.5) * 6.5 / {P_N})))) AS p_value
+FROM (SELECT *, d / (d + t_value * t_value) AS z, d / 2 + 8 AS g FROM (
+  SELECT '(Intercept)' AS term, b0 AS estimate, se0 AS std_error, b0 / se0 AS t_value, d FROM fit
+  UNION ALL SELECT 'day', b1, se1, b1 / se1, d FROM fit))""", """
+daily AS (SELECT CAST(order_date - DATE '1970-01-01' AS DOUBLE) AS day, CAST(count(*) AS DOUBLE) AS orders
           FROM clean GROUP BY order_date),
-mom AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(day) AS DOUBLE) AS sx, CAST(sum(orders) AS DOUBLE) AS sy,
-               CAST(sum(day * day) AS DOUBLE) AS sxx, CAST(sum(day * orders) AS DOUBLE) AS sxy,
-               CAST(sum(orders * orders) AS DOUBLE) AS syy FROM daily),
-m2 AS (SELECT *, sxx - sx * sx / n AS Sxx_, sxy - sx * sy / n AS Sxy_, syy - sy * sy / n AS Syy_ FROM mom),
-m3 AS (SELECT *, Sxy_ / Sxx_ AS b1 FROM m2),
-m4 AS (SELECT *, (sy - b1 * sx) / n AS b0, (Syy_ - b1 * Sxy_) / (n - 2) AS s2 FROM m3),
-fit AS (SELECT b0, b1, sqrt(s2 * (1 / n + (sx / n) * (sx / n) / Sxx_)) AS se0, sqrt(s2 / Sxx_) AS se1 FROM m4)""")
+mom AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(day) AS mx, regr_slope(orders, day) AS b1, regr_intercept(orders, day) AS b0,
+               regr_sxx(orders, day) AS xx, regr_syy(orders, day) AS yy, regr_sxy(orders, day) AS xy FROM daily),
+m2 AS (SELECT *, (yy - b1 * xy) / (n - 2) AS s2 FROM mom),
+fit AS (SELECT b0, b1, n - 2 AS d, sqrt(s2 * (1 / n + mx * mx / xx)) AS se0, sqrt(s2 / xx) AS se1 FROM m2)""")
+ORACLE["linear_fit_pvalues"] = ORACLE["linear_fit"]
 ORACLE["grep_values"] = base("SELECT state FROM clean WHERE regexp_matches(state, '_1[0-9]$')")
 
 # ------------------------------------------------ H: table operators ---------
@@ -392,15 +402,17 @@ _PROFILE = [("order_id", "bigint"), ("source", "string"), ("date_purchased", "st
             ("order_month", "date"), ("order_week", "date"), ("has_promo_value", "boolean")]
 ORACLE["schema_profile"] = base(
     "SELECT CAST(position AS INTEGER) AS position, column_name, data_type,"
-    " (SELECT count(*) FROM clean) AS n_rows FROM (VALUES "
-    + ", ".join(f"({i + 1}, '{c}', '{t}')" for i, (c, t) in enumerate(_PROFILE))
-    + ") t(position, column_name, data_type)")
+    " (SELECT count(*) FROM clean) AS n_rows, sample FROM ("
+    + " UNION ALL ".join(
+        f"SELECT {i + 1} AS position, '{c}' AS column_name, '{t}' AS data_type, (SELECT string_agg(coalesce(CAST({c} AS VARCHAR), 'NA'), ' '"
+        f" ORDER BY order_id) FROM (SELECT * FROM clean ORDER BY order_id LIMIT 3)) AS sample" for i, (c, t) in enumerate(_PROFILE))
+    + ")")
 _NUM = ["order_id", "promo_value", "restaurant_total", "customer", "shops_id", "postal_code"]
 _TXT = ["source", "date_purchased", "shipping_type", "payment_method", "state"]
 ORACLE["numeric_summary"] = with_(RAW, final=" UNION ALL ".join(
     f"SELECT '{c}' AS column_name, 'numeric' AS kind, count(*) AS length, min(CAST({c} AS DOUBLE)) AS min,"
     f" quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median,"
-    f" CAST(sum(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) / count({c}) AS mean,"
+    f" avg(CAST({c} AS DOUBLE)) AS mean,"
     f" quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3, max(CAST({c} AS DOUBLE)) AS max,"
     f" CAST(count(*) - count({c}) AS BIGINT) AS n_missing FROM raw" for c in _NUM) + "".join(
     f" UNION ALL SELECT '{c}', 'character', count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM raw"
@@ -426,3 +438,22 @@ LEFT JOIN (SELECT cohort_id, count(*) AS cohort_count FROM ft_cohort GROUP BY co
 ORACLE["orders_by_week_monday"] = base(
     "SELECT CAST(date_trunc('week', order_date) AS DATE) AS order_week, count(*) AS orders"
     " FROM clean GROUP BY 1")
+
+
+# ------------------------------------------------ default bins, segments ------
+def ggplot_sql(src: str, col: str, bins: int = 30) -> str:
+    return f"""SELECT bin, lo - w / 2 + bin * w AS bin_lower, lo - w / 2 + (bin + 1) * w AS bin_upper, count(*) AS n FROM (
+  SELECT CAST(CASE WHEN w = 0 THEN 0 ELSE greatest(0, least({bins - 1}, ceil((x - (lo - w / 2)) / w) - 1)) END AS INTEGER) AS bin, lo, w
+  FROM (SELECT CAST({col} AS DOUBLE) AS x FROM {src} WHERE {col} IS NOT NULL) v,
+       (SELECT min(CAST({col} AS DOUBLE)) AS lo, (max(CAST({col} AS DOUBLE)) - min(CAST({col} AS DOUBLE))) / {bins - 1} AS w FROM {src}) r
+  ) GROUP BY bin, lo, w"""
+
+
+ORACLE["hist_orders_per_customer_ggplot"] = base(ggplot_sql("opc", "num_orders"), OPC)
+ORACLE["hist_shop_revenue_ggplot"] = base(ggplot_sql("revenue", "rest_revenue"), REVENUE)
+ORACLE["audience_segments"] = base(f"""
+SELECT customer, cohort_id, last_month, active_months, {period('cohort_id', 'last_month')} AS last_period,
+       CASE WHEN last_month = (SELECT max(order_month) FROM clean) THEN 'active' ELSE 'lapsed' END AS segment
+FROM (SELECT customer, min(order_month) AS cohort_id, max(order_month) AS last_month, count(DISTINCT order_month) AS active_months
+      FROM clean WHERE order_month IS NOT NULL GROUP BY customer)""")
+ORACLE["page_after"] = ORACLE["page"]

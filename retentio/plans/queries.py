@@ -98,7 +98,6 @@ def q_cohort_retention_all(spark, sf):
 HIST_BINS = 30
 HEAD_N = 6
 PAGE_K, PAGE_N = 2, 8
-MATRIX_PERIODS = list(range(1, 80))     # test orders span 1995-01 .. 2001-07
 RANGE_COL, RANGE_LO, RANGE_HI = "restaurant_total", 100000.0, 200000.0
 SET_COL, SET_VALUES = "source", ["1-URGENT", "2-HIGH"]
 LOGICAL_COL, LOGICAL_CHOICES = "has_promo_value", ["true", "na"]
@@ -106,7 +105,6 @@ SEARCH_COL, SEARCH_WORDS = "payment_method", "auto MOBILE"
 REGEX_COL, REGEX_QUERY = "source", "^[12]-"
 GREP_COL, GREP_PATTERN = "state", "_1[0-9]$"
 GROUP_COL, GROUP_KEY, GROUP_CHOSEN = "state", "customer", ["NATION_1", "NATION_2", "NATION_3"]
-CORRECTED_BUCKETS = 8
 # ============================================================================
 
 
@@ -172,9 +170,7 @@ def q_sentinel_to_null(spark, sf):
 @query("encode_levels")
 def q_encode_levels(spark, sf):
     df = cleaned(spark, sf).select("order_id", "source", "shipping_type", "payment_method")
-    for c in ["source", "shipping_type", "payment_method"]:
-        df = cl.encode_levels(df, c)
-    return df
+    return cl.encode_levels(df, ["source", "shipping_type", "payment_method"])
 
 
 @query("column_pick")
@@ -330,8 +326,7 @@ def _sliced(spark, sf, by, what):
         return rt.cohort_size(counts, by)
     if what == "activity":
         return rt.cohort_active(act, by)
-    # the slices here are a flag and a 0-5 promo level: a bounded domain
-    return rt.retention(act, counts, by, bounded=True)
+    return rt.retention(act, counts, by)
 
 
 for _tag, _by in [("has_promo", ["has_promo_value"]), ("promo_value", ["promo_value"])]:
@@ -342,7 +337,7 @@ for _tag, _by in [("has_promo", ["has_promo_value"]), ("promo_value", ["promo_va
 
 @query("retention_matrix")
 def q_retention_matrix(spark, sf):
-    return rt.retention_matrix(_sliced(spark, sf, [], "retention"), MATRIX_PERIODS)
+    return rt.retention_matrix(_sliced(spark, sf, [], "retention"), rt.matrix_periods(cleaned(spark, sf)))
 
 
 @query("retention_labels")
@@ -390,14 +385,14 @@ def q_retention_by_shop(spark, sf):
 
 @query("retention_by_source")
 def q_retention_by_source(spark, sf):
-    return rt.retention_by(cleaned(spark, sf), "source", bounded=True)
+    return rt.retention_by(cleaned(spark, sf), "source")
 
 
 @query("retention_by_hour")
 def q_retention_by_hour(spark, sf):
     df = cleaned_events(spark, sf).withColumn(
         "hour", F.substring("date_purchased", 12, 2).try_cast("int"))
-    return rt.retention_by(df, "hour", bounded=True)
+    return rt.retention_by(df, "hour")
 
 
 @query("acquisition_growth")
@@ -521,16 +516,20 @@ def q_keyset_diff(spark, sf):
 
 @query("read_orders")
 def q_read_orders(spark, sf):
-    """Orders written as headed CSV to the shared folder, read back typed."""
+    """Orders written as headed CSV to the shared folder, with the columns in
+    another order and one more, read back by name and typed."""
     path = scratch_path(spark, "orders-csv")
-    src.write_orders_csv(raw_orders(spark, sf), path)
+    raw = raw_orders(spark, sf)
+    src.write_orders_csv(raw.select(F.lit('a "quoted", note').alias("note"), *reversed(raw.columns)), path)
     return src.read_orders(spark, path)
 
 
 @query("read_zip_lookup")
 def q_read_zip_lookup(spark, sf):
     path = scratch_path(spark, "zips-csv")
-    lookup(spark, sf).write.mode("overwrite").options(header=True).csv(path)
+    zips = lookup(spark, sf)
+    zips.select("zip", F.lit(18.18).alias("lat"), F.lit(-66.75).alias("lng"), F.lit("Adjuntas").alias("city"), "state_id") \
+        .write.mode("overwrite").options(header=True).csv(path)
     return src.read_zip_lookup(spark, path)
 
 
@@ -603,6 +602,32 @@ def q_read_corrected_bucketed(spark, sf):
     """The cohort stage on the saved table bucketed by (customer, instant):
     the join back to the first-order rows reads the orders without a shuffle."""
     table = f"retentio_corrected_{uuid.uuid4().hex[:12]}"
-    src.save_corrected_table(cleaned(spark, sf), table, scratch_path(spark, "bucketed"), CORRECTED_BUCKETS)
+    src.save_corrected_table(cleaned(spark, sf), table, scratch_path(spark, "bucketed"))
     act, counts = co.cohort_tables(spark.table(table))
     return rt.retention(act, counts)
+
+
+# ------------------------------------------------ options of G1 / G3; segments --
+@query("hist_orders_per_customer_ggplot")
+def q_hist_orders_per_customer_ggplot(spark, sf):
+    """G1 with the plotting library's default bins."""
+    return st.histogram(eda.orders_per_customer(cleaned(spark, sf)), "num_orders", HIST_BINS, "ggplot")
+
+
+@query("hist_shop_revenue_ggplot")
+def q_hist_shop_revenue_ggplot(spark, sf):
+    return st.histogram(eda.revenue_by_shop(cleaned(spark, sf)), "rest_revenue", HIST_BINS, "ggplot")
+
+
+@query("audience_segments")
+def q_audience_segments(spark, sf):
+    """Customers by last active period, months active, active or lapsed."""
+    return rt.audience_segments(cleaned(spark, sf))
+
+
+@query("page_after")
+def q_page_after(spark, sf):
+    """H5 by key: the page behind the last row of page 1 (rows 16 to 23)."""
+    df = cleaned(spark, sf)
+    last = tb.page(df, ["order_id"], PAGE_K - 1, PAGE_N).agg(F.max("order_id")).head()[0]
+    return tb.page_after(df, ["order_id"], (last,), PAGE_N)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -67,7 +68,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path under the checkpoint root for a written table."""
+    """A new, unique path under the checkpoint root for a written table.
+
+    DataFrames read these tables lazily, so they stay until the program ends
+    (or ``drop_scratch`` is called) and are then removed."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/retentio-{name}-{uuid.uuid4().hex}"
+    path = f"{root}/retentio-{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(drop_scratch)
+    _scratch.append((spark, path))
+    return path
+
+
+def drop_scratch() -> None:
+    """Remove the scratch tables of this program; a stopped session's are left
+    to the folder's own retention."""
+    while _scratch:
+        spark, path = _scratch.pop()
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -19,8 +19,9 @@ in once; a restarted driver finds the complete deltas on disk.
 
 ``compact()`` folds everything so far into a base snapshot (written under
 the newest batch id, ``keys`` last); readers then take the newest base plus
-the deltas after it, so read cost stays O(state + recent batches).  Deltas
-at or before a base are no longer read.
+the deltas after it, so read cost stays O(state + recent batches).  It runs by
+itself after every ``compact_every`` deltas.  Deltas at or before a base are no
+longer read.
 """
 
 from __future__ import annotations
@@ -38,10 +39,11 @@ from retentio.session import scratch_path
 
 class CohortState:
     def __init__(self, spark: SparkSession, lookup: DataFrame, cutoff: str | None = None,
-                 attrs: list[str] | None = None, root: str | None = None):
+                 attrs: list[str] | None = None, root: str | None = None, compact_every: int = 64):
         self.spark = spark
         self.lookup = lookup
         self.cutoff = cutoff
+        self.compact_every = compact_every
         self.attrs = list(FIRST_ORDER_ATTRS if attrs is None else attrs)
         self.root = root or scratch_path(spark, "cohort-state")
         self.versions: list[int] = self._complete("v")
@@ -56,19 +58,24 @@ class CohortState:
         return f"{self.root}/{kind}{batch_id:09d}/{name}"
 
     def _complete(self, kind: str) -> list[int]:
-        """Ids of deltas (``v``) or bases (``base``) whose ``keys`` was written."""
-        try:
-            files = self.spark.read.parquet(f"{self.root}/{kind}*/keys").inputFiles()
-        except Exception:  # noqa: BLE001 - nothing written yet
+        """Ids of the deltas (``v``) or bases (``base``) whose ``keys`` was
+        committed: the folder holds ``_SUCCESS``.  Only a missing root means
+        that nothing was written yet; any other error is raised."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
             return []
-        return sorted({int(m.group(1)) for f in files
-                       if (m := re.search(rf"/{kind}(\d{{9}})/keys/", f))})
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}*/keys/_SUCCESS"))
+        return sorted(int(m.group(1)) for f in found
+                      if (m := re.search(rf"/{kind}(\d{{9}})/keys/_SUCCESS$", f.getPath().toString())))
 
     def merge_batch(self, batch: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` body: clean the new orders, write the batch's delta."""
         df = clean_orders(batch, self.lookup, self.cutoff)
         a = self.attrs
-        rows = df.select("customer", F.col("date_purchased").alias("first_ts"), "order_month", *a)
+        # four tables are made from the cleaned batch: clean it once
+        rows = df.select("customer", F.col("date_purchased").alias("first_ts"), "order_month", *a).persist()
         keys = rows.groupBy("customer").agg(F.min("first_ts").alias("first_ts"),
                                             F.min("order_month").alias("cohort_id"))
         ties = (rows.join(keys.select("customer", "first_ts"), ["customer", "first_ts"], "left_semi")
@@ -76,9 +83,13 @@ class CohortState:
         months = rows.select("customer", "order_month").distinct()
         for name, frame in (("months", months), ("ties", ties), ("keys", keys)):
             frame.write.mode("overwrite").parquet(self._path(batch_id, name))
+        rows.unpersist()
         self.versions = sorted(set(self.versions) | {batch_id})
+        if sum(self.base is None or v > self.base for v in self.versions) >= self.compact_every:
+            self.compact()
 
     def _read_all(self, name: str) -> DataFrame:
+        # at most ``compact_every`` deltas and one base
         paths = [self._path(v, name) for v in self.versions
                  if self.base is None or v > self.base]
         if self.base is not None:
