@@ -1,3 +1,68 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
+
+Not here, and tested against brute force instead: sharding (greedy search and
+CRC-32), the learned and sampled operators, the randomness battery, mixing
+(iterated dual and rounding), approximate search, packing.
+"""
+
+from __future__ import annotations
+
+from retentio.llm.line_dedup import MIN_CHARS, MIN_DOCS as LINE_MIN_DOCS
+from retentio.llm.quality_rules import MAX_SHARE, MIN_DOCS, MIN_LEFT
+
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE: dict[str, str] = {}
+
+_ESCAPED = r"regexp_replace(replace({c}, '\', '\\'), '([<\[])(\||/?s>|/?INST\]|<?/?SYS>)', '\1\\\2', 'g')"
+_ROLE, _TEXT = _ESCAPED.format(c="role"), _ESCAPED.format(c="text")
+ORACLE["op2_chat_formatting"] = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+per AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS told,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '') AS loss,
+         sum(length('<|turn|>' || {_ROLE} || '<|text|>' || {_TEXT} || '<|end|>')) AS formatted_chars
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars FROM per"""
+
+ORACLE["op6_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents),
+w AS (SELECT doc_id, text, source, regexp_extract_all(text, '{_WORD}') AS words FROM d),
+pos AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+gram AS (SELECT doc_id, i, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM pos WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, word, w2, w3) AS c FROM gram WHERE w3 IS NOT NULL) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) t(k) GROUP BY doc_id),
+line AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+                generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d),
+named AS (SELECT doc_id, source, text, line, p, regexp_extract_all(line, '{_WORD}') AS lw FROM line),
+held AS (SELECT doc_id, source, text, line, p, len(lw) AS n, translate(array_to_string(lw, ' '), {_LOWER}) AS k FROM named WHERE len(lw) > 0),
+dup AS (SELECT doc_id, count(*) AS n_dup_lines FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY p) AS r FROM held)
+        WHERE r > 1 GROUP BY doc_id),
+hosts AS (SELECT source, count(DISTINCT text) AS n_host FROM d GROUP BY source),
+often AS (SELECT h.source, h.k FROM held h JOIN hosts o ON h.source IS NOT DISTINCT FROM o.source
+          GROUP BY h.source, h.k, o.n_host HAVING count(DISTINCT h.text) > {MIN_DOCS} AND count(DISTINCT h.text) > {MAX_SHARE} * o.n_host),
+gone AS (SELECT h.doc_id, sum(h.n) AS n_removed_words FROM held h JOIN often o ON h.source IS NOT DISTINCT FROM o.source AND h.k = o.k GROUP BY h.doc_id),
+base AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= {MIN_LEFT} * n_words AS kept FROM base"""
+
+ORACLE["op7_line_dedup"] = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS p FROM d),
+keyed AS (SELECT doc_id, line, p, translate(trim(line, {_SPACE}), {_LOWER}) AS k FROM line),
+often AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= {MIN_CHARS} GROUP BY k HAVING count(DISTINCT doc_id) >= {LINE_MIN_DOCS}),
+marked AS (SELECT keyed.*, last IS NOT NULL AND doc_id < last AS gone FROM keyed LEFT JOIN often USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
