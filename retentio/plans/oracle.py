@@ -457,3 +457,40 @@ SELECT customer, cohort_id, last_month, active_months, {period('cohort_id', 'las
 FROM (SELECT customer, min(order_month) AS cohort_id, max(order_month) AS last_month, count(DISTINCT order_month) AS active_months
       FROM clean WHERE order_month IS NOT NULL GROUP BY customer)""")
 ORACLE["page_after"] = ORACLE["page"]
+
+
+# ------------------------------------------------ G4 / G5: loess trends --------
+def trend_sql(key: str) -> str:
+    """Local quadratic fits at the vertices by Cramer's rule, cubic Hermite between."""
+    det = lambda a: (f"({a[0][0]} * ({a[1][1]} * {a[2][2]} - {a[1][2]} * {a[2][1]}) - {a[0][1]} * ({a[1][0]} * {a[2][2]} - {a[1][2]} * {a[2][0]})"
+                     f" + {a[0][2]} * ({a[1][0]} * {a[2][1]} - {a[1][1]} * {a[2][0]}))")
+    m = [["s0", "s1", "s2"], ["s1", "s2", "s3"], ["s2", "s3", "s4"]]
+    swapped = lambda j: [[f"t{i}" if k == j else m[i][k] for k in range(3)] for i in range(3)]
+    moments = ", ".join([f"sum(w * power(u, {i})) AS s{i}" for i in range(5)] + [f"sum(w * power(u, {i}) * y) AS t{i}" for i in range(3)])
+    sql = base(f"""
+SELECT {key}, orders, round((2 * z * z * z - 3 * z * z + 1) * f + (z * z * z - 2 * z * z + z) * (v2 - v) * g
+  + (3 * z * z - 2 * z * z * z) * f2 + (z * z * z - z * z) * (v2 - v) * g2, 4) AS trend
+FROM (SELECT s.*, c.*, (s.x - c.v) / (c.v2 - c.v) AS z FROM s JOIN cell c ON s.x >= c.v AND s.x < c.v2)""", f"""
+s AS (SELECT {key}, count(*) AS orders, CAST({key} - DATE '1970-01-01' AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS y,
+             row_number() OVER (ORDER BY {key}) - 1 AS r FROM clean GROUP BY {key}),
+size AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, greatest(1, CAST(floor(count(*) * 0.75 * 0.2) AS BIGINT)) AS fc,
+                least(count(*), greatest(3, CAST(floor(count(*) * 0.75) AS BIGINT))) AS q FROM s),
+split(a, b) AS (SELECT 0, n - 1 FROM size UNION ALL
+  SELECT CASE WHEN k = 0 THEN a ELSE (a + b) // 2 + 1 END, CASE WHEN k = 0 THEN (a + b) // 2 ELSE b END
+  FROM split, size, (VALUES (0), (1)) t(k) WHERE b - a + 1 > fc),
+vert AS (SELECT DISTINCT v FROM (
+  SELECT (p.x + o.x) / 2 AS v FROM split, size, s p, s o WHERE b - a + 1 > fc AND p.r = (a + b) // 2 AND o.r = (a + b) // 2 + 1
+  UNION ALL SELECT lo - 0.005 * (hi - lo) FROM size UNION ALL SELECT hi + 0.005 * (hi - lo) FROM size)),
+dist AS (SELECT v, x, y, abs(x - v) AS d, row_number() OVER (PARTITION BY v ORDER BY abs(x - v)) AS k FROM vert, s),
+band AS (SELECT v, d AS h FROM dist, size WHERE k = q),
+mom AS (SELECT v, h, {moments} FROM (
+  SELECT d.v, h, (x - d.v) / h AS u, power(1 - power(abs((x - d.v) / h), 3), 3) AS w, y FROM dist d JOIN band b ON d.v = b.v WHERE d.d < h)
+  GROUP BY v, h),
+fitted AS (SELECT v, {det(swapped(0))} / {det(m)} AS f, {det(swapped(1))} / {det(m)} / h AS g FROM mom),
+cell AS (SELECT * FROM (SELECT v, f, g, lead(v) OVER o AS v2, lead(f) OVER o AS f2, lead(g) OVER o AS g2 FROM fitted
+                        WINDOW o AS (ORDER BY v)) WHERE v2 IS NOT NULL)""")
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+ORACLE["trend_orders_by_date"] = trend_sql("order_date")
+ORACLE["trend_orders_by_week"] = trend_sql("order_week")
