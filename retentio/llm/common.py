@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +16,25 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 NULL_ID = -(2 ** 63)
 
 
+def with_library(spark: SparkSession) -> None:
+    """Lets Python workers import this library from where the driver has it
+    (for executors that see that path; elsewhere it must be installed)."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    with_library(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back: cuts
     the lineage, survives lost executors and freezes minted row ids."""
+    with_library(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

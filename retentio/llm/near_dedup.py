@@ -50,7 +50,7 @@ from retentio.llm.common import ASCII_SPACE, join_on, materialise, with_row_key
 from retentio.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 9, 2
+BANDS, ROWS = 12, 2
 MIN_SHARE = 0.05
 CELL_BITS, PIECES = 18, 16
 CHUNK = 1 << 14  # shingles worked on at a time
