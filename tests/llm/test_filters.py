@@ -119,7 +119,7 @@ def test_battery_finds_random_strings_and_spares_words(spark):
     parts = ["tion", "ing", "er", "the", "and", "en", "ou", "st"]
     longword = lambda: "".join(rnd.choice(parts) for _ in range(7))
     rows = [(k, f"some text {key} and {longword()} on") for k, key in enumerate(keys)]
-    rows += [(100 + k, " ".join(longword() for _ in range(10)) + " released-under-the-mit-license") for k in range(60)]
+    rows += [(100 + k, " ".join(longword() for _ in range(10)) + f" released-under-the-mit-license {4000_0000_0000_0000 + 7919 ** 4 * k % 10 ** 15}") for k in range(60)]
     got = {r.doc_id: r for r in scan_secrets(docs(spark, rows)).collect()}
     assert sum(got[k].n_random for k in range(20)) >= 12
     assert sum(got[k].n_random for k in range(100, 160)) == 0
