@@ -66,3 +66,42 @@ marked AS (SELECT keyed.*, last IS NOT NULL AND doc_id < last AS gone FROM keyed
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+# The dual is solved here by bisection instead of Newton steps; the targets by
+# the water level, the copies by the same rounding rule (it decides the result).
+ORACLE["op8_mixing"] = f"""
+WITH RECURSIVE
+d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k
+        FROM d GROUP BY source),
+weighed AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][k % 3 + 1] AS w, CAST(2 * source_size AS DOUBLE) AS cap FROM src),
+levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+           FROM weighed WINDOW b AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+water AS (SELECT level FROM levels WHERE w * level <= cap ORDER BY cap / w, k LIMIT 1),
+goal AS (SELECT source, k AS id, source_size, CAST(source_size AS DOUBLE) / n AS mean, least(cap, w * (SELECT level FROM water)) AS target FROM weighed),
+hist AS (SELECT id, target, size, mean, count(*) AS c FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source GROUP BY ALL),
+packed AS (SELECT id, target, list(CAST(size AS DOUBLE) / mean ORDER BY size) AS xs, list(CAST(c * size AS DOUBLE) ORDER BY size) AS ts
+           FROM hist WHERE size > 0 GROUP BY id, target),
+half AS (SELECT id, target, xs, ts, -1e5::DOUBLE AS lo, 1e5::DOUBLE AS hi, 0 AS i FROM packed
+  UNION ALL
+  SELECT id, target, xs, ts, CASE WHEN got < target THEN (lo + hi) / 2 ELSE lo END, CASE WHEN got < target THEN hi ELSE (lo + hi) / 2 END, i + 1
+  FROM (SELECT *, list_sum(list_transform(range(1, len(xs) + 1), lambda j: ts[j] * CASE WHEN (lo + hi) / 2 * xs[j] >= ln(2) THEN 2
+                                          ELSE exp((lo + hi) / 2 * xs[j]) END)) AS got FROM half WHERE i < 130)),
+tilt AS (SELECT id, (lo + hi) / 2 AS tau FROM half WHERE i = 130),
+rated AS (SELECT h.id, h.target, size, c, CASE WHEN size = 0 THEN 1.0::DOUBLE WHEN h.target >= 2 * source_size OR tau * (size / h.mean) >= ln(2) THEN 2.0::DOUBLE
+                 ELSE exp(tau * (size / h.mean)) END AS rate
+          FROM hist h JOIN goal USING (id) LEFT JOIN tilt USING (id)),
+summed AS (SELECT *, coalesce(sum(rate * c) OVER (PARTITION BY id ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rated),
+dealt AS (SELECT *, least(CAST(floor(before + rate * c + 0.5) - floor(before + 0.5) AS BIGINT), 2 * c) AS k,
+                 row_number() OVER (PARTITION BY id ORDER BY size DESC) AS j FROM summed),
+lack AS (SELECT id, CAST(round(max(target)) AS BIGINT) - CAST(sum(k * size) AS BIGINT) AS missing FROM dealt WHERE size > 0 GROUP BY id),
+fill AS (SELECT id, CAST(0 AS BIGINT) AS j, missing, CAST(0 AS BIGINT) AS more FROM lack
+  UNION ALL
+  SELECT id, j, missing - more * size, more FROM (
+    SELECT f.id, q.j, f.missing, q.size, CASE WHEN f.missing > 0 THEN least(f.missing // q.size, 2 * q.c - q.k) ELSE -least((-f.missing) // q.size, q.k) END AS more
+    FROM fill f JOIN dealt q ON q.id = f.id AND q.j = f.j + 1 WHERE q.size > 0)),
+settled AS (SELECT dealt.*, CAST(k + coalesce(more, 0) AS DOUBLE) AS copies FROM dealt LEFT JOIN fill USING (id, j)),
+placed AS (SELECT d.doc_id, d.size, g.id, g.source_size, g.target, row_number() OVER (PARTITION BY g.id, d.size ORDER BY d.doc_id) - 1 AS r
+           FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, p.size, source_size, p.target, CAST(floor((r + 1) * copies / c) - floor(r * copies / c) AS BIGINT) * p.size AS taken
+FROM placed p JOIN settled f ON p.id = f.id AND p.size = f.size"""
