@@ -1,8 +1,8 @@
 """DuckDB SQL of the queries that SQL can express.
 
-Not here, and tested against brute force instead: sharding (greedy search and
-CRC-32), the learned and sampled operators, the randomness battery, mixing
-(iterated dual and rounding), approximate search, packing.
+Not here, and tested against brute force instead: sharding (its CRC-32 over
+whole texts is too slow in SQL), the learned and sampled operators, the
+randomness battery, approximate search, packing.
 """
 
 from __future__ import annotations
