@@ -52,18 +52,18 @@ class Range:
 def _histogram(groups: DataFrame, spans: list[tuple[int, int]], fan: int) -> list[list[Range]]:
     """Sizes of the groups in each span (lo, hi inclusive), by up to ``fan`` equal key ranges."""
     key = F.col("key")
-    label = F.lit(None).cast("struct<i:int,b:bigint>")
-    for i, (lo, hi) in reversed(list(enumerate(spans))):
-        width = max(1, -(-(hi - lo + 1) // fan))
-        label = F.when((key >= lo) & (key <= hi), F.struct(
-            F.lit(i).alias("i"), F.floor((key - F.lit(lo)) / F.lit(width)).cast("bigint").alias("b"))).otherwise(label)
+    listed = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values])
+    at = F.size(F.filter(listed([lo for lo, _ in spans]), lambda lo: lo <= key)) - 1  # the last span that begins before
+    of = lambda values: F.get(listed(values), F.col("i"))
+    lows, widths = [lo for lo, _ in spans], [max(1, -(-(hi - lo + 1) // fan)) for lo, hi in spans]
     found = (groups.filter((key >= spans[0][0]) & (key <= spans[-1][1]))
-                   .withColumn("at", label).filter(F.col("at").isNotNull())
-                   .groupBy("at").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum("size").alias("total"),
-                                      F.max("size").alias("largest"), F.count(F.lit(1)).alias("n")).collect())
+                   .withColumn("i", at).filter(key <= of([hi for _, hi in spans]))
+                   .groupBy("i", F.floor((key - of(lows)) / of(widths)).cast("bigint").alias("b"))
+                   .agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum("size").alias("total"),
+                        F.max("size").alias("largest"), F.count(F.lit(1)).alias("n")).collect())
     out: list[list[Range]] = [[] for _ in spans]
     for r in sorted(found, key=lambda r: r["lo"]):
-        out[r["at"]["i"]].append(Range(r["lo"], r["hi"], r["total"], r["largest"], r["n"] == 1))
+        out[r["i"]].append(Range(r["lo"], r["hi"], r["total"], r["largest"], r["n"] == 1))
     return out
 
 
