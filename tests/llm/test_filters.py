@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from retentio.llm import secret_scan as ss
@@ -139,6 +140,31 @@ def test_battery_finds_random_strings_and_spares_words(spark):
     assert got[0].spans == f"random:{b}:{b + 40}"
 
 
+def _random(rnd, symbols, n):
+    return "".join(rnd.choice(symbols) for _ in range(n))
+
+
+BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_keys_in_a_table_without_long_words(spark):
+    rnd = random.Random(7)
+    rows = [(k, f"你好 {_random(rnd, BASE62, 64)} 世界 42") for k in range(20)]
+    got = [r.n_random for r in scan_secrets(docs(spark, rows)).collect()]
+    assert set(got) <= {0, 1} and sum(got) >= 18
+
+
+def test_reference_is_scored_as_runs_are():
+    rnd = random.Random(11)
+    symbols = {10: "0123456789", 16: "0123456789abcdef", 26: "abcdefghijklmnopqrstuvwxyz", 36: "0123456789abcdefghijklmnopqrstuvwxyz", 64: BASE62 + "+/"}
+    for a, chars in symbols.items():
+        runs = [_random(rnd, chars, 40) for _ in range(30)]
+        runs = [r for r in runs if len(ss.alphabet(r.encode())) == a]
+        order = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/" if a == 64 else chars
+        got = ss.randomness_of(np.array([[order.index(c) for c in r] for r in runs]), a)
+        assert len(runs) > 20 and got == pytest.approx([ss.randomness(r.encode()) for r in runs])
+
+
 def test_p_values_are_near_uniform_for_random_tokens():
     rnd = random.Random(9)
     p = [ss.randomness("".join(rnd.choice("0123456789abcdef") for _ in range(48)).encode()) for _ in range(800)]
