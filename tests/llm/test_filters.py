@@ -147,6 +147,17 @@ def _random(rnd, symbols, n):
 BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
+def test_long_keys_are_judged_by_text_of_their_length(spark):
+    rnd = random.Random(6)
+    keys = {k: _random(rnd, BASE62, 40 if k % 2 else 64) for k in range(20)}
+    word = lambda: _random(rnd, "etaoinshr", rnd.randint(2, 7))
+    rows = [(k, " ".join(word() for _ in range(300)) + f" {keys.get(k, '')} " + " ".join(_random(rnd, "etaoinshr", 17) for _ in range(6)))
+            for k in range(400)]  # six long words a document, one run in 121 is a key
+    got = {r.doc_id: r for r in scan_secrets(docs(spark, rows)).collect()}
+    found = [k for k in keys if f"random:{rows[k][1].index(keys[k])}:{rows[k][1].index(keys[k]) + len(keys[k])}" in got[k].spans.split(",")]
+    assert len(found) >= 18 and sum(r.n_random for r in got.values()) <= len(found) + 3
+
+
 def test_keys_in_a_table_without_long_words(spark):
     rnd = random.Random(7)
     rows = [(k, f"你好 {_random(rnd, BASE62, 64)} 世界 42") for k in range(20)]
