@@ -165,6 +165,21 @@ def test_keys_in_a_table_without_long_words(spark):
     assert set(got) <= {0, 1} and sum(got) >= 18
 
 
+def test_letters_of_one_case_and_digits_are_scored(spark):
+    rnd = random.Random(8)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(100 * j + k, f"a value {_random(rnd, symbols, 200)} of it") for j, symbols in enumerate([lower, lower.upper()]) for k in range(10)]
+    plain = f"donaudampfschifffahrtsgesellschaftskapitaen {'1' * 20} 2024013120240201 counterrevolutionaries"
+    rows += [(200 + k, plain) for k in range(30)]
+    rows += [(300 + k, f"number {_random(rnd, '0123456789', 24)}") for k in range(10)]  # these are long hex runs
+    got = {r.doc_id: r for r in scan_secrets(docs(spark, rows)).collect()}
+    assert sum(got[k].n_random for k in range(10)) >= 9 and sum(got[100 + k].n_random for k in range(10)) >= 9
+    assert sum(got[200 + k].n_random for k in range(30)) == 0
+    assert all(got[300 + k].n_hex == 1 for k in range(10))
+    of = lambda token: ss.SIZES[ss.cell(token) // ss.BINS // len(ss.BANDS)]
+    assert [of(t) for t in (b"4952935900253052", b"thanonontioniner", b"LAAITIONELLEELLE", b"Thanonontioniner")] == [10, 26, 26, 26]
+
+
 def test_reference_is_scored_as_runs_are():
     rnd = random.Random(11)
     symbols = {10: "0123456789", 16: "0123456789abcdef", 26: "abcdefghijklmnopqrstuvwxyz", 36: "0123456789abcdefghijklmnopqrstuvwxyz", 64: BASE62 + "+/"}
