@@ -105,3 +105,20 @@ placed AS (SELECT d.doc_id, d.size, g.id, g.source_size, g.target, row_number()
            FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, p.size, source_size, p.target, CAST(floor((r + 1) * copies / c) - floor(r * copies / c) AS BIGINT) * p.size AS taken
 FROM placed p JOIN settled f ON p.id = f.id AND p.size = f.size"""
+
+# Lines by regular expression, cuts by list slices.
+ORACLE["op13_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hx FROM documents),
+h AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, CAST('0x' || substr(hx, 1, 8) AS BIGINT) AS h1,
+             CAST('0x' || substr(hx, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(hx, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+             greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid,
+             array_to_string(units[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p"""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from retentio.llm.ann import nearest
 from retentio.llm.chat_format import control_conversation, format_conversations, read_back
 from retentio.llm.common import table
+from retentio.llm.fill_middle import fill_in_middle
 from retentio.llm.line_dedup import dedup_lines
 from retentio.llm.mixing import mix
 from retentio.llm.near_dedup import near_duplicates
@@ -62,8 +63,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_chat_formatting, op3_quality_classifier, op4_minhash_near_dedup, op5_secret_scan,
-        op6_quality_rules, op7_line_dedup, op8_mixing, op9_nearest_neighbours, op10_packing)
+        op6_quality_rules, op7_line_dedup, op8_mixing, op9_nearest_neighbours, op10_packing, op13_fill_in_middle)
 }
