@@ -122,3 +122,32 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGIN
        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
                         ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
        sha256(text) AS restored_sha256 FROM p"""
+
+
+def _vector_codes_sql(rounds: int) -> str:
+    """Product codes by plain squared distances: every round is a pair of steps."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (SELECT p.r, p.part, min(struct_pack(d := list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i]))), e := c.e)) AS best
+  FROM part p JOIN book{r} c ON p.part = c.part GROUP BY p.r, p.part)""")
+        if r < rounds:
+            steps.append(f"""
+sum{r} AS (SELECT part, e, i, sum(v) AS s, count(*) AS n FROM (SELECT p.part, best.e AS e, unnest(p.x) AS v, generate_subscripts(p.x, 1) AS i
+  FROM part p JOIN near{r} n ON p.r = n.r AND p.part = n.part) GROUP BY part, e, i),
+mean{r} AS (SELECT part, e, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS x FROM (SELECT part, e, i, CAST(s AS BIGINT) AS s, n FROM sum{r}) GROUP BY part, e),
+book{r + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN mean{r} m ON b.part = m.part AND b.e = m.e)""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS x,
+                     row_number() OVER (ORDER BY vec_id NULLS FIRST, embedding) - 1 AS r
+              FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+part AS MATERIALIZED (SELECT r, p AS part, x[p * len(x) // 4 + 1:(p + 1) * len(x) // 4] AS x FROM kept, range(4) t(p)),
+book0 AS (SELECT part, r AS e, x FROM part WHERE r < 256),{",".join(steps)},
+digest AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, e, i)) AS codebooks_sha256
+           FROM (SELECT part, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM book{rounds})),
+coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest"""
+
+
+ORACLE["op12_vector_codes"] = _vector_codes_sql(4)

@@ -20,6 +20,7 @@ from retentio.llm.quality_classifier import score_quality
 from retentio.llm.quality_rules import quality_rules
 from retentio.llm.secret_scan import scan_secrets
 from retentio.llm.sharding import shard_documents
+from retentio.llm.vector_codes import encode_vectors
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_vectors(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -70,5 +75,6 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_chat_formatting, op3_quality_classifier, op4_minhash_near_dedup, op5_secret_scan,
-        op6_quality_rules, op7_line_dedup, op8_mixing, op9_nearest_neighbours, op10_packing, op13_fill_in_middle)
+        op6_quality_rules, op7_line_dedup, op8_mixing, op9_nearest_neighbours, op10_packing,
+        op12_vector_codes, op13_fill_in_middle)
 }

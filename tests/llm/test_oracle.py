@@ -12,7 +12,7 @@ from tools.oracle_check import canon
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     sdf = QUERIES[name](spark, SF_SMALL)
     res = con.execute(ORACLE[name])
