@@ -7,6 +7,7 @@ randomness battery, approximate search, packing.
 
 from __future__ import annotations
 
+from retentio.llm.license_scan import PHRASES, WORD, templates_of
 from retentio.llm.line_dedup import MIN_CHARS, MIN_DOCS as LINE_MIN_DOCS
 from retentio.llm.quality_rules import MAX_SHARE, MIN_DOCS, MIN_LEFT
 
@@ -151,3 +152,31 @@ FROM kept JOIN coded USING (r), digest"""
 
 
 ORACLE["op12_vector_codes"] = _vector_codes_sql(4)
+
+
+def _license_sql() -> str:
+    """Every block that holds any template word, against every template with that word."""
+    templates = templates_of()
+    words = ", ".join(f"({t.number}, '{t.label}', '{w}', {len(t.words)}, {t.needed}, {t.stride})" for t in templates for w in t.words)
+    phrases = ", ".join(f"('{label}', {[*phrase.split(' ')]})" for phrase, label in PHRASES)
+    return f"""
+WITH tw(template, label, word, m, needed, stride) AS (VALUES {words}),
+ph(label, phrase) AS (VALUES {phrases}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{WORD}') AS w FROM documents),
+pos AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+place AS (SELECT p.doc_id, p.i, ph.label FROM pos p JOIN ph ON p.word = ph.phrase[1] JOIN d ON d.doc_id = p.doc_id
+          WHERE d.w[p.i + 1:p.i + len(ph.phrase)] = ph.phrase),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY doc_id),
+held AS (SELECT doc_id, template, label, m, needed, i // stride - k AS block, count(DISTINCT pos.word) AS shared
+         FROM pos JOIN tw ON pos.word = tw.word, (VALUES (0), (1)) t(k) WHERE i // stride - k >= 0 GROUP BY ALL HAVING count(DISTINCT pos.word) >= needed),
+lab AS (SELECT doc_id, label, true AS base FROM place UNION ALL SELECT doc_id, label, false FROM held),
+labs AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels
+         FROM lab GROUP BY doc_id),
+best AS (SELECT doc_id, max(CAST(shared AS DOUBLE) / m) AS best FROM held GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN labs USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
+ORACLE["op11_license_scan"] = _license_sql()

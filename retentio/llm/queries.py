@@ -12,6 +12,7 @@ from retentio.llm.ann import nearest
 from retentio.llm.chat_format import control_conversation, format_conversations, read_back
 from retentio.llm.common import table
 from retentio.llm.fill_middle import fill_in_middle
+from retentio.llm.license_scan import scan_licenses
 from retentio.llm.line_dedup import dedup_lines
 from retentio.llm.mixing import mix
 from retentio.llm.near_dedup import near_duplicates
@@ -64,6 +65,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_vectors(table(spark, sf_dir, "embeddings")).drop("label")
 
@@ -76,5 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_chat_formatting, op3_quality_classifier, op4_minhash_near_dedup, op5_secret_scan,
         op6_quality_rules, op7_line_dedup, op8_mixing, op9_nearest_neighbours, op10_packing,
-        op12_vector_codes, op13_fill_in_middle)
+        op11_license_scan, op12_vector_codes, op13_fill_in_middle)
 }
