@@ -75,7 +75,8 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
 )
 # ============================================================================
-THRESHOLD = 0.8
+#: A notice of five words must be whole, longer ones may lose some.
+THRESHOLD = 0.85
 MIN_STRIDE = 8
 #: Distinct words of all templates together; what is broadcast grows with this alone.
 MAX_VOCABULARY = 20_000
@@ -114,7 +115,9 @@ def templates_of(texts: Sequence[tuple[str, str]] = TEMPLATES, threshold: float
 
 def words_of(text: Column) -> Column:
     """The text's words, A-Z lower-cased, as an array."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), BETWEEN, -1), "")
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(text) == F.char_length(text)  # there lower() is the same, and faster
+    return F.array_remove(F.split(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), BETWEEN, -1), "")
 
 
 def _array(items: Sequence[str]) -> Column:
@@ -151,10 +154,17 @@ def prefix_tokens(templates: list[Template], order: list[str]) -> dict[int, list
     return {s: sorted(ws) for s, ws in sorted(out.items())}
 
 
-def _blocks_of(words: Column, stride: int, prefix: list[str], order: list[str], least: int) -> Column:
+def _prefix_places(words: Column, prefixes: dict[int, list[str]]) -> Column:
+    """Word numbers of all prefix words (few: they are the rarest of the templates)."""
+    tokens = sorted({w for ws in prefixes.values() for w in ws})
+    places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(tokens), i)), lambda i: i.isNotNull())
+    return F.when(F.arrays_overlap(words, _array(tokens)), places).otherwise(F.array().cast("array<int>"))
+
+
+def _blocks_of(words: Column, places: Column, stride: int, prefix: list[str], order: list[str], least: int) -> Column:
     """The blocks of one stride around prefix words: structs of stride, block
     number and the block's template words in token order."""
-    hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(prefix), F.floor(i / stride).cast("int"))), lambda b: b.isNotNull())
+    hits = F.transform(F.filter(places, lambda i: F.get(words, i).isin(prefix)), lambda i: F.floor(i / stride).cast("int"))
     numbers = F.filter(F.array_distinct(F.flatten(F.transform(hits, lambda b: F.array(b - 1, b)))), lambda b: b >= 0)
     blocks = F.transform(numbers, lambda b: F.struct(
         F.lit(stride).alias("stride"), b.alias("block"),
@@ -204,12 +214,11 @@ def _scanned(docs: DataFrame, keep: list[str], templates: list[Template], phrase
     least: dict[int, int] = {}
     for t in templates:
         least[t.stride] = min(t.needed, least.get(t.stride, t.needed))
-    w = F.col("w")
-    out = rows.select(
+    prefixes, w, places = prefix_tokens(templates, order), F.col("w"), F.col("places")
+    out = rows.withColumn("places", _prefix_places(w, prefixes)).select(
         "__doc", "__id", "__th", F.size(w).cast("bigint").alias("n_words"),
         F.array(*[F.struct(F.lit(label).alias("label"), _places(w, phrase).alias("at")) for phrase, label in phrases]).alias("base"),
-        F.concat(*[_blocks_of(w, stride, prefix, order, least[stride])
-                   for stride, prefix in prefix_tokens(templates, order).items()]).alias("blocks"))
+        F.concat(*[_blocks_of(w, places, stride, prefix, order, least[stride]) for stride, prefix in prefixes.items()]).alias("blocks"))
     return materialise(out, "license-blocks"), order
 
 

@@ -63,7 +63,7 @@ def test_documents(spark):
         assert seen[(i, text)] == _expected(text), (i, text)
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+@pytest.mark.parametrize("threshold", [0.5, 0.85, 1.0])
 def test_every_block_is_found(spark, threshold):
     texts = _texts()
     got = ls.license_blocks(docs(spark, list(enumerate(texts))), threshold=threshold).collect()
