@@ -494,3 +494,69 @@ cell AS (SELECT * FROM (SELECT v, f, g, lead(v) OVER o AS v2, lead(f) OVER o AS
 
 ORACLE["trend_orders_by_date"] = trend_sql("order_date")
 ORACLE["trend_orders_by_week"] = trend_sql("order_week")
+
+
+# ------------------------------------------------ F18 / I4: survival ---------
+def tail_sql(x: str, df: str) -> str:
+    """Chi-squared tail by the series of the lower incomplete gamma function."""
+    return (f"greatest(0.0::DOUBLE, 1 - list_sum(list_transform(range(0, 3000), lambda n: "
+            f"exp(-({x}) / 2 + (n + ({df}) / 2.0) * ln(({x}) / 2) - lgamma(n + ({df}) / 2.0 + 1)))))")
+
+
+def months_between(a: str, b: str) -> str:
+    return f"((year({b}) - year({a})) * 12 + month({b}) - month({a}))"
+
+
+LAPSE, HORIZON = 6, 24
+SPELLS = f"""
+cm AS (SELECT DISTINCT customer, order_month FROM clean),
+opened AS (SELECT *, CASE WHEN lag(order_month) OVER o IS NULL OR {months_between("lag(order_month) OVER o", "order_month")} > {LAPSE} THEN 1 ELSE 0 END AS opens
+           FROM cm WINDOW o AS (PARTITION BY customer ORDER BY order_month)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY customer ORDER BY order_month) AS spell FROM opened),
+spell AS (SELECT customer, CAST(spell AS BIGINT) AS spell, min(order_month) AS first_month, max(order_month) AS last_month FROM numbered GROUP BY customer, spell),
+spells AS (SELECT *, CAST({months_between("first_month", "last_month")} + 1 AS BIGINT) AS duration,
+                  max(spell) OVER (PARTITION BY customer) > spell
+                  OR {months_between("last_month", "(SELECT max(order_month) FROM clean)")} >= {LAPSE} AS ended FROM spell),
+firsts AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY customer ORDER BY date_purchased, order_id) = 1)"""
+
+
+def life_sql(by: str | None) -> str:
+    """CTE of the life table: at risk and the product counted anew for each period."""
+    key = by or "0"
+    return f"""
+life0 AS (SELECT {key} AS k, duration, ended FROM spells JOIN firsts USING (customer) WHERE spell = 1),
+grid AS (SELECT k, unnest(range(1, max(duration) + 1)) AS period FROM life0 GROUP BY k),
+risk AS (SELECT g.k, g.period, count(*) AS at_risk, count(*) FILTER (WHERE l.duration = g.period AND ended) AS events,
+                count(*) FILTER (WHERE l.duration = g.period AND NOT ended) AS censored
+         FROM grid g JOIN life0 l ON l.k IS NOT DISTINCT FROM g.k AND l.duration >= g.period GROUP BY g.k, g.period),
+life AS (SELECT *, product(1 - events / CAST(at_risk AS DOUBLE)) OVER o AS survival,
+                CASE WHEN min(at_risk - events) OVER o > 0
+                     THEN sqrt(sum(CASE WHEN at_risk > events THEN events / (CAST(at_risk AS DOUBLE) * (at_risk - events)) END) OVER o) END AS spread
+         FROM risk WINDOW o AS (PARTITION BY k ORDER BY period))"""
+
+
+def _life(by: str | None, final: str) -> str:
+    return base(final, SPELLS, life_sql(by))
+
+
+def _summary_sql(by: str) -> str:
+    return _life(by, f"""
+SELECT k AS {by}, max(at_risk) AS customers, CAST(sum(events) AS BIGINT) AS events, CAST(min(period) FILTER (WHERE survival <= 0.5) AS BIGINT) AS median_lifetime,
+       round(1 + coalesce(sum(survival) FILTER (WHERE period < {HORIZON}), 0) + max_by(survival, period) * greatest(0, {HORIZON - 1} - max(period)), 9) AS mean_lifetime
+FROM life GROUP BY k""")
+
+
+_LIFE_COLS = "CAST(period AS BIGINT) AS period, at_risk, events, censored, round(survival, 9) AS survival, round(survival * spread, 9) AS std_err"
+ORACLE["customer_spells"] = base("SELECT customer, spell, first_month, last_month, duration, ended FROM spells", SPELLS)
+ORACLE["survival_all"] = _life(None, f"SELECT {_LIFE_COLS} FROM life")
+ORACLE["survival_by_source"] = _life("source", f"SELECT k AS source, {_LIFE_COLS} FROM life")
+ORACLE["lifetime_by_source"] = _summary_sql("source")
+ORACLE["lifetime_by_shop"] = _summary_sql("shops_id")
+ORACLE["logrank_by_source"] = _life("source", f"""
+SELECT k AS source, customers, observed, round(expected, 9) AS expected, round(variance, 9) AS variance,
+       round((observed - expected) * (observed - expected) / variance, 9) AS chi_squared,
+       round({tail_sql("(observed - expected) * (observed - expected) / variance", "1")}, 9) AS p_value
+FROM (SELECT k, max(at_risk) AS customers, CAST(sum(events) AS BIGINT) AS observed, sum(d * (at_risk / n)) AS expected,
+             sum(CASE WHEN n > 1 THEN d * (at_risk / n) * (1 - at_risk / n) * (n - d) / (n - 1) ELSE 0 END) AS variance
+      FROM (SELECT *, CAST(sum(events) OVER (PARTITION BY period) AS DOUBLE) AS d, CAST(sum(at_risk) OVER (PARTITION BY period) AS DOUBLE) AS n FROM life)
+      GROUP BY k)""")

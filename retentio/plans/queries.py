@@ -21,6 +21,7 @@ from retentio.operators import quantiles as qn
 from retentio.operators import retention as rt
 from retentio.operators import smooth as sm
 from retentio.operators import stats as st
+from retentio.operators import survival as sv
 from retentio.operators import table_ops as tb
 from retentio.plans.common import (
     after_missing, cleaned, cleaned_events, dated_untrimmed, lookup, raw_orders,
@@ -104,6 +105,8 @@ LOGICAL_COL, LOGICAL_CHOICES = "has_promo_value", ["true", "na"]
 SEARCH_COL, SEARCH_WORDS = "payment_method", "auto MOBILE"
 REGEX_COL, REGEX_QUERY = "source", "^[12]-"
 GREP_COL, GREP_PATTERN = "state", "_1[0-9]$"
+# Months of silence after which a customer counts as lost; periods of the mean lifetime.
+LAPSE_MONTHS, LIFETIME_HORIZON = 6, 24
 GROUP_COL, GROUP_KEY, GROUP_CHOSEN = "state", "customer", ["NATION_1", "NATION_2", "NATION_3"]
 # ============================================================================
 
@@ -631,3 +634,44 @@ def q_page_after(spark, sf):
     df = cleaned(spark, sf)
     last = tb.page(df, ["order_id"], PAGE_K - 1, PAGE_N).agg(F.max("order_id")).head()[0]
     return tb.page_after(df, ["order_id"], (last,), PAGE_N)
+
+
+# ------------------------------------------------ F18 / I4: survival ---------
+def _rounded(df, *cols):
+    return df.withColumns({c: F.round(c, 9) for c in cols})
+
+
+def _life_table(spark, sf, by):
+    return sv.life_table(sv.spell_counts(sv.first_lifetimes(cleaned(spark, sf), by, lapse=LAPSE_MONTHS), by), by)
+
+
+@query("customer_spells")
+def q_customer_spells(spark, sf):
+    return sv.customer_spells(cleaned(spark, sf), lapse=LAPSE_MONTHS)
+
+
+@query("survival_all")
+def q_survival_all(spark, sf):
+    return _rounded(_life_table(spark, sf, []), "survival", "std_err")
+
+
+@query("survival_by_source")
+def q_survival_by_source(spark, sf):
+    return _rounded(_life_table(spark, sf, ["source"]), "survival", "std_err")
+
+
+@query("lifetime_by_source")
+def q_lifetime_by_source(spark, sf):
+    table = _life_table(spark, sf, ["source"])
+    return _rounded(sv.lifetime_summary(table, ["source"], LIFETIME_HORIZON), "mean_lifetime")
+
+
+@query("lifetime_by_shop")
+def q_lifetime_by_shop(spark, sf):
+    table = _life_table(spark, sf, ["shops_id"])
+    return _rounded(sv.lifetime_summary(table, ["shops_id"], LIFETIME_HORIZON), "mean_lifetime")
+
+
+@query("logrank_by_source")
+def q_logrank_by_source(spark, sf):
+    return _rounded(sv.log_rank(_life_table(spark, sf, ["source"]), ["source"]), "expected", "variance", "chi_squared", "p_value")
