@@ -560,3 +560,68 @@ FROM (SELECT k, max(at_risk) AS customers, CAST(sum(events) AS BIGINT) AS observ
              sum(CASE WHEN n > 1 THEN d * (at_risk / n) * (1 - at_risk / n) * (n - d) / (n - 1) ELSE 0 END) AS variance
       FROM (SELECT *, CAST(sum(events) OVER (PARTITION BY period) AS DOUBLE) AS d, CAST(sum(at_risk) OVER (PARTITION BY period) AS DOUBLE) AS n FROM life)
       GROUP BY k)""")
+
+
+# ------------------------------------------------ 2.10: all slices at once ---
+_SLICE_ATTRS = ["has_promo_value", "promo_value", "source"]
+
+
+def _slices_sql(what: str, cols: str) -> str:
+    """The single slices' tables, one below the other."""
+    parts = []
+    for by in ([], ["has_promo_value"], ["promo_value"], ["source"]):
+        levels = ", ".join(c if c in by else f"CAST(NULL AS {t}) AS {c}" for c, t in zip(_SLICE_ATTRS, ("BOOLEAN", "INTEGER", "VARCHAR")))
+        parts.append(f"SELECT '{'+'.join(by) or 'all'}' AS slice, {levels}, {cols} FROM {what}_{'_'.join(by) or 'all'}")
+    ctes = [c for by in ([], ["has_promo_value"], ["promo_value"], ["source"]) for c in sliced(by)]
+    return cohort(" UNION ALL ".join(parts), *ctes)
+
+
+ORACLE["cohort_counts_slices"] = _slices_sql("size", "cohort_id, cohort_count")
+ORACLE["cohort_activity_slices"] = _slices_sql("act", "order_month, cohort_id, active_customers, cohort_period")
+ORACLE["cohort_retention_slices"] = _slices_sql("ret", "order_month, cohort_id, active_customers, cohort_period, cohort_count, retention_rate")
+
+
+# ------------------------------------------------ I1 / I2: ranked slices -----
+def _ranked_sql(by: list[str], k: int, within: str | None, period_: int = 13) -> str:
+    b, z = ", ".join(by), 1.959963984540054
+    order = f"round(lower, 12) DESC, round(upper, 12) DESC, {', '.join(c + ' NULLS LAST' for c in by)}"
+    return with_(RAW, CLEAN, f"""
+fo AS (SELECT customer, min(date_purchased) AS ts, min(order_month) AS cohort_id FROM clean GROUP BY customer),
+w AS (SELECT {", ".join("c." + x for x in by)}, fo.customer, fo.cohort_id FROM clean c JOIN fo ON c.customer = fo.customer AND c.date_purchased = fo.ts),
+size AS (SELECT {b}, count(*) AS customers FROM w WHERE cohort_id + INTERVAL {period_ - 1} MONTH <= (SELECT max(order_month) FROM clean) GROUP BY {b}),
+hits AS (SELECT {b}, count(*) AS retained FROM w JOIN (SELECT DISTINCT customer, order_month FROM clean) m USING (customer)
+         WHERE order_month = cohort_id + INTERVAL {period_ - 1} MONTH GROUP BY {b}),
+per AS (SELECT w.*, coalesce(customers, 0) AS customers, coalesce(retained, 0) AS retained
+        FROM (SELECT {b} FROM size UNION SELECT {b} FROM hits) w
+        LEFT JOIN size s ON {" AND ".join(f"w.{x} IS NOT DISTINCT FROM s.{x}" for x in by)}
+        LEFT JOIN hits h ON {" AND ".join(f"w.{x} IS NOT DISTINCT FROM h.{x}" for x in by)}),
+rates AS (SELECT *, retained / CAST(customers AS DOUBLE) AS rate FROM per),
+bounds AS (SELECT *, greatest(0, (rate + {z} * {z} / (2 * customers) - {z} * sqrt(rate * (1 - rate) / customers + {z} * {z} / (4.0 * customers * customers))) / (1 + {z} * {z} / customers)) AS lower,
+                  least(1, (rate + {z} * {z} / (2 * customers) + {z} * sqrt(rate * (1 - rate) / customers + {z} * {z} / (4.0 * customers * customers))) / (1 + {z} * {z} / customers)) AS upper
+           FROM rates)""",
+                 final=f"""
+SELECT {b}, CAST(customers AS BIGINT) AS customers, CAST(retained AS BIGINT) AS retained, round(rate, 9) AS rate, round(lower, 9) AS lower, round(upper, 9) AS upper,
+       CAST(row_number() OVER ({f"PARTITION BY {within} " if within else ""}ORDER BY {order}) AS INTEGER) AS rank FROM bounds
+QUALIFY row_number() OVER ({f"PARTITION BY {within} " if within else ""}ORDER BY {order}) <= {k}""")
+
+
+ORACLE["ranked_shops"] = _ranked_sql(["shops_id"], 10, None)
+ORACLE["ranked_shops_by_state"] = _ranked_sql(["state", "shops_id"], 3, "state")
+
+
+# ------------------------------------------------ I3: association ------------
+_ASSOCIATED = ["source", "promo_value", "shipping_type", "payment_method", "state", "shops_id", "hour"]
+ORACLE["association_with_return"] = base(f"""
+SELECT attribute, CAST(levels AS BIGINT) AS levels, CAST(n AS BIGINT) AS n, CASE WHEN ok THEN round(x, 9) END AS chi_squared,
+       CAST(CASE WHEN ok THEN levels - 1 ELSE 0 END AS BIGINT) AS df, CASE WHEN ok THEN round({tail_sql("x", "(levels - 1)")}, 9) END AS p_value,
+       CASE WHEN ok THEN round(sqrt(x / n), 9) END AS cramers_v
+FROM (SELECT attribute, count(*) AS levels, sum(c) AS n, sum(h) > 0 AND sum(h) < sum(c) AND count(*) > 1 AS ok,
+             sum((h - c * share) * (h - c * share) / (c * share) + ((c - h) - c * (1 - share)) * ((c - h) - c * (1 - share)) / (c * (1 - share))) AS x
+      FROM (SELECT *, sum(h) OVER a / CAST(sum(c) OVER a AS DOUBLE) AS share FROM cell WINDOW a AS (PARTITION BY attribute)) GROUP BY attribute)""", f"""
+firsts AS (SELECT *, TRY_CAST(substr(date_purchased, 12, 2) AS INTEGER) AS hour, min(order_month) OVER (PARTITION BY customer) AS cohort_id FROM clean
+           QUALIFY row_number() OVER (PARTITION BY customer ORDER BY date_purchased, order_id) = 1),
+known AS (SELECT *, EXISTS (SELECT 1 FROM clean c WHERE c.customer = firsts.customer AND c.order_month > firsts.cohort_id
+                                                AND c.order_month <= firsts.cohort_id + INTERVAL 6 MONTH) AS returned
+          FROM firsts WHERE cohort_id + INTERVAL 6 MONTH <= (SELECT max(order_month) FROM clean)),
+lev AS ({" UNION ALL ".join(f"SELECT '{a}' AS attribute, CAST({a} AS VARCHAR) AS level, returned FROM known" for a in _ASSOCIATED)}),
+cell AS (SELECT attribute, level, count(*) AS c, count(*) FILTER (WHERE returned) AS h FROM lev GROUP BY attribute, level)""")

@@ -19,6 +19,7 @@ from retentio.operators import cohort as co
 from retentio.operators import eda
 from retentio.operators import quantiles as qn
 from retentio.operators import retention as rt
+from retentio.operators import slices as sl
 from retentio.operators import smooth as sm
 from retentio.operators import stats as st
 from retentio.operators import survival as sv
@@ -107,6 +108,10 @@ REGEX_COL, REGEX_QUERY = "source", "^[12]-"
 GREP_COL, GREP_PATTERN = "state", "_1[0-9]$"
 # Months of silence after which a customer counts as lost; periods of the mean lifetime.
 LAPSE_MONTHS, LIFETIME_HORIZON = 6, 24
+SLICES = [[], ["has_promo_value"], ["promo_value"], ["source"]]
+# Period whose rate ranks the slices, slices shown; months in which a customer may return.
+RANK_PERIOD, RANK_K, RANK_K_WITHIN, RETURN_WITHIN = 13, 10, 3, 6
+ASSOCIATED = ["source", "promo_value", "shipping_type", "payment_method", "state", "shops_id", "hour"]
 GROUP_COL, GROUP_KEY, GROUP_CHOSEN = "state", "customer", ["NATION_1", "NATION_2", "NATION_3"]
 # ============================================================================
 
@@ -675,3 +680,42 @@ def q_lifetime_by_shop(spark, sf):
 @query("logrank_by_source")
 def q_logrank_by_source(spark, sf):
     return _rounded(sv.log_rank(_life_table(spark, sf, ["source"]), ["source"]), "expected", "variance", "chi_squared", "p_value")
+
+
+# ------------------------------------------------ 2.10: all slices at once ---
+@query("cohort_counts_slices")
+def q_cohort_counts_slices(spark, sf):
+    return sl.slice_counts(_cohort_tables(spark, sf)[1], SLICES)
+
+
+@query("cohort_activity_slices")
+def q_cohort_activity_slices(spark, sf):
+    return sl.slice_activity(_cohort_tables(spark, sf)[0], SLICES)
+
+
+@query("cohort_retention_slices")
+def q_cohort_retention_slices(spark, sf):
+    act, counts = _cohort_tables(spark, sf)
+    return sl.slice_retention(act, counts, SLICES)
+
+
+# ------------------------------------------------ I1 / I2: ranked slices -----
+@query("ranked_shops")
+def q_ranked_shops(spark, sf):
+    act, counts = co.cohort_tables(cleaned(spark, sf), ["shops_id"])
+    return _rounded(sl.best_slices(sl.slice_rates(act, counts, ["shops_id"], RANK_PERIOD), ["shops_id"], RANK_K), "rate", "lower", "upper")
+
+
+@query("ranked_shops_by_state")
+def q_ranked_shops_by_state(spark, sf):
+    by = ["state", "shops_id"]
+    act, counts = co.cohort_tables(cleaned(spark, sf), by)
+    return _rounded(sl.best_slices(sl.slice_rates(act, counts, by, RANK_PERIOD), by, RANK_K_WITHIN, ["state"]), "rate", "lower", "upper")
+
+
+# ------------------------------------------------ I3: association ------------
+@query("association_with_return")
+def q_association_with_return(spark, sf):
+    df = cleaned(spark, sf).withColumn("hour", F.substring("date_purchased", 12, 2).try_cast("int"))
+    rows = sl.customer_outcome(df, ASSOCIATED, RETURN_WITHIN)
+    return _rounded(sl.association(sl.contingency(rows, "returned", ASSOCIATED)), "chi_squared", "p_value", "cramers_v")
