@@ -625,3 +625,23 @@ known AS (SELECT *, EXISTS (SELECT 1 FROM clean c WHERE c.customer = firsts.cust
           FROM firsts WHERE cohort_id + INTERVAL 6 MONTH <= (SELECT max(order_month) FROM clean)),
 lev AS ({" UNION ALL ".join(f"SELECT '{a}' AS attribute, CAST({a} AS VARCHAR) AS level, returned FROM known" for a in _ASSOCIATED)}),
 cell AS (SELECT attribute, level, count(*) AS c, count(*) FILTER (WHERE returned) AS h FROM lev GROUP BY attribute, level)""")
+
+
+# ------------------------------------------------ H6 / H7 / H9: bitmaps ------
+for _name in ("keys_by_group", "linked_filter", "keyset_diff"):
+    ORACLE[f"{_name}_bitmaps"] = ORACLE[_name]
+ORACLE["key_counts_bitmaps"] = base("SELECT state, count(DISTINCT customer) AS keys FROM clean GROUP BY state")
+
+
+# ------------------------------------------------ D1 / D2 / A7: sketches -----
+# The exact figures; that an estimate is within its bound is always to hold.
+ORACLE["active_by_quarter_sketch"] = base(
+    "SELECT CAST(date_trunc('quarter', order_month) AS DATE) AS quarter, count(DISTINCT customer) AS customers, true AS estimate_ok FROM clean GROUP BY 1")
+ORACLE["active_in_both_sketch"] = base("""
+SELECT count(*) FILTER (WHERE one) AS exact_first, count(*) FILTER (WHERE two) AS exact_second, count(*) FILTER (WHERE one AND two) AS exact_both, true AS estimate_ok
+FROM (SELECT customer, bool_or(order_month BETWEEN DATE '1996-01-01' AND DATE '1996-12-01') AS one,
+             bool_or(order_month BETWEEN DATE '1998-01-01' AND DATE '1998-12-01') AS two FROM clean GROUP BY customer)""")
+ORACLE["quantiles_by_year_sketch"] = base("""
+SELECT CAST(year(order_month) AS INTEGER) AS year, column_name, probability, count(*) AS n, true AS rank_ok
+FROM (SELECT order_month, 'restaurant_total' AS column_name, restaurant_total AS v FROM clean UNION ALL SELECT order_month, 'promo_value', promo_value FROM clean),
+     (VALUES (CAST(0.25 AS DOUBLE)), (0.5), (0.75)) t(probability) WHERE v IS NOT NULL GROUP BY ALL""")

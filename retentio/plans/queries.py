@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from retentio import sources as src
 from retentio.functions.dates import cohort_period, previous_month
+from retentio.operators import bitmaps as bm
 from retentio.operators import clean as cl
 from retentio.operators import cohort as co
 from retentio.operators import eda
 from retentio.operators import quantiles as qn
 from retentio.operators import retention as rt
+from retentio.operators import sketches as sk
 from retentio.operators import slices as sl
 from retentio.operators import smooth as sm
 from retentio.operators import stats as st
@@ -112,6 +114,10 @@ SLICES = [[], ["has_promo_value"], ["promo_value"], ["source"]]
 # Period whose rate ranks the slices, slices shown; months in which a customer may return.
 RANK_PERIOD, RANK_K, RANK_K_WITHIN, RETURN_WITHIN = 13, 10, 3, 6
 ASSOCIATED = ["source", "promo_value", "shipping_type", "payment_method", "state", "shops_id", "hour"]
+# Sketches of 2^10 keys (relative error 3.1 %), allowed errors, two ranges of months.
+SKETCH_LG_K, SKETCH_ERRORS, RANK_ERROR = 10, 5, 0.03
+RANGE_ONE, RANGE_TWO = ("1996-01-01", "1996-12-01"), ("1998-01-01", "1998-12-01")
+QUANTILE_COLUMNS, QUANTILES = ["restaurant_total", "promo_value"], [0.25, 0.5, 0.75]
 GROUP_COL, GROUP_KEY, GROUP_CHOSEN = "state", "customer", ["NATION_1", "NATION_2", "NATION_3"]
 # ============================================================================
 
@@ -719,3 +725,80 @@ def q_association_with_return(spark, sf):
     df = cleaned(spark, sf).withColumn("hour", F.substring("date_purchased", 12, 2).try_cast("int"))
     rows = sl.customer_outcome(df, ASSOCIATED, RETURN_WITHIN)
     return _rounded(sl.association(sl.contingency(rows, "returned", ASSOCIATED)), "chi_squared", "p_value", "cramers_v")
+
+
+# ------------------------------------------------ H6 / H7 / H9: bitmaps ------
+def _stored(df, name):
+    """Written to the shared folder and read back, as a stored table is."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _bitmap_sets(df):
+    promo = bm.key_bitmap(df.filter(F.col("has_promo_value")).select("customer"))
+    return promo, bm.union_of(_stored(bm.group_bitmaps(df, GROUP_COL, GROUP_KEY), "group-bitmaps"), GROUP_COL, GROUP_CHOSEN)
+
+
+@query("keys_by_group_bitmaps")
+def q_keys_by_group_bitmaps(spark, sf):
+    return bm.keys_of(_bitmap_sets(cleaned(spark, sf))[1], GROUP_KEY)
+
+
+@query("key_counts_bitmaps")
+def q_key_counts_bitmaps(spark, sf):
+    """Distinct customers per state from the stored bitmaps."""
+    return bm.key_count(_stored(bm.group_bitmaps(cleaned(spark, sf), GROUP_COL, GROUP_KEY), "group-bitmaps"), [GROUP_COL])
+
+
+@query("linked_filter_bitmaps")
+def q_linked_filter_bitmaps(spark, sf):
+    df = cleaned(spark, sf)
+    promo, region = _bitmap_sets(df)
+    return bm.linked_filter_bitmaps(df, "customer", [promo, None, region])
+
+
+@query("keyset_diff_bitmaps")
+def q_keyset_diff_bitmaps(spark, sf):
+    promo, region = _bitmap_sets(cleaned(spark, sf))
+    return bm.keyset_diff_bitmaps(promo, region, "customer")
+
+
+# ------------------------------------------------ D1 / D2 / A7: sketches -----
+def _close(estimate, exact, scale, lg_k):
+    return F.abs(estimate - exact) <= SKETCH_ERRORS * sk.relative_error(lg_k) * scale
+
+
+@query("active_by_quarter_sketch")
+def q_active_by_quarter_sketch(spark, sf):
+    """Customers per quarter from stored sketches, beside the exact count."""
+    df = cleaned(spark, sf)
+    stored = _stored(sk.activity_sketches(df, SKETCH_LG_K), "activity-sketches")
+    quarter = F.trunc("order_month", "quarter")
+    exact = df.groupBy(quarter.alias("quarter")).agg(F.count_distinct("customer").alias("customers"))
+    got = sk.active_in_each(stored, quarter, SKETCH_LG_K).select(F.col("bucket"), F.theta_sketch_estimate("customers").alias("estimate"))
+    return exact.join(got, F.col("quarter") == F.col("bucket"), "left").select(
+        "quarter", "customers", F.coalesce(_close(F.col("estimate"), F.col("customers"), F.col("customers"), SKETCH_LG_K), F.lit(False)).alias("estimate_ok"))
+
+
+@query("active_in_both_sketch")
+def q_active_in_both_sketch(spark, sf):
+    """Customers active in two ranges of months, by intersection of stored sketches."""
+    df = cleaned(spark, sf)
+    est = sk.active_in_both(_stored(sk.activity_sketches(df, SKETCH_LG_K), "activity-sketches"), RANGE_ONE, RANGE_TWO, lg_k=SKETCH_LG_K)
+    inside = [F.max(F.col("order_month").between(F.lit(a).cast("date"), F.lit(b).cast("date"))) for a, b in (RANGE_ONE, RANGE_TWO)]
+    per = df.groupBy("customer").agg(inside[0].alias("one"), inside[1].alias("two"))
+    exact = per.agg(F.count_if("one").alias("exact_first"), F.count_if("two").alias("exact_second"),
+                    F.count_if(F.col("one") & F.col("two")).alias("exact_both"), F.count_if(F.col("one") | F.col("two")).alias("either"))
+    ok = [_close(F.col(c), F.col(f"exact_{c}"), F.col("either"), SKETCH_LG_K) for c in ("first", "second", "both")]
+    return exact.join(est, F.lit(True)).select("exact_first", "exact_second", "exact_both", (ok[0] & ok[1] & ok[2]).alias("estimate_ok"))
+
+
+@query("quantiles_by_year_sketch")
+def q_quantiles_by_year_sketch(spark, sf):
+    """Quartiles of a year merged from monthly sketches, with their true rank checked."""
+    df = cleaned(spark, sf).withColumn("year", F.year("order_month"))
+    stored = _stored(sk.quantile_sketches(df, QUANTILE_COLUMNS), "quantile-sketches").withColumn("year", F.year("order_month"))
+    got = sk.rank_range(df, sk.merged_quantiles(stored, QUANTILES, ["year"]), QUANTILE_COLUMNS, ["year"])
+    ok = (F.col("below") - RANK_ERROR <= F.col("probability")) & (F.col("probability") <= F.col("up_to") + RANK_ERROR)
+    return got.select("year", "column_name", "probability", "n", ok.alias("rank_ok"))
