@@ -645,3 +645,36 @@ ORACLE["quantiles_by_year_sketch"] = base("""
 SELECT CAST(year(order_month) AS INTEGER) AS year, column_name, probability, count(*) AS n, true AS rank_ok
 FROM (SELECT order_month, 'restaurant_total' AS column_name, restaurant_total AS v FROM clean UNION ALL SELECT order_month, 'promo_value', promo_value FROM clean),
      (VALUES (CAST(0.25 AS DOUBLE)), (0.5), (0.75)) t(probability) WHERE v IS NOT NULL GROUP BY ALL""")
+
+
+# ------------------------------------------------ A3 / B5: late orders -------
+ORACLE["upsert_corrected"] = base("SELECT *, CAST(CASE WHEN shipping_type IN ('O', 'P') THEN 2 ELSE 1 END AS BIGINT) AS version FROM clean")
+
+
+# ------------------------------------------------ I5: growth to a target -----
+def _forecast_sql(by: str | None, target: float, alpha: float = 0.5, beta: float = 0.3, horizon: int = 120) -> str:
+    tag, k = by or "all", by or "0"
+    return "WITH RECURSIVE " + ",".join([RAW, CLEAN, COHORT, *sliced([by] if by else []), f"""
+ends AS (SELECT {k} AS k, min(cohort_id) AS first_month, max(cohort_id) AS last_month FROM size_{tag} GROUP BY 1),
+grid AS (SELECT k, first_month, last_month, CAST(unnest(range(first_month, last_month + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS DATE) AS m FROM ends),
+ser AS (SELECT g.k, g.m, row_number() OVER (PARTITION BY g.k ORDER BY g.m) AS i, CAST(coalesce(s.cohort_count, 0) AS DOUBLE) AS x
+        FROM grid g LEFT JOIN size_{tag} s ON s.cohort_id = g.m AND {f"s.{by} IS NOT DISTINCT FROM g.k" if by else "true"}),
+fold AS (SELECT a.k, CAST(1 AS BIGINT) AS i, a.x AS level, coalesce(b.x - a.x, 0.0::DOUBLE) AS trend, 0.0::DOUBLE AS sse
+         FROM ser a LEFT JOIN ser b ON a.k IS NOT DISTINCT FROM b.k AND b.i = 2 WHERE a.i = 1
+  UNION ALL
+  SELECT k, i, level, {beta}::DOUBLE * (level - old) + {1 - beta}::DOUBLE * trend, sse + CASE WHEN i > 2 THEN (x - old - trend) * (x - old - trend) ELSE 0 END
+  FROM (SELECT s.k, s.i, s.x, f.level AS old, f.trend, f.sse, {alpha}::DOUBLE * s.x + {1 - alpha}::DOUBLE * (f.level + f.trend) AS level
+        FROM fold f JOIN ser s ON s.k IS NOT DISTINCT FROM f.k AND s.i = f.i + 1)),
+fit AS (SELECT f.*, t.n, t.total, CASE WHEN t.n > 2 THEN sqrt(sse / (t.n - 2)) END AS error
+        FROM fold f JOIN (SELECT k, max(i) AS n, sum(x) AS total FROM ser GROUP BY k) t ON t.k IS NOT DISTINCT FROM f.k AND t.n = f.i),
+path AS (SELECT f.k, w, h, f.total + sum(greatest(0, level + h * trend + w * coalesce(error, 0))) OVER (PARTITION BY f.k, w ORDER BY h) AS reached
+         FROM fit f, (VALUES (-1), (0), (1)) a(w), range(1, {horizon + 1}) b(h)),
+hit AS (SELECT k, w, min(h) AS h FROM path WHERE reached >= {target} GROUP BY k, w)""", ]) + f"""
+SELECT {f"f.k AS {by}, " if by else ""}first_month, last_month, f.total, round(level, 9) AS level, round(trend, 9) AS trend, round(error, 9) AS error, {", ".join(
+        f"CAST(CASE WHEN f.total >= {target} THEN 0 ELSE (SELECT h FROM hit WHERE hit.k IS NOT DISTINCT FROM f.k AND w = {w}) END AS INTEGER) AS {name}"
+        for w, name in ((0, "months_to_target"), (1, "months_at_best"), (-1, "months_at_worst")))}
+FROM fit f JOIN ends e ON e.k IS NOT DISTINCT FROM f.k"""
+
+
+ORACLE["growth_forecast"] = _forecast_sql(None, 20_000)
+ORACLE["growth_forecast_by_source"] = _forecast_sql("source", 2_000)

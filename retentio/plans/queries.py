@@ -18,6 +18,7 @@ from retentio.operators import bitmaps as bm
 from retentio.operators import clean as cl
 from retentio.operators import cohort as co
 from retentio.operators import eda
+from retentio.operators import forecast as fc
 from retentio.operators import quantiles as qn
 from retentio.operators import retention as rt
 from retentio.operators import sketches as sk
@@ -30,6 +31,7 @@ from retentio.plans.common import (
     after_missing, cleaned, cleaned_events, dated_untrimmed, lookup, raw_orders,
 )
 from retentio.session import scratch_path
+from retentio.sources import upsert as up
 from retentio.sources.tables import TEST_CUTOFF
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +120,8 @@ ASSOCIATED = ["source", "promo_value", "shipping_type", "payment_method", "state
 SKETCH_LG_K, SKETCH_ERRORS, RANK_ERROR = 10, 5, 0.03
 RANGE_ONE, RANGE_TWO = ("1996-01-01", "1996-12-01"), ("1998-01-01", "1998-12-01")
 QUANTILE_COLUMNS, QUANTILES = ["restaurant_total", "promo_value"], [0.25, 0.5, 0.75]
+# Customers to reach.
+TARGET_CUSTOMERS = 20_000
 GROUP_COL, GROUP_KEY, GROUP_CHOSEN = "state", "customer", ["NATION_1", "NATION_2", "NATION_3"]
 # ============================================================================
 
@@ -802,3 +806,43 @@ def q_quantiles_by_year_sketch(spark, sf):
     got = sk.rank_range(df, sk.merged_quantiles(stored, QUANTILES, ["year"]), QUANTILE_COLUMNS, ["year"])
     ok = (F.col("below") - RANK_ERROR <= F.col("probability")) & (F.col("probability") <= F.col("up_to") + RANK_ERROR)
     return got.select("year", "column_name", "probability", "n", ok.alias("rank_ok"))
+
+
+# ------------------------------------------------ A3 / B5: late orders -------
+def two_loads(df):
+    """All orders as two loads.  The first has every order that is not pending,
+    open ones still a month early and without a payment method; the second
+    brings the pending orders and the open ones as they are."""
+    open_, pending = F.col("shipping_type") == "O", F.col("shipping_type") == "P"
+    day = F.when(open_, F.add_months("order_date", -1)).otherwise(F.col("order_date"))
+    first = df.filter(~pending).withColumns({
+        "order_date": day, "order_month": F.trunc(day, "month"), "order_week": F.date_sub(day, F.dayofweek(day) - 1),
+        "payment_method": F.when(~open_, F.col("payment_method")), "version": F.lit(1).cast("bigint")})
+    return first, df.filter(pending | open_).withColumn("version", F.lit(2).cast("bigint"))
+
+
+@query("upsert_corrected")
+def q_upsert_corrected(spark, sf):
+    """The saved table after a first load, a second one with late and corrected
+    orders, and a replay of both: the newest version of every order."""
+    first, second = two_loads(cleaned(spark, sf))
+    path = scratch_path(spark, "versioned")
+    up.write_versioned(first, path)
+    for load in (second, second, first):
+        up.upsert_corrected(spark, path, load)
+    return up.read_versioned(spark, path)
+
+
+# ------------------------------------------------ I5: growth to a target -----
+@query("growth_forecast")
+def q_growth_forecast(spark, sf):
+    size = rt.cohort_size(_cohort_tables(spark, sf)[1])
+    out = fc.growth_forecast(fc.monthly_series(size, "cohort_id", "cohort_count"), TARGET_CUSTOMERS)
+    return _rounded(out, "level", "trend", "error")
+
+
+@query("growth_forecast_by_source")
+def q_growth_forecast_by_source(spark, sf):
+    size = rt.cohort_size(_cohort_tables(spark, sf)[1], ["source"])
+    out = fc.growth_forecast(fc.monthly_series(size, "cohort_id", "cohort_count", ["source"]), TARGET_CUSTOMERS / 10)
+    return _rounded(out, "level", "trend", "error")
