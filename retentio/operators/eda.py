@@ -68,33 +68,32 @@ def orders_per_customer(df: DataFrame) -> DataFrame:
 
 # -- D5 / D6 ------------------------------------------------------------------
 def _bucket_table(df: DataFrame) -> DataFrame:
-    """Customers per order count, plus the number of distinct non-NULL
-    customers (the share denominator) summed from the bucket table itself by
-    a scalar subquery - the bucket aggregation's exchange is shared, so the
-    orders are not read a second time."""
-    per_customer = orders_per_customer(df)
-    b = per_customer.groupBy("num_orders").agg(F.count(F.lit(1)).alias("customer_count"),
-                                               F.count("customer").alias("__named"))
-    return b.withColumn("__total", b.agg(F.sum("__named")).scalar().cast("double"))
+    """Customers per order count, ``__named`` without the NULL customer."""
+    return orders_per_customer(df).groupBy("num_orders").agg(F.count(F.lit(1)).alias("customer_count"),
+                                                            F.count("customer").alias("__named"))
 
 
 def order_buckets(df: DataFrame) -> DataFrame:
-    """Customers per order count, and their share of all customers."""
+    """Customers per order count, and their share of all distinct customers.
+    The denominator is a scalar subquery over the bucket table itself, whose
+    exchange is shared, so the orders are not read a second time."""
     b = _bucket_table(df)
-    return b.select("num_orders", "customer_count",
-                    F.try_divide(F.col("customer_count"), F.col("__total")).alias("pct_customers"))
+    total = b.agg(F.sum("__named")).scalar().cast("double")
+    return b.select("num_orders", "customer_count", F.try_divide(F.col("customer_count"), total).alias("pct_customers"))
 
 
 def order_buckets_cumulative(df: DataFrame) -> DataFrame:
-    """Running share of customers with at most k orders, and its complement."""
-    b = _bucket_table(df)
-    w = Window.orderBy("num_orders").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Running share of customers with at most k orders, and its complement.
+    One sort of the bucket table gives the running sums and the total."""
+    w = Window.orderBy("num_orders")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.col("__total")
-    return (b.withColumn("pct_customers", F.try_divide(F.col("customer_count"), total))
-             .withColumn("customers_at_most", F.sum("customer_count").over(w).cast("bigint"))
-             .withColumn("pct_at_most", F.try_divide(F.col("customers_at_most"), total))
-             .withColumn("pct_more", F.try_divide(total - F.col("customers_at_most"), total))
-             .drop("__named", "__total"))
+    return (_bucket_table(df)
+            .withColumn("customers_at_most", F.sum("customer_count").over(so_far).cast("bigint"))
+            .withColumn("__total", F.sum("__named").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("double"))
+            .select("num_orders", "customer_count", F.try_divide(F.col("customer_count"), total).alias("pct_customers"), "customers_at_most",
+                    F.try_divide(F.col("customers_at_most"), total).alias("pct_at_most"),
+                    F.try_divide(total - F.col("customers_at_most"), total).alias("pct_more")))
 
 
 # -- D9 / D12..D15 ------------------------------------------------------------

@@ -8,6 +8,7 @@ side is under the threshold and shuffles otherwise.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,12 +77,20 @@ def matrix_periods(df: DataFrame, month: str = "order_month") -> list[int]:
     return list(range(1, (r["hi"].year - r["lo"].year) * 12 + r["hi"].month - r["lo"].month + 2))
 
 
+def periods_between(first_month: str, cutoff: str) -> list[int]:
+    """Every period of a table whose months lie from ``first_month`` up to, but
+    not including, ``cutoff`` (ISO dates): what is known of a table without
+    reading it."""
+    a, b = date.fromisoformat(first_month), date.fromisoformat(cutoff)
+    return list(range(1, (b.year - a.year) * 12 + b.month - a.month + (b.day > 1) + 1))
+
+
 def retention_matrix(ret: DataFrame, periods: list[int], by: list[str] | None = None,
                      prefix: str = "p") -> DataFrame:
     """Cohort rows x period columns of retention_rate.
 
-    The period list is given (``matrix_periods`` finds it), so the schema is
-    fixed; a period of ``ret`` that the list misses fails the query, so no
+    The period list is given (``periods_between`` takes it from known months,
+    ``matrix_periods`` reads it from a table), so the schema is fixed; a period of ``ret`` that the list misses fails the query, so no
     cell is dropped.
     """
     by = list(by or [])

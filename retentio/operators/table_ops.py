@@ -16,32 +16,30 @@ def filter_range(df: DataFrame, col: str, lo=None, hi=None, full_range_off: bool
     """``lo <= col <= hi`` inclusive; NULL and NaN never pass.  A missing bound
     is open.  A filter whose bounds cover the column's whole [min, max] is
     off, as a range slider left at its ends is: every row stays, missing
-    values included.  Whether it does is found out first, by one aggregation
-    of the column (or from ``full_range``, the column's known (min, max)), so
-    the filter that is planned is a plain range that reaches the scan.
+    values included.
+
+    Give ``full_range``, the slider's ends, where they are known: the result
+    is then a plain range over one scan.  Otherwise the column's ends are a
+    scalar subquery of the returned plan (no job runs before it does): rows
+    in range come from a scan with the bounds pushed down, and rows with a
+    missing value, which alone can be in question, from one of their own.
     """
     if lo is None and hi is None:
         return df
     c = F.col(col)
-    cond = c.isNotNull()
+    missing = c.isNull()
     if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType)):
-        cond = cond & ~F.isnan(c)
-    if lo is not None:
-        cond = cond & (c >= F.lit(lo))
-    if hi is not None:
-        cond = cond & (c <= F.lit(hi))
-    if full_range_off:
-        if full_range is None:
-            ends = df.filter(c.isNotNull() & ~F.isnan(c) if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType))
-                             else c.isNotNull()).agg(F.min(c).alias("lo"), F.max(c).alias("hi"),
-                                                     *([(F.min(c) >= F.lit(lo)).alias("covers_lo")] if lo is not None else []),
-                                                     *([(F.max(c) <= F.lit(hi)).alias("covers_hi")] if hi is not None else [])).head()
-            covers = ends["lo"] is not None and all(ends[k] for k in ("covers_lo", "covers_hi") if k in ends)
-        else:
-            covers = (lo is None or lo <= full_range[0]) and (hi is None or hi >= full_range[1])
-        if covers:
-            return df
-    return df.filter(cond)
+        missing = missing | F.isnan(c)
+    bounds = [c >= F.lit(lo)] * (lo is not None) + [c <= F.lit(hi)] * (hi is not None)
+    inside = df.filter(reduce(lambda a, b: a & b, bounds, ~missing))
+    if not full_range_off:
+        return inside
+    if full_range is not None:
+        covers = (lo is None or lo <= full_range[0]) and (hi is None or hi >= full_range[1])
+        return df if covers else inside
+    ends = [F.min(c) >= F.lit(lo)] * (lo is not None) + [F.max(c) <= F.lit(hi)] * (hi is not None)
+    off = df.filter(~missing).agg(reduce(lambda a, b: a & b, ends).alias("off")).scalar()
+    return inside.unionAll(df.filter(missing & F.coalesce(off, F.lit(False))))
 
 
 # -- H2 -----------------------------------------------------------------------

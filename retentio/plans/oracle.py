@@ -678,3 +678,7 @@ FROM fit f JOIN ends e ON e.k IS NOT DISTINCT FROM f.k"""
 
 ORACLE["growth_forecast"] = _forecast_sql(None, 20_000)
 ORACLE["growth_forecast_by_source"] = _forecast_sql("source", 2_000)
+
+
+# ------------------------------------------------ H1: options ---------------
+ORACLE["filter_range_unknown_ends"] = ORACLE["filter_range"]

@@ -105,6 +105,8 @@ HIST_BINS = 30
 HEAD_N = 6
 PAGE_K, PAGE_N = 2, 8
 RANGE_COL, RANGE_LO, RANGE_HI = "restaurant_total", 100000.0, 200000.0
+RANGE_ENDS = (0.0, 600000.0)  # the slider's own ends
+TEST_FIRST_MONTH = "1995-01-01"  # the test orders begin here and are cut at TEST_CUTOFF
 SET_COL, SET_VALUES = "source", ["1-URGENT", "2-HIGH"]
 LOGICAL_COL, LOGICAL_CHOICES = "has_promo_value", ["true", "na"]
 SEARCH_COL, SEARCH_WORDS = "payment_method", "auto MOBILE"
@@ -355,7 +357,7 @@ for _tag, _by in [("has_promo", ["has_promo_value"]), ("promo_value", ["promo_va
 
 @query("retention_matrix")
 def q_retention_matrix(spark, sf):
-    return rt.retention_matrix(_sliced(spark, sf, [], "retention"), rt.matrix_periods(cleaned(spark, sf)))
+    return rt.retention_matrix(_sliced(spark, sf, [], "retention"), rt.periods_between(TEST_FIRST_MONTH, TEST_CUTOFF))
 
 
 @query("retention_labels")
@@ -459,6 +461,12 @@ def q_grep_values(spark, sf):
 # ------------------------------------------------ H: table operators ---------
 @query("filter_range")
 def q_filter_range(spark, sf):
+    return tb.filter_range(cleaned(spark, sf), RANGE_COL, RANGE_LO, RANGE_HI, full_range=RANGE_ENDS)
+
+
+@query("filter_range_unknown_ends")
+def q_filter_range_unknown_ends(spark, sf):
+    """The same range where the slider's ends have to be found in the column."""
     return tb.filter_range(cleaned(spark, sf), RANGE_COL, RANGE_LO, RANGE_HI)
 
 
