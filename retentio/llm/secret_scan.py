@@ -9,11 +9,12 @@ Fisher's method combines them into one p-value, which is large for random
 strings and small for words.
 
 How often text looks that random depends on its length and on the encoding.
-So every document gives reference strings of each band's least length: the
-letters of its neighbouring words (long runs left out) joined and written in
-each encoding (hex: as character codes; digits: the alphabet cut into ten).
-Where the documents give fewer than ``MIN_REFERENCE`` of them, strings of a
-fixed list of common words are added.  The share of reference strings that
+So the letters of every document's neighbouring words (long runs left out) are
+joined and cut from end to end into reference strings whose lengths go
+through the bands' least lengths in turn, each written in every encoding
+(hex: as character codes; digits: the alphabet cut into ten).  Strings of a
+fixed list of common words count with them, with the same weight for a table
+of any size.  The share of reference strings that
 look at least as random is a run's p-value against "this is text", and
 Benjamini-Hochberg over all runs of the corpus decides which are reported.
 The counts behind both are a table of encodings by bands by score bins, whose
@@ -29,6 +30,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +48,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 6, 20, 24, 16
 #: Lower ends of the length bands, and score bins per band.
 BANDS, BINS = (16, 20, 24, 32, 48, 64, 96, 128, 192, 256), 64
 FALSE_DISCOVERY = 0.05
-#: Reference strings a document gives per band at most, how many of an encoding
-#: and band are enough, and how many the fixed words add otherwise.
-PIECES, MIN_REFERENCE, FIXED = 4, 2000, 20_000
+#: Reference strings that the fixed words give for each encoding and band.
+FIXED = 20_000
 
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -233,16 +234,55 @@ def joined_letters(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[b:e] for b, e in zip(ends, [*(b for b, _ in runs), len(raw)])).translate(_AS_LOWER, _NOT_LETTERS)
 
 
+def reference_strings(letters: bytes, first: int) -> list[np.ndarray]:
+    """The letters cut from end to end into strings as long as each band's
+    least length, band after band from ``first`` on; rows of letters per band."""
+    x = np.frombuffer(letters, np.uint8).astype(np.int64) - ord("a")
+    turn = sum(BANDS)
+    whole, rest = x[:len(x) // turn * turn].reshape(-1, turn), x[len(x) // turn * turn:]
+    out: list[np.ndarray] = [whole[:, :0]] * len(BANDS)
+    at = 0
+    for k in range(len(BANDS)):
+        band = (first + k) % len(BANDS)
+        n = BANDS[band]
+        last = rest[at:at + n]
+        out[band] = np.concatenate([whole[:, at:at + n], last[None]]) if len(last) == n else whole[:, at:at + n]
+        at += n
+    return out
+
+
 def _reference(texts: list[bytes]) -> list[dict[str, int]]:
     """Cell counts of the reference strings of some documents."""
     out = np.zeros(len(SIZES) * len(BANDS) * BINS, np.int64)
-    for band, n in enumerate(BANDS):
-        letters = np.concatenate([_rows(t, n, PIECES) for t in texts])
+    # which band a text begins with depends on the text, so that short texts feed all of them
+    cut = [reference_strings(t, crc32(t) % len(BANDS)) for t in texts]
+    for band in range(len(BANDS)):
+        letters = np.concatenate([c[band] for c in cut])
         for kind in range(len(SIZES)) if len(letters) else ():
             out += np.bincount(reference_cells(letters, band, kind), minlength=len(out))
     return [{"c": int(c), "n": int(out[c])} for c in np.flatnonzero(out)]
 
 
+def free_runs(runs: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The runs that no span overlaps, in one sweep; both are sorted by begin."""
+    out, k, reach = [], 0, -1
+    for b, e in runs:
+        while k < len(spans) and spans[k][0] < e:
+            reach = max(reach, spans[k][2])
+            k += 1
+        if reach <= b:
+            out.append((b, e))
+    return out
+
+
+def code_points(codes: np.ndarray, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans in bytes as spans in code points."""
+    if not spans:
+        return spans
+    before = np.concatenate([[0], np.cumsum((codes & 0xC0) != 0x80)])  # characters that begin before a byte
+    return [(int(before[x]), k, int(before[y])) for x, k, y in spans]
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("begin", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     tally = pa.list_(pa.struct([("c", pa.int32()), ("n", pa.int64())]))
@@ -256,14 +296,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans = base_spans(raw, codes)
                 more, where = [], []
                 runs = long_runs(_TOKEN[codes], MIN_TOKEN)
-                for b, e in runs:
-                    if not any(b < y and x < e for x, _, y in spans):
-                        more.append((b, 3, e))
-                        where.append(cell(raw[b:e]))
+                for b, e in free_runs(runs, spans):
+                    more.append((b, 3, e))
+                    where.append(cell(raw[b:e]))
                 texts.append(joined_letters(raw, runs))
-                if not raw.isascii() and (spans or more):
-                    point = lambda k: len(raw[:k].decode("utf-8", "replace"))
-                    spans, more = ([(point(x), k, point(y)) for x, k, y in s] for s in (spans, more))
+                if not raw.isascii():
+                    spans, more = code_points(codes, spans), code_points(codes, more)
                 as_rows = lambda s: [{"begin": x, "kind": k, "end": y} for x, k, y in s]
                 base.append(as_rows(spans)), found.append(as_rows(more)), cells.append(where)
             words = [_reference(texts), *[[]] * (part.num_rows - 1)]  # counts of the whole part, in its first row
@@ -278,9 +316,8 @@ def discoveries(words: dict[int, int], runs: dict[int, int], rate: float = FALSE
     p: dict[int, float] = {}
     for group in {c // BINS for c in runs}:
         ref = {c: n for c, n in words.items() if c // BINS == group}
-        if sum(ref.values()) < MIN_REFERENCE:
-            for c, n in fixed_reference(*divmod(group, len(BANDS))).items():
-                ref[c] = ref.get(c, 0) + n
+        for c, n in fixed_reference(*divmod(group, len(BANDS))).items():
+            ref[c] = ref.get(c, 0) + n
         for c in runs:
             if c // BINS == group:
                 p[c] = (sum(n for k, n in ref.items() if k >= c) + 1) / (sum(ref.values()) + 1)
