@@ -112,14 +112,40 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 
 
+def lowest_ids(ids: DataFrame, sample: int) -> DataFrame:
+    """Up to ``sample`` distinct doc_ids, those with the smallest hash.
+
+    Only ids under a hash bound, set from the number of rows, are made
+    distinct and sorted: a few more than ``sample`` whatever the table holds.
+    Repeated ids can leave too few under it; the bound is then doubled.
+    """
+    h = F.xxhash64("doc_id")
+    rows, share = ids.count(), 1.0
+    if rows > sample:
+        share = min(1.0, 1.2 * sample / rows + 100 / rows)
+    while True:
+        some = ids.filter(h <= int(share * (2 ** 64 - 1)) - 2 ** 63).distinct() if share < 1 else ids.distinct()
+        if share >= 1 or some.count() >= sample:
+            return some.orderBy(h, "doc_id").limit(sample)
+        share = min(1.0, 2 * share)
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """positive, __raw: one row for each of up to ``sample`` positive ids that have a
+    document and of up to ``sample`` ids of any.  An id held by many rows
+    counts once, with the text of the smallest hash; its rows are reduced in
+    the tasks that read them."""
+    free = ~held_out() & F.col("doc_id").isNotNull()
+    chosen = lowest_ids(labels.filter("quality = 1").filter(free).select("doc_id"), sample).withColumn("positive", F.lit(True)).union(
+        lowest_ids(docs.filter(free).select("doc_id"), sample).withColumn("positive", F.lit(False)))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("__raw")).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
+    return rows.groupBy("doc_id", "positive").agg(F.min(F.struct(F.xxhash64("__raw").alias("h"), "__raw")).alias("r")).select("positive", "r.__raw")
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Features of up to ``sample`` positives and ``sample`` unlabelled rows."""
-    ids = lambda df: df.filter(~held_out() & F.col("doc_id").isNotNull()).select("doc_id").distinct() \
-        .orderBy(F.xxhash64("doc_id")).limit(sample)
-    chosen = ids(labels.filter("quality = 1")).withColumn("positive", F.lit(True)).union(
-        ids(docs).withColumn("positive", F.lit(False)))
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("__raw")).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
-    got = rows.select("positive", "__raw").mapInArrow(_feature_rows, "positive boolean, x array<float>").toArrow()
+    rows = sample_rows(docs, labels, sample)
+    got = rows.mapInArrow(_feature_rows, "positive boolean, x array<float>").toArrow()
     if not got.num_rows:
         return np.zeros((0, N_FEATURES)), np.zeros((0, N_FEATURES))
     x = np.asarray(got["x"].combine_chunks().flatten(), np.float64).reshape(-1, N_FEATURES)
