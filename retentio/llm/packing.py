@@ -68,7 +68,7 @@ class Words:
                 recent[w] = ids
                 continue
             core = w if w.isalpha() else w.rstrip(MARKS)
-            if core and core[-1].isalpha():
+            if core and core.lower()[-1].isalpha():  # a capital with a dot ends in a combining mark
                 parts.append((w, core.lower() if core.isascii() else core, w[len(core):]))
             else:
                 parts.append((w, w, ""))
