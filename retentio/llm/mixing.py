@@ -106,6 +106,8 @@ def solve_tilts(hist: DataFrame, targets: DataFrame, max_rate: float = MAX_RATE,
                            (moving & (moved != F.col("tilt"))).alias("open")), "tilt")
         if state.filter("open").isEmpty():
             break
+    else:
+        raise RuntimeError(f"no tilt found within {max_steps} steps for {state.filter('open').count()} sources")
     return state.select(*targets.columns, "mean", F.when(~F.col("full"), F.col("tilt")).alias("tilt"))
 
 
