@@ -682,3 +682,14 @@ ORACLE["growth_forecast_by_source"] = _forecast_sql("source", 2_000)
 
 # ------------------------------------------------ H1: options ---------------
 ORACLE["filter_range_unknown_ends"] = ORACLE["filter_range"]
+
+
+# ------------------------------------------------ A5 / A7, H4 ---------------
+ORACLE["heavy_hitters"] = base(f"""
+SELECT column_name, value, count(*) AS n, round(count(*) / CAST(any_value(rows) AS DOUBLE), 9) AS share
+FROM (SELECT *, count(*) OVER (PARTITION BY column_name) AS rows FROM ({" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM clean WHERE {c} IS NOT NULL"
+    for c in ("source", "shipping_type", "payment_method", "state", "shops_id", "date_purchased"))}))
+GROUP BY column_name, value HAVING count(*) * 30 > any_value(rows)""")
+ORACLE["search_text_postings"] = ORACLE["search_text"]
+ORACLE["search_date_postings"] = base("SELECT * FROM clean WHERE contains(lower(date_purchased), '1996-') AND contains(lower(date_purchased), '-01t0')")

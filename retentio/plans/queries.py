@@ -19,6 +19,8 @@ from retentio.operators import clean as cl
 from retentio.operators import cohort as co
 from retentio.operators import eda
 from retentio.operators import forecast as fc
+from retentio.operators import heavy as hv
+from retentio.operators import postings as po
 from retentio.operators import quantiles as qn
 from retentio.operators import retention as rt
 from retentio.operators import sketches as sk
@@ -124,6 +126,7 @@ RANGE_ONE, RANGE_TWO = ("1996-01-01", "1996-12-01"), ("1998-01-01", "1998-12-01"
 QUANTILE_COLUMNS, QUANTILES = ["restaurant_total", "promo_value"], [0.25, 0.5, 0.75]
 # Customers to reach.
 TARGET_CUSTOMERS = 20_000
+HEAVY_COLUMNS, HEAVY_K = ["source", "shipping_type", "payment_method", "state", "shops_id", "date_purchased"], 30
 GROUP_COL, GROUP_KEY, GROUP_CHOSEN = "state", "customer", ["NATION_1", "NATION_2", "NATION_3"]
 # ============================================================================
 
@@ -854,3 +857,27 @@ def q_growth_forecast_by_source(spark, sf):
     size = rt.cohort_size(_cohort_tables(spark, sf)[1], ["source"])
     out = fc.growth_forecast(fc.monthly_series(size, "cohort_id", "cohort_count", ["source"]), TARGET_CUSTOMERS / 10)
     return _rounded(out, "level", "trend", "error")
+
+
+# ------------------------------------------------ A5 / A7: heavy values ------
+@query("heavy_hitters")
+def q_heavy_hitters(spark, sf):
+    return _rounded(hv.heavy_hitters(cleaned(spark, sf), HEAVY_COLUMNS, HEAVY_K), "share")
+
+
+# ------------------------------------------------ H4: search by postings -----
+def _searched_postings(spark, sf, col, query_text):
+    df, path = cleaned(spark, sf), scratch_path(spark, "postings")
+    po.write_postings(df, "order_id", col, path)
+    return po.search_postings(df, "order_id", col, query_text, path)
+
+
+@query("search_text_postings")
+def q_search_text_postings(spark, sf):
+    return _searched_postings(spark, sf, SEARCH_COL, SEARCH_WORDS)
+
+
+@query("search_date_postings")
+def q_search_date_postings(spark, sf):
+    """Orders of the first day of any month in 1996, by two parts of the date's text."""
+    return _searched_postings(spark, sf, "date_purchased", "1996- -01T0")
