@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retentio.llm import quality_classifier as qc
-from retentio.llm.ann import nearest
+from retentio.llm.ann import TopTree, build_index, nearest, search, usable
 from retentio.llm.chat_format import (EVENTS, control_conversation, escape, fold_events, format_conversations, read_back, unescape)
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import docs, words
@@ -134,6 +134,48 @@ def test_neighbours_ties_and_unusable(spark):
     assert nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
 
 
+def _recall(got, want):
+    return sum(len({j for _, j in want[q]} & {r.vec_id for r in got if r.query_id == q}) for q in want) / sum(map(len, want.values()))
+
+
+def test_queries_skip_far_cells_and_lose_little(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((40, 24))
+    v = [(k, (centres[k % 40] + 0.15 * rng.standard_normal(24)).tolist()) for k in range(4000)]
+    df = spark.createDataFrame(v, "vec_id bigint, embedding array<double>")
+    vectors = usable(df).select("v", F.array("vec_id").alias("ids"))
+    index = build_index(vectors, cell=60, sample=1500)
+    cells = index.cells.count()
+    assert cells == index.most == 128 and index.vectors.count() == 4000
+    top, met = search(index, usable(df).filter("vec_id % 50 = 0"), 5, chunk=7)
+    got = top.collect()
+    assert _recall(got, _brute(v, 50, 5)) >= 0.95
+    assert met < 0.5 * 80 * cells
+    unit = {k: np.array(x) / np.linalg.norm(x) for k, x in v}
+    assert all(r.score == pytest.approx(unit[r.query_id] @ unit[r.vec_id], abs=1e-12) for r in got)
+
+
+def test_large_cells_are_split_into_blocks(spark):
+    rng = np.random.default_rng(12)
+    v = [(k, (np.ones(8) + 1e-7 * rng.standard_normal(8) if k % 3 else rng.standard_normal(8)).tolist()) for k in range(1200)]
+    df = spark.createDataFrame(v, "vec_id bigint, embedding array<double>")
+    index = build_index(usable(df).select("v", F.array("vec_id").alias("ids")), cell=50, block=20, sample=64)
+    assert index.cells.agg(F.max("blocks")).first()[0] > 1
+    want, got = _brute(v, 50, 5), nearest(df, 50, 5, cell=50, block=20, sample=64).collect()
+    assert sum(abs(-s - r.score) < 1e-9 for q in want
+               for (s, _), r in zip(want[q], sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"]))) >= 0.95 * 5 * len(want)
+
+
+def test_top_tree_deals_every_point_once():
+    rng = np.random.default_rng(13)
+    low = np.repeat(rng.standard_normal((50, 8)), 3, axis=0)
+    for depth in (0, 1, 5):
+        cells = TopTree(low, depth).cells(low)
+        assert cells.min() >= 0 and cells.max() < 2 ** depth and (cells.reshape(50, 3) == cells[::3, None]).all()
+    assert np.bincount(TopTree(low, 2).cells(low), minlength=4).min() >= 30
+    assert TopTree(low[:1], 3).cells(low).max() < 8
+
+
 def test_entry_has_all_queries():
     import __spark_entry__ as entry
     names = entry.queries()
