@@ -299,6 +299,38 @@ def arrow_batches(spark: SparkSession, rows: int):
         spark.conf.set(key, old)
 
 
+def token_sides(tokens: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The two sides (tid, root, token, total, behind, lane) of the join on prefix tokens.
+
+    Of a link the lighter text has at least ``2 t / (1 + t)`` of its own weight
+    behind the first shared token, so only such rows are on the index side; a
+    token without one is gone before the join.  Texts of one root need no
+    pair: of the root with most texts at a token, rows of the index side meet
+    the other roots only (lane 1), while all others meet every row (lane 0).
+    """
+    share = threshold / (1 + threshold) * (1 - 1e-9)
+    rows = tokens.withColumn("strong", F.col("behind") >= share * (2 * F.col("total")))
+    roots = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"), F.max("strong").alias("strong"))
+    mains = roots.groupBy("token").agg(F.count(F.lit(1)).alias("n_roots"), F.max("strong").alias("any"), F.max_by("root", F.struct("n", "root")).alias("main")) \
+                 .filter("n_roots > 1 and any").select("token", "main")
+    rows = rows.join(mains, "token").withColumn("is_main", F.col("root") == F.col("main"))
+    cols = ["tid", "root", "token", "total", "behind"]
+    index = rows.filter("strong").select(*cols, F.col("is_main").cast("int").alias("lane"))
+    probe = rows.select(*cols, F.explode(F.when(F.col("is_main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("lane"))
+    return index, probe
+
+
+def candidate_pairs(index: DataFrame, probe: DataFrame, threshold: float) -> DataFrame:
+    """Different (a, b) of different roots that may be links, a the lighter.
+
+    At the first token that a pair shares, all it has in common lies behind."""
+    x, y = (d.select("token", "lane", *[F.col(c).alias(f"{c}_{k}") for c in ("tid", "root", "total", "behind")]) for d, k in ((index, "a"), (probe, "b")))
+    lighter = F.struct("total_a", "tid_a") < F.struct("total_b", "tid_b")
+    needed = threshold / (1 + threshold) * (1 - 1e-9) * (F.col("total_a") + F.col("total_b"))
+    return x.join(y, ["token", "lane"]).filter(lighter & (F.col("root_a") != F.col("root_b")) & (F.least("behind_a", "behind_b") >= needed)) \
+            .select(F.col("tid_a").alias("a"), F.col("tid_b").alias("b")).distinct()
+
+
 def _links(pairs: DataFrame, texts: DataFrame, shared, threshold: float, name: str) -> DataFrame:
     a = texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
@@ -331,14 +363,8 @@ def find_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
         unfinished = members.join(mixed, "bucket").select("tid").distinct().join(rooted, "tid")
         tokens = materialise(near.join(unfinished, "tid").select("tid", "root", "text").mapInArrow(
             _prefixes(shared, threshold), "tid long, root long, token long, total double, behind double"), "tokens")
-        shared_tokens = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-        tokens = materialise(tokens.join(shared_tokens, "token"), "mixed-tokens")
-        x, y = (tokens.select("token", F.col("tid").alias(k), F.col("root").alias(f"root_{k}"), F.col("total").alias(f"total_{k}"),
-                              F.col("behind").alias(f"behind_{k}")) for k in "ab")
-        # at the first shingle that a pair shares, all it has in common lies behind
-        needed = threshold / (1 + threshold) * (1 - 1e-9) * (F.col("total_a") + F.col("total_b"))
-        more = x.join(y, "token").filter((F.col("root_a") < F.col("root_b"))
-                                         & (F.least("behind_a", "behind_b") >= needed)).select("a", "b").distinct()
+        index, probe = (materialise(x, n) for x, n in zip(token_sides(tokens, threshold), ("index-tokens", "probe-tokens")))
+        more = candidate_pairs(index, probe, threshold)
         done = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = materialise(more.join(done, ["a", "b"], "left_anti"), "more-pairs")
         rest = _links(more, near, shared, threshold, "more-links")

@@ -119,3 +119,38 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(1, 41)}, **{k: 100 for k in range(101, 160)}, 301: 300, 302: 300}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+TOKENS = "tid bigint, root bigint, token bigint, total double, behind double"
+
+
+def _sides(spark, rows):
+    return nd.token_sides(spark.createDataFrame(rows, TOKENS), 0.8)
+
+
+def test_a_shared_prefix_without_links_is_not_joined(spark):
+    """Texts of 60 own and 324 common shingles are at 0.73; they hold the first common shingles in their prefixes."""
+    for n in (500, 2000):
+        rows = [(k, k, t, 384.0, 324.0 - t) for k in range(n) for t in range(16)]
+        index, probe = _sides(spark, rows)
+        assert index.isEmpty() and probe.isEmpty()
+
+
+def test_one_component_is_not_joined_with_itself(spark):
+    rows = [(k, 0, 7, 100.0, 99.0) for k in range(3000)] + [(5000, 5000, 7, 100.0, 98.0)]
+    index, probe = _sides(spark, rows)
+    assert index.join(probe, ["token", "lane"]).count() <= 2 * 3001
+    assert nd.candidate_pairs(index, probe, 0.8).count() == 3000
+
+
+def test_candidates_are_those_of_all_pairs(spark):
+    rnd = random.Random(5)
+    rows = []
+    for k in range(240):
+        total = rnd.choice([50.0, 60.0, 61.5, 75.0])
+        rows += [(k, rnd.choice([0, 0, 0, 1, k]), t, total, round(total * rnd.uniform(0.8, 1.0), 3)) for t in rnd.sample(range(12), 4)]
+    rows = [(k, min(r[1] for r in rows if r[0] == k), *rest) for k, _, *rest in rows]
+    want = {tuple(sorted((x[0], y[0]))) for x in rows for y in rows
+            if x[1] < y[1] and x[2] == y[2] and min(x[4], y[4]) >= 0.8 / 1.8 * (1 - 1e-9) * (x[3] + y[3])}
+    got = [tuple(sorted((r.a, r.b))) for r in nd.candidate_pairs(*_sides(spark, rows), 0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
