@@ -111,10 +111,10 @@ def solve_tilts(hist: DataFrame, targets: DataFrame, max_rate: float = MAX_RATE,
     return state.select(*targets.columns, "mean", F.when(~F.col("full"), F.col("tilt")).alias("tilt"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken; and the row key."""
-    rows = materialise(with_row_key(docs.select("doc_id", "source", "text"))
-                       .select("doc_id", "__id", "__th", "source", n_words("text").alias("size")), "sizes")
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, rate, copies, taken; the row key; and the columns ``keep`` of ``docs``."""
+    rows = materialise(with_row_key(docs.select("doc_id", "source", "text", *keep))
+                       .select("doc_id", "__id", "__th", "source", n_words("text").alias("size"), *keep), "sizes")
     hist = materialise(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("count")), "sizes-hist")
     targets = source_targets(rows, weights, share, max_rate)
     tilts = materialise(solve_tilts(hist, targets, max_rate), "tilts")
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_rate: float
     share_of = lambda k: F.floor(k * F.col("class_copies") / F.col("count"))
     copies = (share_of(F.col("rank") + 1) - share_of(F.col("rank"))).cast("bigint")
     return both.select("doc_id", "size", "source_size", "target", "rate", copies.alias("copies"),
-                       (copies * F.col("size")).alias("taken"), "__id", "__th")
+                       (copies * F.col("size")).alias("taken"), "__id", "__th", *keep)
 
 
 def class_copies(classes: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
@@ -164,12 +164,10 @@ def class_copies(classes: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (all columns), each as often as the mix takes it.
 
-    Only keys and copy counts meet the texts; repeated rows of one document
-    are told apart by a number within their key."""
-    key = ["__id", "__th"]
-    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
-    taken = mix(docs, **options).select(*key, "copies").withColumn("__k", number)
-    rows = with_row_key(docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text")) \
-        .select("__doc", *key).withColumn("__k", number)
-    return rows.join(taken.filter("copies > 0"), [*key, "__k"]) \
-               .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__doc.*")
+    The rows are numbered and written once; only numbers and copy counts meet
+    the texts, so repeated rows of one document spread over all tasks."""
+    numbered = materialise(docs.select(F.struct(*docs.columns).alias("__doc")).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    fields = [F.col("__doc").getField(c).alias(c) for c in ("doc_id", "source", "text")]
+    taken = mix(numbered.select(*fields, "__row"), keep=("__row",), **options).filter("copies > 0").select("__row", "copies")
+    return numbered.join(taken, "__row") \
+                   .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__doc.*")

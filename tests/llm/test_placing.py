@@ -140,6 +140,16 @@ def test_mixed_documents_repeat_rows(spark):
     assert got == collections.Counter({k: v for k, v in want.items() if v})
 
 
+def test_a_document_in_a_third_of_the_rows_is_mixed_row_by_row(spark):
+    hot = [(7, words(20, 1), "a")] * 300
+    rest = [(100 + k, words(5 + k % 40, k), "ab"[k % 2]) for k in range(600)]
+    table = docs(spark, hot + rest).withColumn("mark", F.monotonically_increasing_id())
+    copies = collections.Counter((r.doc_id, r.copies) for r in mix(table).collect())
+    got = collections.Counter(r.mark for r in mixed_documents(table).collect())
+    ids = {r.mark: r.doc_id for r in table.collect()}
+    assert collections.Counter((ids[m], got[m]) for m in ids) == copies
+
+
 def test_tokens_are_the_tokenizers(monkeypatch):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(TOKENIZER)
