@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from retentio.llm.license_scan import PHRASES, WORD, templates_of
 from retentio.llm.line_dedup import MIN_CHARS, MIN_DOCS as LINE_MIN_DOCS
-from retentio.llm.quality_rules import MAX_SHARE, MIN_DOCS, MIN_LEFT
+from retentio.llm.quality_rules import MIN_DOCS, MIN_LEFT
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -39,15 +39,13 @@ pos AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i
 gram AS (SELECT doc_id, i, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM pos WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, word, w2, w3) AS c FROM gram WHERE w3 IS NOT NULL) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) t(k) GROUP BY doc_id),
-line AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+line AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
                 generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d),
-named AS (SELECT doc_id, source, text, line, p, regexp_extract_all(line, '{_WORD}') AS lw FROM line),
-held AS (SELECT doc_id, source, text, line, p, len(lw) AS n, translate(array_to_string(lw, ' '), {_LOWER}) AS k FROM named WHERE len(lw) > 0),
+named AS (SELECT doc_id, source, line, p, regexp_extract_all(line, '{_WORD}') AS lw FROM line),
+held AS (SELECT doc_id, source, line, p, len(lw) AS n, translate(array_to_string(lw, ' '), {_LOWER}) AS k FROM named WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) AS n_dup_lines FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY p) AS r FROM held)
         WHERE r > 1 GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT text) AS n_host FROM d GROUP BY source),
-often AS (SELECT h.source, h.k FROM held h JOIN hosts o ON h.source IS NOT DISTINCT FROM o.source
-          GROUP BY h.source, h.k, o.n_host HAVING count(DISTINCT h.text) > {MIN_DOCS} AND count(DISTINCT h.text) > {MAX_SHARE} * o.n_host),
+often AS (SELECT source, k FROM held GROUP BY source, k HAVING count(DISTINCT doc_id) > {MIN_DOCS}),
 gone AS (SELECT h.doc_id, sum(h.n) AS n_removed_words FROM held h JOIN often o ON h.source IS NOT DISTINCT FROM o.source AND h.k = o.k GROUP BY h.doc_id),
 base AS (
   SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,

@@ -3,10 +3,10 @@
 Normalised lines are hashed, distinct documents per (host, hash) are counted,
 lines above the limit are removed and documents that this depletes are
 rejected.  The host of a document is its ``source``.  A line is over the limit
-when more than ``min_docs`` different texts of the host hold it, however many
-documents the host has; exact copies of one text count once, so a copied
-document does not condemn itself.  A document is depleted when less than
-``min_left`` of its words are left.
+when more than ``min_docs`` documents of the host hold it, however many
+documents the host has.  A document is a doc_id with its text: repeated rows
+count once, copies under other ids count each.  A document is depleted when
+less than ``min_left`` of its words are left.
 
 Shape: one Python pass mints narrow rows (counts, hashes and word counts per
 distinct line); everything after is grouped counting with map-side partial
@@ -32,7 +32,6 @@ from retentio.llm.common import ASCII_SPACE, join_on, materialise, with_row_key
 
 SYMBOLS = b"#*$%&|<>"
 MIN_DOCS = 10
-MAX_SHARE = 0.05  # read by the oracle SQL only, where it binds in hosts of over 200 texts
 MIN_LEFT = 0.3
 _NOT_COUNTED = ASCII_SPACE + bytes(range(0x80, 0xC0))  # UTF-8 continuation bytes
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -100,9 +99,9 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT)
         _measure, f"doc_id {kind}, __id long, __th long, __host string, n_words long, word_chars long, n_symbols long, "
                   "n_dup_lines long, n_repeat_words long, __lines array<long>, __line_words array<long>"
     ).withColumn("__row", F.monotonically_increasing_id()), "quality")
-    each = counts.select("__row", "__th", "__host", F.explode(F.arrays_zip("__lines", "__line_words")).alias("x")) \
-                 .select("__row", "__th", "__host", F.col("x.__lines").alias("h"), F.col("x.__line_words").alias("w"))
-    over = each.groupBy("__host", "h").agg(F.count_distinct("__th").alias("n")).filter(F.col("n") > min_docs).select("__host", "h")
+    each = counts.select("__row", "__id", "__th", "__host", F.explode(F.arrays_zip("__lines", "__line_words")).alias("x")) \
+                 .select("__row", "__id", "__th", "__host", F.col("x.__lines").alias("h"), F.col("x.__line_words").alias("w"))
+    over = each.groupBy("__host", "h").agg(F.count_distinct("__id", "__th").alias("n")).filter(F.col("n") > min_docs).select("__host", "h")
     gone = join_on(each, over, ["__host", "h"]).groupBy("__row").agg(F.sum("w").alias("n_removed_words"))
     out = counts.join(gone, "__row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -88,13 +88,16 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     rows = [(k, menu + "\n" + words(5, k), "h") for k in range(30)]           # mostly the menu
     rows += [(100 + k, menu + "\n" + words(300, 100 + k), "h") for k in range(30)]  # mostly own words
     rows += [(200 + k, menu + "\n" + words(60, 200 + k), "other") for k in range(3)]  # rare on this host
-    rows += [(300 + k, words(70, 300), "h") for k in range(40)]                # copies of one text
+    rows += [(300 + k, words(70, 300), "h") for k in range(40)]                # copies of one text: each is a document
+    rows += [(400 + k, words(70, 400), "h") for k in range(10)]                # copies up to the limit
+    rows += [(500, words(70, 500), "h")] * 40                                  # rows of one document
     verdict = {r.doc_id: r for r in quality_rules(docs(spark, rows)).collect()}
     assert all(not verdict[k].kept and not verdict[k].base_failed for k in range(30))
-    assert all(verdict[k].kept for k in verdict if k >= 100)
+    assert all(not verdict[k].kept and not verdict[k].base_failed and verdict[k].n_removed_words == 70 for k in range(300, 340))
+    assert all(verdict[k].kept for k in verdict if 100 <= k < 300 or k >= 400)
     texts = {r.doc_id: r.text for r in clean_documents(docs(spark, rows, "h __over")).collect()}
     assert set(texts) == {k for k in verdict if verdict[k].kept}
-    assert texts[100] == words(300, 100) and menu in texts[200] and texts[300] == words(70, 300)
+    assert texts[100] == words(300, 100) and menu in texts[200] and texts[400] == words(70, 400) and texts[500] == words(70, 500)
 
 
 def test_line_limit_does_not_grow_with_the_host(spark):

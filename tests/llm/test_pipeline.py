@@ -38,8 +38,8 @@ def _quality(rows):
     for r in rows:
         for x in (r["text"] or "").split("\n"):
             if line(x):
-                held[r["source"], line(x)].add(r["text"])
-    over = {k for k, texts in held.items() if len(texts) > 10}
+                held[r["source"], line(x)].add((r["doc_id"], r["text"]))
+    over = {k for k, found in held.items() if len(found) > 10}
     out = []
     for r in rows:
         w = (r["text"] or "").split()
