@@ -15,6 +15,9 @@ rank among equal lengths (``rank_in``).  Texts and token ids are never
 shuffled, and the work on the driver depends on the number of lengths, not on
 the number of documents.
 
+Ids are those of the tokenizer file as it is: the string of a special token in
+a text gets that token's id.
+
 Defined results: null text is empty (one piece holding id 0); only documents
 longer than ``max_tokens`` are cut; repeated rows are packed each; extra
 columns are ignored; an empty table gives an empty table.
@@ -46,7 +49,6 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tok.get_vocab()
         self.ends_unit = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_unit[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True

@@ -160,5 +160,7 @@ def test_words_with_a_dotted_capital():
     tok = Tokenizer.from_file(path)
     rnd = random.Random(3)
     texts = ["İ.", "İİ,!", "xİ", "İx."] + ["".join(rnd.choice("aZİıßéΣς.,;!? 19'-") for _ in range(rnd.randint(1, 14))) for _ in range(3000)]
+    bits = [*"aZİéßς.,;:!?#$%&*<>|'- 7", "<|endoftext|>", "<|startoftext|>", "\u0301", "\t"]
+    texts += ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 14))) for _ in range(10_000)]
     for text, got in zip(texts, encode(texts, path)):
         assert got.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]

@@ -155,9 +155,9 @@ def test_a_document_in_a_third_of_the_rows_is_mixed_row_by_row(spark):
 def test_tokens_are_the_tokenizers(monkeypatch):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(TOKENIZER)
-    tok.encode_special_tokens = True
     texts = ["", " ", "Hello, world... it's 3.14!? ok", "a\tb\x1cc d e", "ÀÉ ß Σας ΣΑΣ. İstanbul, ﬁx", "<|endoftext|> <|startoftext|>x",
-             "é ́a x́.", "日本語。テスト、 12345 a1b2", "don't!!! (foo) \"bar\".", "\n\n. .. ,a, b.;", words(500, 1), "x" * 3000]
+             "é ́a x́.", "日本語。テスト、 12345 a1b2", "don't!!! (foo) \"bar\".", "\n\n. .. ,a, b.;", words(500, 1), "x" * 3000,
+             "x<|endoftext|>. <|endoftext|>|$ a<| b|> <|startoftext|><|endoftext|>\nfoo$$$<|endoftext|> <|ENDOFTEXT|> c.*** it's&&& Ö### 7%%%"]
     for cap in (300_000, 3):
         monkeypatch.setattr(pk, "CACHE_WORDS", cap)
         pk._tokenizers.clear()
