@@ -43,6 +43,10 @@ MAX_TOKENS = 2048
 END_ID = 0
 CACHE_WORDS = 500_000
 MARKS = ".,;:!?"
+TAIL = MARKS + "#$%&*<>|"  # symbols that follow a word of letters alone
+BATCH_WORDS = 256
+
+
 class Words:
     """A tokenizer and the ids of the words seen lately, in two generations."""
 
@@ -64,19 +68,32 @@ class Words:
             self.older, self.recent = self.recent, {}
         recent, older = self.recent, self.older
         parts: list[tuple[str, str, str]] = []
+        letters: set[str] = set()
+        others: set[str] = set()
         for w in words:
             ids = older.get(w)
             if ids is not None:
                 recent[w] = ids
                 continue
-            core = w if w.isalpha() else w.rstrip(MARKS)
+            if w.isalpha():
+                core, marks = w, ""
+            else:
+                core = w.rstrip(TAIL)
+                if not core.isalpha():  # a symbol inside a word may belong to a special token or a contraction
+                    core = w.rstrip(MARKS)
+                marks = w[len(core):]
             if core and core.lower()[-1].isalpha():  # a capital with a dot ends in a combining mark
-                parts.append((w, core.lower() if core.isascii() else core, w[len(core):]))
+                if core.isascii():
+                    core = core.lower()
             else:
-                parts.append((w, w, ""))
-        fresh = {p for _, *pair in parts for p in pair if p not in recent and p not in older}
-        letters = set(filter(str.isalpha, fresh))
-        for some in (list(letters), list(fresh - letters)):
+                core, marks = w, ""
+            if core not in recent and core not in older:
+                (letters if core.isalpha() else others).add(core)
+            if marks and marks not in recent and marks not in older:
+                others.add(marks)
+            if marks or core != w:
+                parts.append((w, core, marks))
+        for some in (list(letters), list(others)):
             recent.update(zip(some, _encode_words(self, some)))
         for w, core, marks in parts:
             recent[w] = self.ids(core) + self.ids(marks) if marks else self.ids(core)
@@ -106,11 +123,13 @@ def _encode_words(words_of: Words, words: list[str]) -> list[bytes]:
     it ends a unit; other words are told apart by the tokens' places.
     """
     out: list[bytes] = []
-    for at in range(0, len(words), 2048):
-        some = words[at:at + 2048]
-        ids = np.array(words_of.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(words_of.ends_unit[ids]) + 1
-        if len(ends) != len(some) or not all(map(str.isalpha, some)):
+    for at in range(0, len(words), BATCH_WORDS):
+        some = words[at:at + BATCH_WORDS]
+        ends = None
+        if all(map(str.isalpha, some)):
+            ids = np.array(words_of.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(words_of.ends_unit[ids]) + 1
+        if ends is None or len(ends) != len(some):
             e = words_of.tok.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(e.ids, dtype="<u4")
             begins = np.cumsum([0, *(len(w) + 1 for w in some)])
@@ -131,9 +150,13 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     split = [t.replace("\n", " ").split(" ") for t in texts]
     found = [list(map(words_of.recent.get, words)) for words in split]
     words_of.learn({w for words, ids in zip(split, found) if None in ids for w in compress(words, map(_IS_NONE, ids))})
-    end = np.array([END_ID], dtype="<u4").tobytes()
-    return [np.frombuffer(b"".join([*(i if i is not None else words_of.ids(w) for w, i in zip(words, ids)), end]), dtype="<u4")
-            for words, ids in zip(split, found)]
+    end, out = np.array([END_ID], dtype="<u4").tobytes(), []
+    for words, ids in zip(split, found):
+        if None in ids:
+            ids = [i if i is not None else words_of.ids(w) for w, i in zip(words, ids)]
+        ids.append(end)
+        out.append(np.frombuffer(b"".join(ids), dtype="<u4"))
+    return out
 
 
 def _pieces(path: str, max_tokens: int, with_ids: bool):
