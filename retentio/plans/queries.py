@@ -836,7 +836,7 @@ def two_loads(df):
 def q_upsert_corrected(spark, sf):
     """The saved table after a first load, a second one with late and corrected
     orders, and a replay of both: the newest version of every order."""
-    first, second = two_loads(cleaned(spark, sf))
+    first, second = two_loads(_stored(cleaned(spark, sf), "cleaned"))
     path = scratch_path(spark, "versioned")
     up.write_versioned(first, path)
     for load in (second, second, first):

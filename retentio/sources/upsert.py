@@ -3,12 +3,12 @@
 The table holds the cleaned columns plus ``version`` (a whole number that
 grows with every load) and is partitioned by ``order_month``.  Of several
 versions of an order id the newest wins, wherever the others lie: a corrected
-date may move an order to another month.  Only months that a late order
-enters or leaves are rewritten, by dynamic partition overwrite; the files of
-all others stay.
+date may move an order to another month.  Only months that an order enters,
+leaves or changes in are rewritten, by dynamic partition overwrite; the files
+of all others stay.
 
-The new content of those months is written to the shared scratch folder
-first, so the overwrite reads nothing it replaces, a lost executor costs a
+The late rows are evaluated once.  The new content of those months is written
+to the shared scratch folder first, so the overwrite reads nothing it replaces, a lost executor costs a
 retry, and a load that broke off can simply be run again: replaying a load,
 or an older one, leaves the table as it is.
 """
@@ -35,14 +35,34 @@ def write_versioned(df: DataFrame, path: str) -> None:
     df.select(*_COLUMNS).hint("rebalance", "order_month").write.mode("overwrite").partitionBy("order_month").parquet(path)
 
 
-def newest(rows: DataFrame) -> DataFrame:
-    """One row for each order id: the highest version, of equal versions the
-    row that is largest column by column (so reruns agree).  Rows without an
-    order id are told apart by their whole content."""
-    whole = F.struct("version", *[F.col(c) for c in rows.columns if c != "version"])
-    own = F.when(F.col("order_id").isNull(), F.xxhash64(*[F.col(c) for c in rows.columns]))
-    best = rows.withColumn("__own", own).groupBy("order_id", "__own").agg(F.max(whole).alias("__row"))
-    return best.select("__row.*").select(*rows.columns)
+def _own(columns: list[str]):
+    """Tells rows without an order id apart, by their whole content."""
+    return F.when(F.col("order_id").isNull(), F.xxhash64(*[F.col(c) for c in columns]))
+
+
+def changes(contested: DataFrame, late: DataFrame) -> DataFrame:
+    """What a load changes: order_id, own, the row that holds from now on and
+    the months that held the order so far.
+
+    Of all rows of an order id, held and late, the highest version wins, of
+    equal versions the row that is largest column by column (so reruns agree).
+    Rows without an order id are told apart by their whole content.  An order
+    whose only row in the table is the winner is left out.
+    """
+    columns = [c for c in late.columns if c != "version"]
+    rows = contested.withColumn("__held", F.lit(1)).unionByName(late.withColumn("__held", F.lit(0)))
+    held = F.col("__held") == 1
+    each = rows.withColumn("own", _own(late.columns)).groupBy("order_id", "own").agg(
+        F.max(F.struct("version", *columns, "__held")).alias("row"), F.count_if(held).alias("n"),
+        F.collect_set(F.when(held, F.struct("order_month"))).alias("months"))
+    return each.filter((F.col("n") != 1) | (F.col("row.__held") == 0)).drop("n")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared scratch folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _months(df: DataFrame) -> list:
@@ -58,36 +78,42 @@ def _in_months(df: DataFrame, months: list) -> DataFrame:
 
 
 def merged_months(table: DataFrame, late: DataFrame) -> tuple[DataFrame, list]:
-    """The rows that the touched months hold after the load, and those months.
+    """The rows that the touched months hold after the load, and those months:
+    the ones that an order leaves, enters or changes in.
 
     Order ids of the late rows are looked up in the whole table (two columns
-    of it are read); everything else reads the touched months only.
+    of it are read); everything else reads only the months those orders lie
+    in.  ``late`` is written down once, and so are the orders that change.
     """
-    late = newest(late.select(*_COLUMNS))
+    spark = table.sparkSession
+    late = _written(late.select(*_COLUMNS), "upsert-late")
     ids = late.select(F.col("order_id").alias("__id")).distinct()
-    entered = _months(late)
-    left = _months(table.select("order_id", "order_month").join(ids, F.col("order_id").eqNullSafe(F.col("__id")), "left_semi"))
-    months = sorted({*entered, *left}, key=lambda m: (m is not None, m))
-    held = _in_months(table, months)
     same = F.col("order_id").eqNullSafe(F.col("__id"))
-    untouched = held.join(ids, same, "left_anti")
-    contested = held.join(ids, same, "left_semi")
-    return untouched.unionByName(newest(contested.unionByName(late))).select(*_COLUMNS), months
+    lying = _months(table.select("order_id", "order_month").join(ids, same, "left_semi"))
+    contested = _in_months(table, lying).join(ids, same, "left_semi")
+    changed = _written(changes(contested, late), "upsert-changes")
+    entered = _months(changed.select("row.order_month"))
+    left = _months(changed.select(F.inline("months")))
+    months = sorted({*entered, *left}, key=lambda m: (m is not None, m))
+    if not months:
+        return spark.createDataFrame([], VERSIONED_SCHEMA), months
+    keys = changed.select(F.col("order_id").alias("__id"), F.col("own").alias("__own"))
+    untouched = _in_months(table, months).join(keys, same & _own(_COLUMNS).eqNullSafe(F.col("__own")), "left_anti")
+    return untouched.unionByName(changed.select(*[F.col(f"row.{c}") for c in _COLUMNS])), months
 
 
 def upsert_corrected(spark: SparkSession, path: str, late: DataFrame) -> list:
     """Bring ``late`` (cleaned columns and version) into the table at ``path``;
     returns the months rewritten.
 
-    A late row with an older version than the table's changes nothing.  A
-    month that loses its last order loses its folder.
+    A late row with an older version than the table's changes nothing, nor
+    does one that the table holds already: months without a change keep their
+    files.  A month that loses its last order loses its folder.
     """
     merged, months = merged_months(read_versioned(spark, path), late)
     if not months:
         return []
-    staged_path = scratch_path(spark, "upsert")
-    merged.write.parquet(staged_path)
-    staged = spark.read.schema(merged.schema).parquet(staged_path)
+    staged = _written(merged, "upsert")
     (staged.hint("rebalance", "order_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("order_month").parquet(path))
     _drop_months(spark, path, sorted({*months} - {*_months(staged)}, key=str))

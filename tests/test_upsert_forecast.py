@@ -83,6 +83,35 @@ def test_nothing_late_and_rows_without_id_or_month(spark, path):
     assert sorted(got, key=str) == sorted([(None, "x", "2020-01-01"), (None, "y", "2020-01-01"), (9, "z", "None")], key=str)
 
 
+def test_replays_and_older_loads_rewrite_no_month(spark, path):
+    up.upsert_corrected(spark, path, _load(spark, LATE, 2))
+    up.upsert_corrected(spark, path, _load(spark, [(None, "2020-04-02", "x"), (8, None, "x")], 2))
+    before = _files(path)
+    for rows, version in ((LATE, 2), (FIRST, 1), ([(None, "2020-04-02", "x"), (8, None, "x")], 2)):
+        assert up.upsert_corrected(spark, path, _load(spark, rows, version)) == []
+    assert _files(path) == before
+
+
+def test_rows_held_twice_become_one_by_a_replay(spark, path):
+    assert [str(m) for m in up.upsert_corrected(spark, path, _load(spark, FIRST, 1))] == ["2020-03-01"]
+    assert [r[1] for r in _table(spark, path)] == [1, 2, 3, 4, 5]
+    moved = _load(spark, [(3, "2020-01-20", "b"), (1, "2020-06-01", "b")], 1)  # of one version, the larger row
+    assert [str(m) for m in up.upsert_corrected(spark, path, moved)] == ["2020-01-01", "2020-06-01"]
+    assert [r[1:4] for r in _table(spark, path)][0] == (1, "2020-06-01", "b")
+
+
+def test_late_rows_are_evaluated_once(spark, path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+    late = _load(spark, LATE, 2).withColumn("payment_method", counted("payment_method"))
+    up.upsert_corrected(spark, path, late)
+    assert seen.value == len(LATE)
+
+
 # -- growth -----------------------------------------------------------------------
 def _plain(values, target, alpha, beta, horizon):
     level, trend, sse = values[0], (values[1] - values[0] if len(values) > 1 else 0.0), 0.0
