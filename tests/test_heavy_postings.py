@@ -71,3 +71,27 @@ def test_only_matching_postings_are_read(spark):
     assert "folder" in plan.split("PartitionFilters")[1][:120] and "gram" in plan.split("PushedFilters")[1][:120]
     assert {r[0] for r in keys.collect()} == {199, 1199, *range(1990, 2000)}
     assert po.matching_keys(spark, path, "a b") is None
+
+
+def test_a_value_is_taken_apart_once(spark):
+    df = spark.range(3000).select((F.col("id") % 2900).alias("id"), F.concat(F.lit("Value "), F.col("id") % 3).alias("t"))
+    path = scratch_path(spark, "postings")
+    po.write_postings(df, "id", "t", path)
+    grams = spark.read.parquet(f"{path}/grams")
+    assert grams.count() == 3 * 5 and grams.filter("gram = 'val'").count() == 3
+    keys = [r[0] for r in po.matching_keys(spark, path, "VALUE").collect()]
+    assert sorted(keys) == list(range(2900))  # a key once, however many of its rows match
+    got = sorted(r.id for r in po.search_postings(df, "id", "t", "lue 1", path).collect())
+    assert got == sorted(k % 2900 for k in range(1, 3000, 3))
+
+
+def test_values_of_one_hash_lose_no_row(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "abcd"), (2, "abce"), (3, "xyz"), (4, "xbcd")], "id long, t string")
+    path = scratch_path(spark, "postings")
+    real = po.F.xxhash64
+    monkeypatch.setattr(po.F, "xxhash64", lambda c: real(F.substring(c, 1, 1)) if isinstance(c, str) else real(c))
+    po.write_postings(df, "id", "t", path)
+    monkeypatch.undo()
+    for query in ("abc", "bcd", "abce", "abcd bce", "xyz", "yzx", "bc"):
+        got, want = (sorted(r.id for r in t.collect()) for t in (po.search_postings(df, "id", "t", query, path), tb.search_text(df, "t", query)))
+        assert got == want, query
