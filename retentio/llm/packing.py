@@ -25,15 +25,14 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
-from itertools import compress
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,18 +43,28 @@ END_ID = 0
 CACHE_WORDS = 500_000
 MARKS = ".,;:!?"
 TAIL = MARKS + "#$%&*<>|"  # symbols that follow a word of letters alone
-BATCH_WORDS = 256
+#: Words of lower-case letters that stay as they are when composed (NFC) and lower-cased.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Latin letters, and the symbols behind them.
+LATIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(TAIL)}]*)").fullmatch
+BATCH_WORDS = 512
+SLICE_BYTES = 2 << 20  # text whose words are looked up together
 
 
 class Words:
     """A tokenizer and the ids of the words seen lately, in two generations."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         vocabulary = self.tok.get_vocab()
         self.ends_unit = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_unit[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # plain words are lower-case and composed already, and one unit each
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -67,40 +76,49 @@ class Words:
         if len(self.recent) > CACHE_WORDS:
             self.older, self.recent = self.recent, {}
         recent, older = self.recent, self.older
+        words = words.difference(recent)
+        known = words.intersection(older)
+        recent.update(zip(known, map(older.__getitem__, known)))
+        words.difference_update(known)
         parts: list[tuple[str, str, str]] = []
-        letters: set[str] = set()
+        plain: set[str] = set(filter(PLAIN, words))
         others: set[str] = set()
-        for w in words:
-            ids = older.get(w)
-            if ids is not None:
-                recent[w] = ids
-                continue
-            if w.isalpha():
-                core, marks = w, ""
+        for w in words.difference(plain):
+            if m := LATIN(w):
+                core, marks = m.groups()
+                core = core.lower()
+                new = plain
             else:
-                core = w.rstrip(TAIL)
-                if not core.isalpha():  # a symbol inside a word may belong to a special token or a contraction
-                    core = w.rstrip(MARKS)
-                marks = w[len(core):]
-            if core and core.lower()[-1].isalpha():  # a capital with a dot ends in a combining mark
-                if core.isascii():
-                    core = core.lower()
-            else:
-                core, marks = w, ""
+                core, marks = _parted(w)
+                new = others
             if core not in recent and core not in older:
-                (letters if core.isalpha() else others).add(core)
+                new.add(core)
             if marks and marks not in recent and marks not in older:
                 others.add(marks)
             if marks or core != w:
                 parts.append((w, core, marks))
-        for some in (list(letters), list(others)):
-            recent.update(zip(some, _encode_words(self, some)))
+        letters = [w for w in others if w.isalpha()]
+        for some, encoded in ((list(plain), _encode_plain), (letters, _encode_words), (list(others.difference(letters)), _encode_words)):
+            recent.update(zip(some, encoded(self, some)))
         for w, core, marks in parts:
             recent[w] = self.ids(core) + self.ids(marks) if marks else self.ids(core)
 
 
+def _parted(w: str) -> tuple[str, str]:
+    """A word's letters and the marks behind them, or the whole word."""
+    if w.isalpha():
+        core, marks = w, ""
+    else:
+        core = w.rstrip(TAIL)
+        if not core.isalpha():  # a symbol inside a word may belong to a special token or a contraction
+            core = w.rstrip(MARKS)
+        marks = w[len(core):]
+    if core and core.lower()[-1].isalpha():  # a capital with a dot ends in a combining mark
+        return (core.lower() if core.isascii() else core), marks
+    return w, ""
+
+
 _tokenizers: dict[str, Words] = {}
-_IS_NONE = partial(is_, None)
 
 
 def _tokenizer(path: str) -> Words:
@@ -116,6 +134,17 @@ def _split(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [raw[b:e] for b, e in zip([0, *cut[:-1]], cut)]
 
 
+def _encode_plain(words_of: Words, words: list[str]) -> list[bytes]:
+    """Ids of words of lower-case Latin letters; many go through the tokenizer as one text."""
+    out: list[bytes] = []
+    for at in range(0, len(words), BATCH_WORDS):
+        some = words[at:at + BATCH_WORDS]
+        ids = np.array(words_of.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(words_of.ends_unit[ids]) + 1
+        out += _split(ids, ends) if len(ends) == len(some) else _encode_words(words_of, some)
+    return out
+
+
 def _encode_words(words_of: Words, words: list[str]) -> list[bytes]:
     """Ids of each word.  Many words go through the tokenizer as one text.
 
@@ -138,7 +167,7 @@ def _encode_words(words_of: Words, words: list[str]) -> list[bytes]:
     return out
 
 
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
+def encode(texts: list[str] | pa.Array, path: str) -> list[np.ndarray]:
     """Token ids of each text, followed by ``END_ID``.
 
     The tokenizer drops white space and never joins across it, lower-cases,
@@ -147,25 +176,30 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     lately is not encoded again.
     """
     words_of = _tokenizer(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    found = [list(map(words_of.recent.get, words)) for words in split]
-    words_of.learn({w for words, ids in zip(split, found) if None in ids for w in compress(words, map(_IS_NONE, ids))})
-    end, out = np.array([END_ID], dtype="<u4").tobytes(), []
-    for words, ids in zip(split, found):
-        if None in ids:
-            ids = [i if i is not None else words_of.ids(w) for w, i in zip(words, ids)]
-        ids.append(end)
-        out.append(np.frombuffer(b"".join(ids), dtype="<u4"))
-    return out
+    text = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    split = pc.split_pattern(pc.replace_substring(text, "\n", " "), " ")
+    coded = split.flatten().dictionary_encode()
+    words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    words_of.learn(set(words))
+    known = list(map(words_of.recent.__getitem__, words))
+    flat = np.frombuffer(b"".join(known), dtype="<u4")
+    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    first, length = (np.cumsum(size) - size)[which], size[which]
+    ends = np.cumsum(length)
+    ids = flat[np.arange(length.sum()) + np.repeat(first - ends + length, length)]
+    until = np.append(0, ends)[np.cumsum(pc.list_value_length(split).to_numpy())]
+    return np.split(np.insert(ids, until, END_ID), (until + np.arange(1, len(until) + 1))[:-1])
 
 
 def _pieces(path: str, max_tokens: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            size = np.cumsum(pc.binary_length(batch.column("text").fill_null("")).to_numpy(), dtype=np.int64)
+            begins = np.flatnonzero(np.diff(size // SLICE_BYTES, prepend=-1)).tolist()
+            for at, end in zip(begins, [*begins[1:], batch.num_rows]):
+                part = batch.slice(at, end - at)
                 which, piece, start, length, crc, all_ids = [], [], [], [], [], []
-                for k, ids in enumerate(encode([t or "" for t in part.column("text").to_pylist()], path)):
+                for k, ids in enumerate(encode(part.column("text").fill_null(""), path)):
                     for p, s in enumerate(range(0, len(ids), max_tokens)):
                         x = ids[s:s + max_tokens]
                         which.append(k), piece.append(p), start.append(s), length.append(len(x))

@@ -212,3 +212,31 @@ def test_plan_respects_every_capacity(rule, caps):
 def test_one_length_and_nothing():
     assert plan_packing({}, 10, 10, 100, (1, 0, 0), "norm").sequences == 0
     assert plan_packing({4: 5}, 10, 10, 100, (1, 0, 0), "norm").sequences == 3
+
+
+def test_words_of_latin_letters_have_the_ids_of_the_whole_tokenizer(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(TOKENIZER)
+    letters = [chr(c) for c in range(0x41, 0x100) if chr(c).isalpha()]
+    texts = ["", " ", "\n\n", "ª º µ ÿ Ÿ ß ẞ", " ".join(letters), "".join(letters), "a é É É. É$$$ Été,%%% x<|endoftext|> don't É't",
+             *(f"{c}a{d}b. {d}{c}|" for c in letters[::7] for d in letters), "ab " * 3000, "Ab cd\x1cé\x85f  g"]
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    monkeypatch.setattr(pk, "CACHE_WORDS", 300)
+    for some in (1, 7, len(texts)):
+        pk._tokenizers.clear()
+        got = [ids.tolist() for at in range(0, len(texts), some) for ids in pk.encode(texts[at:at + some], TOKENIZER)]
+        assert got == want
+    plain = pk._tokenizer(TOKENIZER)
+    some = sorted(filter(pk.PLAIN, {(c + d + "a" + d).lower() for c in letters for d in letters}))
+    assert len(some) > 300 and pk._encode_plain(plain, some) == pk._encode_words(plain, some)
+    monkeypatch.setattr(pk, "SLICE_BYTES", 64)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts) + 1)), "text": [*texts, None]})
+    out = list(pk._pieces(TOKENIZER, 2048, True)([batch.slice(0, 0), batch]))
+    assert len(out) > 50
+    ids = collections.defaultdict(list)
+    for x in out:
+        for r in x.to_pylist():
+            assert r["start"] == len(ids[r["doc_id"]])
+            ids[r["doc_id"]] += r["ids"]
+    assert [ids[k] for k in range(len(texts) + 1)] == [*want, [0]]
